@@ -102,9 +102,9 @@ def hms_text(secs, hour_tag: str = "H") -> Column:
     h = F.floor(a / 3600)
     m = F.floor(a / 60 - h * 60)
     s = F.floor(a - h * 3600 - m * 60)
-    return F.when(a.isNull(), F.lit(None)).otherwise(
-        F.concat_ws("", h.cast("string"), F.lit(f"{hour_tag}:"), m.cast("string"), F.lit("m:"),
-                    s.cast("string"), F.lit("s")))
+    # Oracle concatenation: a NULL average leaves only the unit letters.
+    return F.concat_ws("", h.cast("string"), F.lit(f"{hour_tag}:"), m.cast("string"), F.lit("m:"),
+                       s.cast("string"), F.lit("s"))
 
 
 def cnt_if(cond: Column) -> Column:
@@ -115,3 +115,19 @@ def cnt_if(cond: Column) -> Column:
 def days_behind_text(days, unit: str = "DAY/S BEHIND", up: str = "UP TO DATE") -> Column:
     d = col(days)
     return F.when(d == 0, F.lit(up)).otherwise(F.concat_ws("", d.cast("string"), F.lit(" " + unit)))
+
+
+def round_duration(start, end, unit_secs: float, digits: int) -> Column:
+    """``ROUND((end - start) / unit, d)`` on the exact microsecond count.
+
+    Oracle computes date differences in decimal; rounding a double would
+    turn exact ties (8.7 s / 60 = 0.145) the wrong way.
+    """
+    us = micros_between(start, end).cast("decimal(38,0)")
+    return F.round(us / F.lit(int(unit_secs * 1_000_000)), digits).cast("double")
+
+
+def round_rate(amount, start, end, digits: int = 0) -> Column:
+    """``ROUND(amount / NULLIF(seconds, 0), d)`` with exact decimal seconds."""
+    us = F.nullif(micros_between(start, end), F.lit(0)).cast("decimal(38,0)")
+    return F.round(col(amount).cast("decimal(38,0)") * F.lit(1_000_000) / us, digits).cast("double")

@@ -44,7 +44,7 @@ SELECT c_custkey AS task_id, c_name AS task,
 FROM customer""")
 
 _fx("fx_runs", f"""
-SELECT event_id AS run_id, user_id AS task_id, event_id AS batch_id,
+SELECT event_id AS run_id, user_id AS task_id, event_id * 2 AS batch_id,
        {TASK_NAME.format(c='user_id')} AS task,
        CASE WHEN event_type = 'view' AND k % 9 = 0 THEN 'CANCELLED'
             WHEN event_type = 'view' THEN 'CLOSED'

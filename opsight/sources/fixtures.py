@@ -57,7 +57,7 @@ class Fixtures:
     @cached_property
     def runs(self) -> DataFrame:
         return self.ev.selectExpr(
-            "event_id AS run_id", "user_id AS task_id", "event_id AS batch_id",
+            "event_id AS run_id", "user_id AS task_id", "event_id * 2 AS batch_id",
             f"{task_name('user_id')} AS task",
             """CASE WHEN event_type = 'view' AND k % 9 = 0 THEN 'CANCELLED'
                     WHEN event_type = 'view' THEN 'CLOSED'
