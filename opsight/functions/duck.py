@@ -34,7 +34,8 @@ def round_duration(start: str, end: str, unit_secs: float, digits: int) -> str:
     return f"(CAST(sign({m}) * ((abs({m}) * {2 * sc} + {u}) // {2 * u}) AS DOUBLE) / {sc})"
 
 
-def round_rate(amount: str, start: str, end: str) -> str:
-    """Exact half-up ``ROUND(amount / seconds, 0)`` for non-negative amounts."""
+def round_rate(amount: str, start: str, end: str, digits: int = 0) -> str:
+    """Exact half-up ``ROUND(amount / seconds, d)`` for non-negative amounts."""
     m = f"nullif(date_diff('microsecond', {start}, {end}), 0)"
-    return f"CAST(({amount} * 2000000 + {m}) // (2 * {m}) AS DOUBLE)"
+    sc = 10 ** digits
+    return f"(CAST(({amount} * {2_000_000 * sc} + {m}) // (2 * {m}) AS DOUBLE) / {sc})"

@@ -72,13 +72,16 @@ FROM (SELECT r.*, e.k FROM fx_runs r JOIN fx_ev e ON r.run_id = e.event_id)""",
     ("fx_runs", "fx_ev"))
 
 _fx("fx_log", f"""
-SELECT event_id AS log_id, user_id AS task_id, event_id AS run_id, event_id AS batch_id,
+SELECT event_id AS log_id, user_id AS task_id, event_id // 3 AS run_id, event_id AS batch_id,
        CASE WHEN event_type = 'error' THEN 'DW_KERNEL' ELSE 'DW_FILE_TASK_REGISTER' END AS process_name,
-       CASE event_type
-            WHEN 'view' THEN 'Task: TF_START'
-            WHEN 'click' THEN 'Do_Batch_Move: Move Success Update activity count: ' || CAST(k AS VARCHAR)
-            WHEN 'signup' THEN 'LoadGlobalFileTable_DoBatch: Success - rowcount: ' || CAST(k AS VARCHAR)
-            WHEN 'purchase' THEN 'END: File Task Register'
+       CASE WHEN event_type = 'view' AND k % 4 = 0 THEN '  Concatenating DAT File for run ' || CAST(event_id // 3 AS VARCHAR)
+            WHEN event_type = 'purchase' AND k % 4 = 0 THEN '  Concatenated DAT File Created: f' || CAST(k AS VARCHAR) || '.dat'
+            WHEN event_type = 'signup' AND k % 4 = 0
+              THEN '1-2) STEP END ' || CAST(k % 7 + 1 AS VARCHAR) || ' secs ' || CAST(k * 100 AS VARCHAR) || ' rows'
+            WHEN event_type = 'view' THEN 'Task: TF_START'
+            WHEN event_type = 'click' THEN 'Do_Batch_Move: Move Success Update activity count: ' || CAST(k AS VARCHAR)
+            WHEN event_type = 'signup' THEN 'LoadGlobalFileTable_DoBatch: Success - rowcount: ' || CAST(k AS VARCHAR)
+            WHEN event_type = 'purchase' THEN 'END: File Task Register'
             ELSE 'The partition number is invalid or out-of-range' END AS message,
        CASE WHEN event_type = 'error' THEN 'E' ELSE 'I' END AS error_code,
        ts AS error_sysdate,
@@ -335,7 +338,7 @@ SELECT event_id AS session_id, 'DW' AS owner, {TASK_NAME.format(c='user_id')} AS
 FROM events WHERE event_type IN ('signup', 'purchase')""")
 
 _fx("fx_longops", """
-SELECT CAST(1 + user_id % 2 AS BIGINT) AS inst_id, user_id AS sid, event_id AS serial,
+SELECT CAST(1 + user_id % 2 AS BIGINT) AS inst_id, event_id AS sid, user_id AS serial,
        CASE event_type WHEN 'view' THEN 'Sort Output' WHEN 'click' THEN 'Hash Join'
             WHEN 'signup' THEN 'Table Scan' WHEN 'purchase' THEN 'Insert'
             ELSE 'Index Fast Full Scan' END AS opname,

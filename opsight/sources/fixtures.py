@@ -88,14 +88,19 @@ class Fixtures:
     @cached_property
     def log(self) -> DataFrame:
         return self.ev.selectExpr(
-            "event_id AS log_id", "user_id AS task_id", "event_id AS run_id", "event_id AS batch_id",
+            "event_id AS log_id", "user_id AS task_id", "event_id div 3 AS run_id", "event_id AS batch_id",
             "CASE WHEN event_type = 'error' THEN 'DW_KERNEL' ELSE 'DW_FILE_TASK_REGISTER' END AS process_name",
-            """CASE event_type
-                 WHEN 'view' THEN 'Task: TF_START'
-                 WHEN 'click' THEN concat('Do_Batch_Move: Move Success Update activity count: ', CAST(k AS STRING))
-                 WHEN 'signup' THEN concat('LoadGlobalFileTable_DoBatch: Success - rowcount: ', CAST(k AS STRING))
-                 WHEN 'purchase' THEN 'END: File Task Register'
-                 ELSE 'The partition number is invalid or out-of-range' END AS message""",
+            """CASE WHEN event_type = 'view' AND k % 4 = 0
+                      THEN concat('  Concatenating DAT File for run ', CAST(event_id div 3 AS STRING))
+                    WHEN event_type = 'purchase' AND k % 4 = 0
+                      THEN concat('  Concatenated DAT File Created: f', CAST(k AS STRING), '.dat')
+                    WHEN event_type = 'signup' AND k % 4 = 0
+                      THEN concat('1-2) STEP END ', CAST(k % 7 + 1 AS STRING), ' secs ', CAST(k * 100 AS STRING), ' rows')
+                    WHEN event_type = 'view' THEN 'Task: TF_START'
+                    WHEN event_type = 'click' THEN concat('Do_Batch_Move: Move Success Update activity count: ', CAST(k AS STRING))
+                    WHEN event_type = 'signup' THEN concat('LoadGlobalFileTable_DoBatch: Success - rowcount: ', CAST(k AS STRING))
+                    WHEN event_type = 'purchase' THEN 'END: File Task Register'
+                    ELSE 'The partition number is invalid or out-of-range' END AS message""",
             "CASE WHEN event_type = 'error' THEN 'E' ELSE 'I' END AS error_code",
             "ts AS error_sysdate",
             f"{task_name('user_id')} AS id_1",
@@ -168,7 +173,7 @@ class Fixtures:
                 WHEN 'signup' THEN 'Table Scan' WHEN 'purchase' THEN 'Insert'
                 ELSE 'Index Fast Full Scan' END"""
         return self.ev.selectExpr(
-            "CAST(1 + user_id % 2 AS BIGINT) AS inst_id", "user_id AS sid", "event_id AS serial",
+            "CAST(1 + user_id % 2 AS BIGINT) AS inst_id", "event_id AS sid", "user_id AS serial",
             f"{op} AS opname",
             f"concat({op}, ': T_', CAST(k AS STRING)) AS message",
             "concat('T_', CAST(k AS STRING)) AS target",
