@@ -44,7 +44,7 @@ SELECT c_custkey AS task_id, c_name AS task,
 FROM customer""")
 
 _fx("fx_runs", f"""
-SELECT event_id AS run_id, user_id AS task_id, event_id * 2 AS batch_id,
+SELECT event_id AS run_id, user_id AS task_id, event_id * 2 - event_id % 2 AS batch_id,
        {TASK_NAME.format(c='user_id')} AS task,
        CASE WHEN event_type = 'view' AND k % 9 = 0 THEN 'CANCELLED'
             WHEN event_type = 'view' THEN 'CLOSED'
@@ -213,8 +213,9 @@ FROM orders""")
 
 _fx("fx_segments", """
 SELECT 'DW' AS owner, p_brand AS segment_name,
-       'P_' || strftime(DATE '2016-01-01' + CAST(p_partkey % 365 AS INTEGER), '%Y%m%d') AS partition_name,
-       'P_' || strftime(DATE '2016-01-01' + CAST(p_partkey % 365 AS INTEGER), '%Y%m%d')
+       'P_' || strftime(DATE '1995-01-01' + CAST(p_partkey % 2400 AS INTEGER), '%Y%m%d')
+            || '_S' || CAST(p_partkey % 4 AS VARCHAR) AS partition_name,
+       'P_' || strftime(DATE '1995-01-01' + CAST(p_partkey % 2400 AS INTEGER), '%Y%m%d')
             || '_S' || CAST(p_partkey % 4 AS VARCHAR) AS subpartition_name,
        'TABLE SUBPARTITION' AS segment_type, p_type AS tablespace_name,
        CAST(p_size AS BIGINT) * 1073741824 AS bytes
@@ -222,7 +223,9 @@ FROM part""")
 
 _fx("fx_partitions", """
 SELECT 'DW' AS owner, p_brand AS table_name,
-       'P_' || strftime(DATE '2016-01-01' + CAST(p_partkey % 365 AS INTEGER), '%Y%m%d') AS partition_name,
+       CASE WHEN p_partkey % 23 = 0
+            THEN 'P_' || strftime(DATE '2016-01-01' + CAST(p_partkey % 365 AS INTEGER), '%Y%m') || '00'
+            ELSE 'P_' || strftime(DATE '2016-01-01' + CAST(p_partkey % 365 AS INTEGER), '%Y%m%d') END AS partition_name,
        'P_' || strftime(DATE '2016-01-01' + CAST(p_partkey % 365 AS INTEGER), '%Y%m%d')
             || '_S' || CAST(p_partkey % 4 AS VARCHAR) AS subpartition_name,
        'TS_' || strftime(DATE '2016-01-01' + CAST(p_partkey % 365 - CASE WHEN p_partkey % 17 = 0 THEN 40 ELSE 0 END AS INTEGER), '%Y%m') AS tablespace_name,
@@ -230,6 +233,12 @@ SELECT 'DW' AS owner, p_brand AS table_name,
        p_partkey AS object_id
 FROM part""")
 
+_fx("fx_batch_parts", """
+SELECT 'STG_GEN' AS table_owner, 'Brand#' || CAST(1 + o_orderkey % 25 AS VARCHAR) AS table_name,
+       'P_' || CAST(o_orderkey AS VARCHAR) AS partition_name,
+       CASE WHEN o_orderkey % 9 = 0 THEN 'TS_OTHER' ELSE 'TS_STG_GEN' END AS tablespace_name
+FROM orders""")
+
 _fx("fx_ind_parts", """
 SELECT 'DW' AS index_owner, 'UK_' || p_brand AS index_name,
        'P_' || strftime(DATE '2016-01-01' + CAST(p_partkey % 365 AS INTEGER), '%Y%m%d') AS partition_name,

@@ -57,7 +57,7 @@ class Fixtures:
     @cached_property
     def runs(self) -> DataFrame:
         return self.ev.selectExpr(
-            "event_id AS run_id", "user_id AS task_id", "event_id * 2 AS batch_id",
+            "event_id AS run_id", "user_id AS task_id", "event_id * 2 - event_id % 2 AS batch_id",
             f"{task_name('user_id')} AS task",
             """CASE WHEN event_type = 'view' AND k % 9 = 0 THEN 'CANCELLED'
                     WHEN event_type = 'view' THEN 'CLOSED'
@@ -399,16 +399,17 @@ class Fixtures:
     def metadata(self) -> DataFrame:
         return self.raw("part").selectExpr(
             "'S' AS schema_name", "p_brand AS table_name",
-            "CASE WHEN CAST(substr(p_brand, 7) AS INT) % 2 = 0 THEN 'Batch' ELSE 'Date' END AS partitioning_key",
-            "CAST(substr(p_brand, 7) AS INT) AS retention_value",
+            # try_cast: Catalyst may re-apply this rule to values joined on table_name.
+            "CASE WHEN try_cast(substr(p_brand, 7) AS INT) % 2 = 0 THEN 'Batch' ELSE 'Date' END AS partitioning_key",
+            "try_cast(substr(p_brand, 7) AS INT) AS retention_value",
             "concat('TS_', p_brand) AS tablespace_variable").distinct()
 
     @cached_property
     def segments(self) -> DataFrame:
-        d = self._part_day()
+        d = "date_add(DATE'1995-01-01', CAST(p_partkey % 2400 AS INT))"
         return self.raw("part").selectExpr(
             "'DW' AS owner", "p_brand AS segment_name",
-            f"concat('P_', date_format({d}, 'yyyyMMdd')) AS partition_name",
+            f"concat('P_', date_format({d}, 'yyyyMMdd'), '_S', CAST(p_partkey % 4 AS STRING)) AS partition_name",
             f"concat('P_', date_format({d}, 'yyyyMMdd'), '_S', CAST(p_partkey % 4 AS STRING)) AS subpartition_name",
             "'TABLE SUBPARTITION' AS segment_type", "p_type AS tablespace_name",
             "CAST(p_size AS BIGINT) * 1073741824 AS bytes")
@@ -420,11 +421,19 @@ class Fixtures:
                    "CASE WHEN p_partkey % 17 = 0 THEN 40 ELSE 0 END AS INT))")
         return self.raw("part").selectExpr(
             "'DW' AS owner", "p_brand AS table_name",
-            f"concat('P_', date_format({d}, 'yyyyMMdd')) AS partition_name",
+            f"""CASE WHEN p_partkey % 23 = 0 THEN concat('P_', date_format({d}, 'yyyyMM'), '00')
+                     ELSE concat('P_', date_format({d}, 'yyyyMMdd')) END AS partition_name""",
             f"concat('P_', date_format({d}, 'yyyyMMdd'), '_S', CAST(p_partkey % 4 AS STRING)) AS subpartition_name",
             f"concat('TS_', date_format({shifted}, 'yyyyMM')) AS tablespace_name",
             "'USABLE' AS status", "p_partkey AS object_id")
 
+    @cached_property
+    def batch_parts(self) -> DataFrame:
+        return self.raw("orders").selectExpr(
+            "'STG_GEN' AS table_owner", "concat('Brand#', CAST(1 + o_orderkey % 25 AS STRING)) AS table_name",
+            "concat('P_', CAST(o_orderkey AS STRING)) AS partition_name",
+            "CASE WHEN o_orderkey % 9 = 0 THEN 'TS_OTHER' ELSE 'TS_STG_GEN' END AS tablespace_name")
+
     @cached_property
     def ind_parts(self) -> DataFrame:
         d = self._part_day()
@@ -440,7 +449,7 @@ class Fixtures:
     def indexes(self) -> DataFrame:
         return self.raw("part").selectExpr(
             "'DW' AS owner", "concat('UK_', p_brand) AS index_name", "p_brand AS table_name",
-            "CASE WHEN CAST(substr(p_brand, 7) AS INT) % 5 = 0 THEN 'UNUSABLE' ELSE 'VALID' END AS status"
+            "CASE WHEN try_cast(substr(p_brand, 7) AS INT) % 5 = 0 THEN 'UNUSABLE' ELSE 'VALID' END AS status"
         ).distinct()
 
     @cached_property
@@ -516,7 +525,7 @@ FX_NAMES = [
     "fx_spaces", "fx_temp", "fx_disk_groups", "fx_queue", "fx_sessions", "fx_locks",
     "fx_locked_objects", "fx_objects", "fx_ddl_locks", "fx_longops", "fx_sql", "fx_sqltext",
     "fx_stats", "fx_stat_names", "fx_listing", "fx_manifest", "fx_audit", "fx_staging",
-    "fx_errors", "fx_dim_period",
+    "fx_errors", "fx_dim_period", "fx_batch_parts",
 ]
 
 
