@@ -88,7 +88,7 @@ SELECT event_id AS log_id, user_id AS task_id, event_id // 3 AS run_id, event_id
        {TASK_NAME.format(c='user_id')} AS id_1,
        CAST(user_id AS VARCHAR) || '-' || strftime(ts, '%Y%m%d') AS id_2,
        CAST(k AS VARCHAR) AS id_3,
-       CAST(NULL AS VARCHAR) AS id_4,
+       CAST(1 + user_id % 2 AS VARCHAR) || '-' || CAST(user_id AS VARCHAR) AS id_4,
        user_id AS sid,
        CAST(1 + user_id % 2 AS BIGINT) AS inst_id
 FROM fx_ev""", ("fx_ev",))

@@ -106,7 +106,7 @@ class Fixtures:
             f"{task_name('user_id')} AS id_1",
             "concat(CAST(user_id AS STRING), '-', date_format(ts, 'yyyyMMdd')) AS id_2",
             "CAST(k AS STRING) AS id_3",
-            "CAST(NULL AS STRING) AS id_4",
+            "concat(CAST(1 + user_id % 2 AS STRING), '-', CAST(user_id AS STRING)) AS id_4",
             "user_id AS sid",
             "CAST(1 + user_id % 2 AS BIGINT) AS inst_id")
 
