@@ -1 +1,155 @@
-"""placeholder"""
+"""Structured Streaming counterparts of the polling checks.
+
+The scripts re-run "the last x hours" queries; here the same questions are
+continuous.  Each builder takes a DataFrame that may be streaming or batch:
+on a stream it adds the watermark that bounds state, on a batch it computes
+the final result of every closed window - which is what the registered
+queries (and the oracle) check.  ``run_available_now`` drives a builder as a
+real stream over a parquet folder with ``trigger(availableNow=True)``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from opsight.plans.registry import query
+from opsight.session import checkpoint_dir
+from opsight.sources.fixtures import fixtures
+
+
+def event_time(df: DataFrame, column: str, alias: str = "event_time") -> DataFrame:
+    """Watermarks need TIMESTAMP (not TIMESTAMP_NTZ): add a zoned copy of the clock column."""
+    return df.withColumn(alias, F.col(column).cast("timestamp"))
+
+
+def _ntz(c: str) -> F.Column:
+    return F.col(c).cast("timestamp_ntz")
+
+
+# --------------------------------------------------------------------- ST1
+def stream_hourly(df: DataFrame, ts_col: str, value_col: str | None = None, lateness: str = "2 hours",
+                  window: str = "1 hour", slide: str | None = None, keys=()) -> DataFrame:
+    """Rows (and a value sum) per tumbling - or sliding - event-time window."""
+    e = event_time(df, ts_col).withWatermark("event_time", lateness)
+    w = F.window("event_time", window, slide) if slide else F.window("event_time", window)
+    aggs = [F.count(F.lit(1)).alias("cnt")]
+    if value_col:
+        aggs.append(F.sum(value_col).cast("long").alias("total"))
+    g = e.groupBy(w.alias("w"), *keys).agg(*aggs)
+    return g.select(_ntz("w.start").alias("window_start"), _ntz("w.end").alias("window_end"), *keys,
+                    *[a for a in ["cnt", "total"] if a in g.columns])
+
+
+@query("stream_hourly", "ST1", """
+SELECT date_trunc('hour', register_datetime) AS window_start,
+       date_trunc('hour', register_datetime) + INTERVAL 1 HOUR AS window_end,
+       count(*) AS cnt, CAST(sum(row_count) AS BIGINT) AS total
+FROM fx_files GROUP BY 1, 2
+""")
+def q_stream_hourly(spark, sf):
+    return stream_hourly(fixtures(spark, sf).files, "register_datetime", "row_count")
+
+
+# --------------------------------------------------------------------- ST2
+def stream_session_pivot(log: DataFrame, gap: str = "30 minutes", lateness: str = "1 hour",
+                         key: str = "task_id") -> DataFrame:
+    """Registration sessions by activity gap, with milestone times and counts."""
+    e = event_time(log, "error_sysdate").withWatermark("event_time", lateness)
+    m = F.col("message")
+    g = e.groupBy(key, F.session_window("event_time", gap).alias("s")).agg(
+        F.max(F.when(m.like("%Task: TF_%"), F.col("error_sysdate"))).alias("start_date"),
+        F.max(F.when(m.like("END: File Task Register"), F.col("error_sysdate"))).alias("end_date"),
+        F.max(F.when(m.like("%Do_Batch_Move: Move Success Update activity count:%"),
+                     F.trim(F.replace(m, F.lit("Do_Batch_Move: Move Success Update activity count:"), F.lit("")))))
+         .alias("files_moved"),
+        F.count(F.lit(1)).alias("logs_cnt"))
+    return g.select(key, _ntz("s.start").alias("session_start"), _ntz("s.end").alias("session_end"),
+                    "start_date", "end_date", "files_moved", "logs_cnt")
+
+
+@query("stream_session_pivot", "ST2", """
+WITH x AS (
+  SELECT *, CASE WHEN lag(error_sysdate) OVER (PARTITION BY task_id ORDER BY error_sysdate, log_id) IS NULL
+                   OR error_sysdate >= lag(error_sysdate) OVER (PARTITION BY task_id ORDER BY error_sysdate, log_id)
+                                       + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new_s
+  FROM fx_log),
+y AS (SELECT *, sum(new_s) OVER (PARTITION BY task_id ORDER BY error_sysdate, log_id
+                                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s_id FROM x)
+SELECT task_id, min(error_sysdate) AS session_start, max(error_sysdate) + INTERVAL 30 MINUTE AS session_end,
+       max(CASE WHEN message LIKE '%Task: TF_%' THEN error_sysdate END) AS start_date,
+       max(CASE WHEN message LIKE 'END: File Task Register' THEN error_sysdate END) AS end_date,
+       max(CASE WHEN message LIKE '%Do_Batch_Move: Move Success Update activity count:%'
+                THEN trim(replace(message, 'Do_Batch_Move: Move Success Update activity count:', '')) END) AS files_moved,
+       count(*) AS logs_cnt
+FROM y GROUP BY task_id, s_id
+""")
+def q_stream_session_pivot(spark, sf):
+    return stream_session_pivot(fixtures(spark, sf).log)
+
+
+# --------------------------------------------------------------------- ST3
+def stream_start_end(log: DataFrame, max_span: str = "1 day", lateness: str = "2 hours",
+                     key: str = "id_2") -> DataFrame:
+    """Start message joined to the end message of the same session within ``max_span``.
+
+    Stream-stream left outer join: both sides are watermarked and the time
+    range bounds the state; an unmatched start is emitted (with NULL end)
+    once the watermark passes ``start + max_span``.
+    """
+    e = event_time(log, "error_sysdate")
+    s = e.filter(F.col("message").like("%Task: TF_%")).select(
+        F.col(key).alias("s_key"), F.col("event_time").alias("s_time"), F.col("log_id").alias("start_log_id")) \
+        .withWatermark("s_time", lateness)
+    t = e.filter(F.col("message") == "END: File Task Register").select(
+        F.col(key).alias("e_key"), F.col("event_time").alias("e_time"), F.col("log_id").alias("end_log_id")) \
+        .withWatermark("e_time", lateness)
+    cond = (F.col("s_key") == F.col("e_key")) & (F.col("e_time") >= F.col("s_time")) \
+        & (F.col("e_time") <= F.col("s_time") + F.expr(f"INTERVAL {max_span}"))
+    j = s.join(t, cond, "leftOuter")
+    return j.select(F.col("s_key").alias(key), "start_log_id", _ntz("s_time").alias("start_time"), "end_log_id",
+                    _ntz("e_time").alias("end_time"))
+
+
+@query("stream_start_end", "ST3", """
+SELECT s.id_2, s.log_id AS start_log_id, s.error_sysdate AS start_time, e.log_id AS end_log_id, e.error_sysdate AS end_time
+FROM (SELECT * FROM fx_log WHERE message LIKE '%Task: TF_%') s
+LEFT JOIN (SELECT * FROM fx_log WHERE message = 'END: File Task Register') e
+  ON s.id_2 = e.id_2 AND e.error_sysdate >= s.error_sysdate AND e.error_sysdate <= s.error_sysdate + INTERVAL 1 DAY
+""")
+def q_stream_start_end(spark, sf):
+    return stream_start_end(fixtures(spark, sf).log)
+
+
+# --------------------------------------------------------------------- ST4
+def stream_dedup(files: DataFrame, keys=("short_filename",), lateness: str = "1 day") -> DataFrame:
+    """Drop repeated registrations of the same file name seen within the watermark delay."""
+    if not files.isStreaming:
+        # A finished batch is one closed window: plain de-duplication.
+        return files.dropDuplicates(list(keys))
+    e = event_time(files, "register_datetime").withWatermark("event_time", lateness)
+    return e.dropDuplicatesWithinWatermark(list(keys)).drop("event_time")
+
+
+@query("stream_dedup", "ST4", "SELECT DISTINCT short_filename FROM fx_files")
+def q_stream_dedup(spark, sf):
+    return stream_dedup(fixtures(spark, sf).files).select("short_filename")
+
+
+# --------------------------------------------------------------------- runner
+def run_available_now(spark: SparkSession, source_dir: str, schema, build, name: str,
+                      output_mode: str = "append", prepare=None) -> DataFrame:
+    """Run ``build`` as a stream over every file in ``source_dir`` and return the sink's rows.
+
+    The checkpoint goes under the session's shared checkpoint folder, so a
+    restarted driver resumes instead of re-reading (executor loss is
+    handled by Structured Streaming's replay from the checkpoint).
+    """
+    src = spark.readStream.schema(schema).parquet(source_dir)
+    if prepare is not None:
+        src = prepare(src)
+    ckpt = f"{checkpoint_dir(spark).rstrip('/')}/stream-{name}"
+    q = (build(src).writeStream.outputMode(output_mode).format("memory").queryName(name)
+         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.table(name)
