@@ -26,6 +26,23 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
+def read_spread(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet scan that uses every core even when the file cannot be split.
+
+    A file written as one row group is read by one task, so all per-row work
+    above it (projections, partial aggregation) would run on one core.  When
+    the scan has fewer splits than the session's parallelism it is
+    round-robin spread once; filters and column pruning still reach the scan
+    below the exchange.  On a real table with thousands of splits this is a
+    no-op and the scan feeds the plan directly.
+    """
+    df = spark.read.parquet(path)
+    target = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        df = df.repartition(target)
+    return df
+
+
 def task_name(c: str) -> str:
     return f"concat('Customer#', lpad(CAST({c} AS STRING), 9, '0'))"
 
@@ -33,12 +50,14 @@ def task_name(c: str) -> str:
 class Fixtures:
     """Lazily built fx_* DataFrames for one scale-factor directory."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, spread: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self.spread = spread
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return read_spread(self.spark, f"{self.sf_dir}/{name}.parquet") if self.spread \
+            else self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def get(self, name: str) -> DataFrame:
         return getattr(self, name.removeprefix("fx_"))
