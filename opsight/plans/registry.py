@@ -43,6 +43,7 @@ def _load_all() -> None:
         lag, status, throughput, files, batches, capacity, sessions, actions,
     )
     from opsight.streaming import streams  # noqa: F401
+    from opsight.sources import readers  # noqa: F401
 
 
 def registry() -> dict[str, Query]:
