@@ -262,8 +262,16 @@ def day_duration(runs: DataFrame, batches: DataFrame, first_tasks, last_task: st
                  as_of: dt.datetime) -> DataFrame:
     """From the first start of the opening tasks to the end of the closing task."""
     key = key if isinstance(key, Column) else F.lit(str(key))
-    rb = _with_batches(runs.filter(F.col("run_status") != "CANCELLED"), batches) \
+    return _day_rows(_keyed_runs(runs, batches, key), first_tasks, last_task, key, as_of)
+
+
+def _keyed_runs(runs: DataFrame, batches: DataFrame, key: Column) -> DataFrame:
+    """Non-cancelled runs of one process date with their batch and copied batch."""
+    return _with_batches(runs.filter(F.col("run_status") != "CANCELLED"), batches, copied=True) \
         .filter(_my_dtk() == key)
+
+
+def _day_rows(rb: DataFrame, first_tasks, last_task: str, key: Column, as_of: dt.datetime) -> DataFrame:
     start = rb.filter(F.col("task").isin(*first_tasks)).agg(F.min("start_date").alias("day_start"))
     end = rb.filter(F.col("task") == last_task).select(F.col("end_date").alias("day_end"))
     # ``start`` is one global-aggregate row: broadcasting it is size-bounded.
@@ -318,8 +326,8 @@ def run_board(runs: DataFrame, tasks: DataFrame, batches: DataFrame, ranges: Dat
     script as one table; unlisted tasks are not on the board.
     """
     key = key if isinstance(key, Column) else F.lit(str(key))
-    r = runs.filter(F.col("run_status") != "CANCELLED").join(sections, "task")
-    rb = _with_batches(r, batches, copied=True).filter(_my_dtk() == key)
+    keyed = _keyed_runs(runs, batches, key)   # shared with the day row (exchange reuse)
+    rb = keyed.join(sections, "task")
     stats = range_run_stats(ranges)
     t = tasks.select("task_id", "task_business_area")
     j = rb.join(t, "task_id", "left").join(stats, "run_id", "left")
@@ -335,7 +343,7 @@ def run_board(runs: DataFrame, tasks: DataFrame, batches: DataFrame, ranges: Dat
         F.col("avg_duration").alias("avg_dur"), F.col("max_duration").alias("max_dur"),
         F.col("min_rows_persec").alias("min_rps"), F.col("avg_rows_persec").alias("avg_rps"),
         F.col("max_rows_persec").alias("max_rps"))
-    day = day_duration(runs, batches, first_tasks, last_task, key, as_of)
+    day = _day_rows(keyed, first_tasks, last_task, key, as_of)
     # One global-aggregate row: a bounded broadcast.
     day = day.crossJoin(F.broadcast(_day_section(sections)))
     for c in cols_null:

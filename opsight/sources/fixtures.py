@@ -75,7 +75,11 @@ class Fixtures:
 
     @cached_property
     def runs(self) -> DataFrame:
-        return self.ev.selectExpr(
+        return self.ev.selectExpr(*self._run_exprs())
+
+    @staticmethod
+    def _run_exprs() -> list[str]:
+        return [
             "event_id AS run_id", "user_id AS task_id", "event_id * 2 - event_id % 2 AS batch_id",
             f"{task_name('user_id')} AS task",
             """CASE WHEN event_type = 'view' AND k % 9 = 0 THEN 'CANCELLED'
@@ -95,14 +99,13 @@ class Fixtures:
             "CASE WHEN event_type <> 'click' THEN k * 600 END AS rows_inserted",
             "CASE WHEN event_type <> 'click' THEN k * 400 END AS rows_updated",
             "date_format(ts, 'yyyyMMdd') AS diy_parameter",
-            "event_type AS remark")
+            "event_type AS remark"]
 
     @cached_property
     def ranges(self) -> DataFrame:
-        r = self.runs.alias("r").join(self.ev.select("event_id", "k").alias("e"),
-                                      F.col("r.run_id") == F.col("e.event_id"))
-        return r.selectExpr("r.run_id div 4 AS run_id", "task", "run_status", "start_date",
-                            "end_date", "k * 1000 AS rows_loaded")
+        # Same rules as runs, computed from the one events scan (no self join).
+        return self.ev.selectExpr(*self._run_exprs(), "k AS __k").selectExpr(
+            "run_id div 4 AS run_id", "task", "run_status", "start_date", "end_date", "__k * 1000 AS rows_loaded")
 
     @cached_property
     def log(self) -> DataFrame:
