@@ -39,3 +39,8 @@ def round_rate(amount: str, start: str, end: str, digits: int = 0) -> str:
     m = f"nullif(date_diff('microsecond', {start}, {end}), 0)"
     sc = 10 ** digits
     return f"(CAST(({amount} * {2_000_000 * sc} + {m}) // (2 * {m}) AS DOUBLE) / {sc})"
+
+
+def num_text(x: str) -> str:
+    return (f"CASE WHEN ({x}) IS NULL THEN NULL WHEN abs({x}) >= 1000000000000 THEN repeat('#', 16) "
+            f"ELSE lpad(format('{{:,}}', CAST({x} AS BIGINT)), 16, ' ') END")

@@ -131,3 +131,12 @@ def round_rate(amount, start, end, digits: int = 0) -> Column:
     """``ROUND(amount / NULLIF(seconds, 0), d)`` with exact decimal seconds."""
     us = F.nullif(micros_between(start, end), F.lit(0)).cast("decimal(38,0)")
     return F.round(col(amount).cast("decimal(38,0)") * F.lit(1_000_000) / us, digits).cast("double")
+
+
+def num_text(x) -> Column:
+    """``TO_CHAR(n, '999,999,999,999')``: grouped digits right-aligned in 16
+    characters (one for the sign); ``#`` x 16 when the value needs more digits."""
+    v = col(x)
+    return (F.when(v.isNull(), F.lit(None).cast("string"))
+             .when(F.abs(v) >= F.lit(10 ** 12), F.lit("#" * 16))
+             .otherwise(F.lpad(F.format_number(v.cast("double"), 0), 16, " ")))

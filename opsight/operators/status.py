@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from opsight.functions import duck as D
 from opsight.functions.expr import (
-    BUCKET_STATUSES, cnt_if, day_of, days_ago, hms_text, key_to_date, micros_between, round2,
+    BUCKET_STATUSES, cnt_if, day_of, days_ago, hms_text, key_to_date, micros_between, num_text, round2,
     round_duration, round_rate, secs_between, ts_lit,
 )
 from opsight.plans.registry import query
@@ -433,14 +433,19 @@ def _merge_partials(df: DataFrame, keys) -> DataFrame:
                                  F.max("last_run_dt").alias("last_run_dt"), F.max("_max_end").alias("_max_end"))
 
 
-def _status_measures(df: DataFrame) -> list[Column]:
+# Row measures the report prints with TO_CHAR(n, '999,999,999,999').
+ROLLUP_TEXT = ("rows_loaded", "rows_err", "avg_rows", "estimated_rows")
+HOURLY_TEXT = ("rows_err", "estimated_rows")
+
+
+def _status_measures(df: DataFrame, text_cols=ROLLUP_TEXT) -> list[Column]:
     avg_rows = F.round(F.col("rows_loaded") / F.nullif(F.col("_rows_n"), F.lit(0)))
     avg_secs = F.col("_secs") / F.nullif(F.col("_secs_n"), F.lit(0))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    fmt = lambda v, c: (num_text(v) if c in text_cols else v.cast("long")).alias(c)
     return [zero("queue"), zero("busy"), zero("done"), zero("fail"), zero("other"),
-            F.col("rows_loaded").cast("long").alias("rows_loaded"), F.col("rows_err").cast("long").alias("rows_err"),
-            avg_rows.cast("long").alias("avg_rows"),
-            (avg_rows * F.col("queue")).cast("long").alias("estimated_rows"),
+            fmt(F.col("rows_loaded"), "rows_loaded"), fmt(F.col("rows_err"), "rows_err"),
+            fmt(avg_rows, "avg_rows"), fmt(avg_rows * F.col("queue"), "estimated_rows"),
             hms_text(avg_secs).alias("average_duration"),
             hms_text(avg_secs * F.col("queue"), "h").alias("estimated_load_duration"),
             (F.lit(100) - F.round(F.col("_pend") / F.nullif(F.col("_tot"), F.lit(0)) * 100, 2))
@@ -462,20 +467,20 @@ def task_status_rollup(tasks: DataFrame, runs: DataFrame, like: str = "%S2C%",
     return out.orderBy(F.col("busy").desc(), F.col("queue").desc(), F.col("last_run_dt").asc_nulls_last())
 
 
-def _rollup_sql_measures(a: str = "a") -> str:
-    s = D.secs(f"{a}.end_date", f"{a}.end_date")  # placeholder replaced below
+def _rollup_sql_measures(a: str = "a", text_cols=ROLLUP_TEXT) -> str:
     s = D.secs(f"{a}.start_date", f"{a}.end_date")
     q = f"sum(CASE WHEN {a}.run_status = 'RUNABLE' THEN 1 ELSE 0 END)"
+    f = lambda e, c: (D.num_text(e) if c in text_cols else f"CAST({e} AS BIGINT)") + f" AS {c}"
     return f"""
       {D.cnt_if(f"{a}.run_status = 'RUNABLE'")} AS queue,
       {D.cnt_if(f"{a}.run_status = 'RUNNING'")} AS busy,
       {D.cnt_if(f"{a}.run_status IN ('CLOSED', 'SUCCESS')")} AS done,
       {D.cnt_if(f"{a}.run_status = 'FAILED'")} AS fail,
       {D.cnt_if(f"{a}.run_status NOT IN ('FAILED', 'CLOSED', 'RUNNING', 'RUNABLE', 'SUCCESS')")} AS other,
-      CAST(sum({a}.rows_loaded) AS BIGINT) AS rows_loaded,
-      CAST(sum({a}.rows_error) AS BIGINT) AS rows_err,
-      CAST(round(avg({a}.rows_loaded)) AS BIGINT) AS avg_rows,
-      CAST(round(avg({a}.rows_loaded)) * {q} AS BIGINT) AS estimated_rows,
+      {f(f"sum({a}.rows_loaded)", "rows_loaded")},
+      {f(f"sum({a}.rows_error)", "rows_err")},
+      {f(f"round(avg({a}.rows_loaded))", "avg_rows")},
+      {f(f"round(avg({a}.rows_loaded)) * {q}", "estimated_rows")},
       {D.hms(f'avg({s})')} AS average_duration,
       {D.hms(f'avg({s}) * {q}', 'h')} AS estimated_load_duration,
       CAST(100 - round(sum(CASE WHEN {a}.run_status IN ('RUNABLE', 'FAILED') THEN 1 ELSE 0 END)
@@ -513,7 +518,7 @@ def _hour_rollup(tasks: DataFrame, runs: DataFrame, from_key: str, task_cond, by
     t = tasks.filter(task_cond).select("task_id", "task_type")
     outer = ["task_type", "date_key", "last_run_tm"] + (["task"] if by_task else [])
     merged = _merge_partials(parts.join(t, "task_id"), outer)
-    return merged.select(*outer, *_status_measures(merged))
+    return merged.select(*outer, *_status_measures(merged, HOURLY_TEXT))
 
 
 def status_rollup_by_task_hour(tasks: DataFrame, runs: DataFrame, from_key: str,
@@ -533,7 +538,7 @@ def _hour_sql(by_task: bool, cond: str) -> str:
     task_col = "a.task, " if by_task else ""
     return f"""
 SELECT b.task_type, strftime({when}, '%Y%m%d') AS date_key, {task_col}strftime({when}, '%H') AS last_run_tm,
-       {_rollup_sql_measures()}
+       {_rollup_sql_measures(text_cols=HOURLY_TEXT)}
 FROM fx_runs a JOIN fx_tasks b ON a.task_id = b.task_id
 WHERE {cond} AND strftime({when}, '%Y%m%d') >= '20240115'
 GROUP BY strftime({when}, '%H'), strftime({when}, '%Y%m%d'), b.task_type{', a.task' if by_task else ''}
