@@ -25,3 +25,61 @@ def test_dedup_stream_keeps_one_per_name(spark):
     files.write.mode("overwrite").parquet(src)
     got = run_available_now(spark, src, files.schema, stream_dedup, "st_dedup_test")
     assert got.count() == got.select("short_filename").distinct().count() == files.select("short_filename").distinct().count()
+
+
+def _log_source(spark):
+    log = fixtures(spark, SF_SMALL).log.select("log_id", "task_id", "id_2", "message", "error_sysdate")
+    src = tempfile.mkdtemp(prefix="opsight-stream-log-")
+    log.repartition(3).write.mode("overwrite").parquet(src)
+    return log, src
+
+
+def test_session_stream_equals_batch_for_closed_sessions(spark):
+    from pyspark.sql import functions as F
+    from opsight.streaming.streams import stream_session_pivot
+    log, src = _log_source(spark)
+    got = run_available_now(spark, src, log.schema, stream_session_pivot, "st_sessions_test")
+    batch = stream_session_pivot(log)
+    wm = log.agg(F.max("error_sysdate")).first()[0]
+    import datetime as dt
+    closed = batch.filter(F.col("session_end") <= F.lit(wm - dt.timedelta(hours=1)).cast("timestamp_ntz"))
+    assert got.count() > 0
+    assert sorted(got.collect()) == sorted(closed.collect())
+
+
+def test_interval_join_stream_matches_batch(spark):
+    from opsight.streaming.streams import stream_start_end
+    log, src = _log_source(spark)
+    got = {tuple(r) for r in run_available_now(spark, src, log.schema, stream_start_end, "st_join_test").collect()}
+    batch = {tuple(r) for r in stream_start_end(log).collect()}
+    matched = {r for r in batch if r[3] is not None}
+    assert got <= batch and matched <= got
+
+
+def test_late_rows_are_dropped(spark):
+    import datetime as dt
+    from pyspark.sql import functions as F
+    schema = "short_filename string, register_datetime timestamp_ntz, row_count long"
+    src = tempfile.mkdtemp(prefix="opsight-stream-late-")
+    t0 = dt.datetime(2024, 1, 10, 12, 0)
+    on_time = spark.createDataFrame([("a", t0, 1), ("b", t0 + dt.timedelta(hours=5), 1)], schema)
+    on_time.write.mode("append").parquet(src)
+    name = "st_late_test"
+    from opsight.session import checkpoint_dir
+    ckpt = f"{checkpoint_dir(spark)}/stream-{name}"
+
+    out = tempfile.mkdtemp(prefix="opsight-stream-out-")
+
+    def run():
+        q = (stream_hourly(spark.readStream.schema(schema).parquet(src), "register_datetime", "row_count")
+             .writeStream.outputMode("append").format("parquet").option("path", out)
+             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+        q.awaitTermination()
+
+    run()
+    late = spark.createDataFrame([("c", t0 - dt.timedelta(hours=1), 7)], schema)
+    late.write.mode("append").parquet(src)
+    run()   # restarts from the checkpoint: the watermark survives the restart
+    rows = spark.read.parquet(out).collect()
+    assert all(r.window_start != dt.datetime(2024, 1, 10, 11, 0) for r in rows)
+    assert any(r.window_start == dt.datetime(2024, 1, 10, 12, 0) for r in rows)
