@@ -37,10 +37,12 @@ def read_spread(spark: SparkSession, path: str) -> DataFrame:
     no-op and the scan feeds the plan directly.
     """
     df = spark.read.parquet(path)
-    target = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        df = df.repartition(target)
-    return df
+    try:
+        target = spark.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # no SparkContext (e.g. a Connect session): read as is
+        return df
+    return df.repartition(target) if splits < target else df
 
 
 def task_name(c: str) -> str:
