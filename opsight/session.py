@@ -24,6 +24,28 @@ BASE_CONF = {
 }
 
 
+# Settings for a large cluster (~1000 executors, ~100 TB of metadata and logs).
+# Shuffles start wide and AQE coalesces them to ~256 MB per task; scan splits
+# are large so a full scan of the log table is ~10^5 tasks; a skewed shuffle
+# partition (one hot task or file day) is split by the skew-join rule; runtime
+# bloom filters and dynamic partition pruning cut the big side of semi joins.
+CLUSTER_CONF = {
+    **BASE_CONF,
+    "spark.sql.shuffle.partitions": "4000",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.files.maxPartitionBytes": "512m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.dynamicPartitionPruning.enabled": "true",
+    "spark.sql.shuffle.service.enabled": "true",
+    "spark.dynamicAllocation.shuffleTracking.enabled": "true",
+    "spark.task.maxFailures": "8",
+    "spark.stage.maxConsecutiveAttempts": "8",
+}
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "opsight", extra: dict | None = None) -> SparkSession:
     """Return the active session, or build a local one for tests and bench."""
