@@ -39,8 +39,9 @@ CLUSTER_CONF = {
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.optimizer.dynamicPartitionPruning.enabled": "true",
-    "spark.sql.shuffle.service.enabled": "true",
-    "spark.dynamicAllocation.shuffleTracking.enabled": "true",
+    # Shuffle files outlive a lost executor (external shuffle service), so a
+    # lost executor costs a re-run of its running tasks, not of whole stages.
+    "spark.shuffle.service.enabled": "true",
     "spark.task.maxFailures": "8",
     "spark.stage.maxConsecutiveAttempts": "8",
 }
