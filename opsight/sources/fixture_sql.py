@@ -364,7 +364,7 @@ FROM fx_ev""", ("fx_ev",))
 
 _fx("fx_sql", """
 SELECT CAST(1 + l_suppkey % 2 AS BIGINT) AS inst_id, CAST(l_partkey AS VARCHAR) AS sql_id,
-       'SELECT /* part ' || CAST(l_partkey AS VARCHAR) || ' */ * FROM FCT_' || CAST(l_suppkey AS VARCHAR) AS sql_text,
+       'SELECT /* part ' || CAST(l_partkey AS VARCHAR) || ' */ * FROM FCT_' || CAST(l_partkey % 100 AS VARCHAR) AS sql_text,
        CAST(floor(l_extendedprice) AS BIGINT) * 1000 AS cpu_time,
        CAST(floor(l_extendedprice) AS BIGINT) * 2000 AS elapsed_time,
        l_suppkey AS disk_reads,

@@ -389,7 +389,7 @@ class Fixtures:
     def sql(self) -> DataFrame:
         return self.raw("lineitem").selectExpr(
             "CAST(1 + l_suppkey % 2 AS BIGINT) AS inst_id", "CAST(l_partkey AS STRING) AS sql_id",
-            "concat('SELECT /* part ', CAST(l_partkey AS STRING), ' */ * FROM FCT_', CAST(l_suppkey AS STRING)) AS sql_text",
+            "concat('SELECT /* part ', CAST(l_partkey AS STRING), ' */ * FROM FCT_', CAST(l_partkey % 100 AS STRING)) AS sql_text",
             "CAST(floor(l_extendedprice) AS BIGINT) * 1000 AS cpu_time",
             "CAST(floor(l_extendedprice) AS BIGINT) * 2000 AS elapsed_time",
             "l_suppkey AS disk_reads",
