@@ -42,13 +42,13 @@ def set_status(runs: DataFrame, predicate: Column, status: str, delta: bool = Fa
 
 @query("set_status", "D1", """
 SELECT run_id, task_id, batch_id, task,
-       CASE WHEN coalesce(run_status = 'FAILED' AND task LIKE '%5', false) THEN 'RUNABLE' ELSE run_status END AS run_status,
+       CASE WHEN coalesce(run_status = 'FAILED' AND rows_error > 50, false) THEN 'RUNABLE' ELSE run_status END AS run_status,
        start_date, end_date, rows_loaded, rows_error, rows_inserted, rows_updated, diy_parameter, remark
 FROM fx_runs
 """)
 def q_set_status(spark, sf):
     r = fixtures(spark, sf).runs
-    return set_status(r, (F.col("run_status") == "FAILED") & F.col("task").like("%5"), "RUNABLE")
+    return set_status(r, (F.col("run_status") == "FAILED") & (F.col("rows_error") > 50), "RUNABLE")
 
 
 def set_attribute(df: DataFrame, predicate: Column, column: str, value, delta: bool = False) -> DataFrame:
@@ -56,14 +56,14 @@ def set_attribute(df: DataFrame, predicate: Column, column: str, value, delta: b
 
 
 @query("set_attribute", "D3", """
-SELECT task_id, task, CASE WHEN task LIKE '%9' THEN 20240130 ELSE max_key END AS max_key, is_runnable, task_type,
+SELECT task_id, task, CASE WHEN task_business_area = 'BUILDING' THEN 20240130 ELSE max_key END AS max_key, is_runnable, task_type,
        parameter_type, task_business_area, task_technical_area, task_target_type, source_system, pattern_task,
        copy_batch_ind, super_batch_ind, max_file_load_concurrency
 FROM fx_tasks
 """)
 def q_set_attribute(spark, sf):
     t = fixtures(spark, sf).tasks
-    return set_attribute(t, F.col("task").like("%9"), "max_key", 20240130)
+    return set_attribute(t, F.col("task_business_area") == "BUILDING", "max_key", 20240130)
 
 
 def fill_nulls(df: DataFrame, column: str, value, batch_ids=None, delta: bool = False) -> DataFrame:
@@ -113,17 +113,17 @@ def hold_all_but_top(runs: DataFrame, task_like: str, day: str | None = None, st
 WITH ranked AS (
   SELECT task, diy_parameter, batch_id,
          rank() OVER (PARTITION BY task, diy_parameter ORDER BY rows_loaded DESC NULLS FIRST) AS rnk
-  FROM fx_runs WHERE task LIKE '%7'),
+  FROM fx_runs WHERE task LIKE 'Customer#%'),
 tops AS (SELECT task, diy_parameter, batch_id FROM ranked WHERE rnk = 1)
 SELECT run_id, task_id, batch_id, task,
-       CASE WHEN task LIKE '%7' AND run_status IN ('FAILED')
+       CASE WHEN task LIKE 'Customer#%' AND run_status IN ('FAILED')
                  AND batch_id NOT IN (SELECT t.batch_id FROM tops t WHERE t.task = r.task AND t.diy_parameter = r.diy_parameter)
             THEN 'HOLD_MK' ELSE run_status END AS run_status,
        start_date, end_date, rows_loaded, rows_error, rows_inserted, rows_updated, diy_parameter, remark
 FROM fx_runs r
 """)
 def q_hold_all_but_top(spark, sf):
-    return hold_all_but_top(fixtures(spark, sf).runs, "%7")
+    return hold_all_but_top(fixtures(spark, sf).runs, "Customer#%")
 
 
 # --------------------------------------------------------------------- D5-D6
@@ -182,10 +182,10 @@ def set_watermark_to_yesterday(tasks: DataFrame, task_like: str, as_of: dt.datet
 
 
 @query("set_watermark_to_yesterday", "D6", """
-SELECT task_id, task, max_key FROM fx_tasks WHERE task LIKE '%12%'
+SELECT task_id, task, max_key FROM fx_tasks WHERE task LIKE 'Customer#000000012'
 """.replace("max_key FROM", "20240130 AS max_key FROM"))
 def q_set_watermark_to_yesterday(spark, sf):
-    return set_watermark_to_yesterday(fixtures(spark, sf).tasks, "%12%", AS_OF_RUNS, delta=True) \
+    return set_watermark_to_yesterday(fixtures(spark, sf).tasks, "Customer#000000012", AS_OF_RUNS, delta=True) \
         .select("task_id", "task", "max_key")
 
 
@@ -247,13 +247,13 @@ WITH src AS (
   SELECT run_id, TIMESTAMP '2014-04-01 00:00:00' + to_seconds(rown) AS new_st FROM (
     SELECT run_id, TRY_CAST(diy_parameter AS INTEGER) AS date_key,
            row_number() OVER (PARTITION BY task, diy_parameter ORDER BY batch_id DESC, run_id DESC) AS rown
-    FROM fx_runs WHERE run_status = 'RUNABLE' AND task LIKE '%1%')
-  WHERE date_key >= 20240110 AND date_key <= 20240120 AND rown <= 3)
+    FROM fx_runs WHERE run_status = 'RUNABLE' AND task LIKE 'Customer#%')
+  WHERE date_key >= 20240110 AND date_key <= 20240120 AND rown <= 2000)
 SELECT {_RUN_COLS.format(start="coalesce(src.new_st, r.start_date) AS start_date").replace("run_id,", "r.run_id,", 1)}
 FROM fx_runs r LEFT JOIN src ON r.run_id = src.run_id
 """)
 def q_spread_start_times(spark, sf):
-    return spread_start_times(fixtures(spark, sf).runs, "%1%", 20240110, 20240120, per_day=3)
+    return spread_start_times(fixtures(spark, sf).runs, "Customer#%", 20240110, 20240120, per_day=2000)
 
 
 def start_from_parameter(runs: DataFrame, task_like: str, max_key: int, delta: bool = False) -> DataFrame:
@@ -267,11 +267,11 @@ def start_from_parameter(runs: DataFrame, task_like: str, max_key: int, delta: b
 @query("start_from_parameter", "D9", f"""
 SELECT {_RUN_COLS.format(start="CASE WHEN c THEN CAST(strptime(diy_parameter, '%Y%m%d') AS TIMESTAMP) ELSE start_date END AS start_date")
         .replace("rows_loaded,", "CASE WHEN c THEN NULL ELSE rows_loaded END AS rows_loaded,")}
-FROM (SELECT *, coalesce(run_status = 'RUNABLE' AND task LIKE '%3%' AND TRY_CAST(diy_parameter AS INTEGER) <= 20240115
+FROM (SELECT *, coalesce(run_status = 'RUNABLE' AND task LIKE 'Customer#%' AND TRY_CAST(diy_parameter AS INTEGER) <= 20240115
                AND start_date <> CAST(strptime(diy_parameter, '%Y%m%d') AS TIMESTAMP), false) AS c FROM fx_runs)
 """)
 def q_start_from_parameter(spark, sf):
-    return start_from_parameter(fixtures(spark, sf).runs, "%3%", 20240115)
+    return start_from_parameter(fixtures(spark, sf).runs, "Customer#%", 20240115)
 
 
 # --------------------------------------------------------------------- D10
@@ -299,7 +299,7 @@ def close_group_runs(tasks: DataFrame, steps: DataFrame, runs: DataFrame, batche
 
 @query("close_group_runs", "D10", f"""
 WITH g AS (SELECT DISTINCT a.task_id FROM fx_tasks a JOIN fx_steps b ON a.task_id = b.task_id
-           WHERE a.task LIKE '%1%' AND b.template_name LIKE '%STD_GROUP_TASK'),
+           WHERE a.task LIKE 'Customer#%' AND b.template_name LIKE '%STD_GROUP_TASK'),
 picked AS (SELECT rr.run_id FROM fx_runs rr JOIN fx_batches b ON rr.batch_id = b.batch_id
            WHERE rr.run_status = 'RUNABLE' AND b.load_status <> 'BATCHED' AND rr.task_id IN (SELECT task_id FROM g))
 SELECT r.run_id, task_id, batch_id, task,
@@ -310,7 +310,7 @@ FROM fx_runs r LEFT JOIN (SELECT DISTINCT run_id FROM picked) p ON r.run_id = p.
 """)
 def q_close_group_runs(spark, sf):
     fx = fixtures(spark, sf)
-    return close_group_runs(fx.tasks, fx.steps, fx.runs, fx.batches, AS_OF_RUNS, "%1%")[0]
+    return close_group_runs(fx.tasks, fx.steps, fx.runs, fx.batches, AS_OF_RUNS, "Customer#%")[0]
 
 
 # --------------------------------------------------------------------- D11-D12
@@ -327,7 +327,7 @@ def reset_by_error_log(log: DataFrame, runs: DataFrame, ranges: DataFrame, as_of
 
 
 @query("reset_by_error_log", "D11", f"""
-WITH t AS (SELECT DISTINCT task FROM fx_log l, fx_runs r WHERE r.task_id = l.task_id AND r.task LIKE '%1%'
+WITH t AS (SELECT DISTINCT task FROM fx_log l, fx_runs r WHERE r.task_id = l.task_id AND r.task LIKE 'Customer#%'
            AND r.run_status = 'FAILED' AND error_sysdate > TIMESTAMP '2024-01-30 00:00:00' AND error_code = 'E'
            AND process_name = 'DW_KERNEL' AND l.message LIKE '%partition number is invalid%')
 SELECT run_id, task_id, batch_id, r.task, CASE WHEN c THEN 'RUNABLE' ELSE run_status END AS run_status,
@@ -338,7 +338,7 @@ FROM (SELECT r.*, coalesce(r.task IN (SELECT task FROM t) AND r.run_status = 'FA
 """)
 def q_reset_by_error_log(spark, sf):
     fx = fixtures(spark, sf)
-    return reset_by_error_log(fx.log, fx.runs, fx.ranges, AS_OF_RUNS, "%1%", "%partition number is invalid%",
+    return reset_by_error_log(fx.log, fx.runs, fx.ranges, AS_OF_RUNS, "Customer#%", "%partition number is invalid%",
                               "DW_KERNEL", 1.0)[0]
 
 
@@ -363,10 +363,10 @@ def reset_failed_batches(batches: DataFrame, batch_ids=None, delta: bool = False
 @query("reset_failed", "D12", """
 SELECT run_id, task_id, batch_id, task, 'RUNABLE' AS run_status, start_date, end_date, rows_loaded, rows_error,
        rows_inserted, rows_updated, diy_parameter, remark
-FROM fx_runs WHERE run_status = 'FAILED' AND task LIKE '%2%' AND task NOT LIKE '%22%'
+FROM fx_runs WHERE run_status = 'FAILED' AND task LIKE 'Customer#%' AND task NOT LIKE '%PATTERN%'
 """)
 def q_reset_failed(spark, sf):
-    return reset_failed(fixtures(spark, sf).runs, "%2%", "%22%", delta=True)
+    return reset_failed(fixtures(spark, sf).runs, "Customer#%", "%PATTERN%", delta=True)
 
 
 # --------------------------------------------------------------------- D13-D16

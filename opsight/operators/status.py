@@ -174,14 +174,14 @@ SELECT coalesce(CAST(b.dw_date_key AS VARCHAR), a.diy_parameter, '_') AS my_dtk,
        CASE WHEN a.run_status IN ('RUNABLE', 'WAITING') THEN CAST(round({D.secs('a.start_date', D.RUNS_CLOCK)} / 3600, 0) AS BIGINT) END AS hours_waiting,
        a.batch_id, a.task_id, a.run_id, a.rows_error, a.diy_parameter
 FROM fx_runs a LEFT JOIN fx_batches b ON a.batch_id = b.batch_id
-WHERE (a.task LIKE '%5' OR a.task IN ('Customer#000000012')) AND a.task NOT LIKE '%RULE%'
+WHERE (a.task LIKE 'Customer#%' OR a.task IN ('Customer#000000012')) AND a.task NOT LIKE '%RULE%'
 ORDER BY CASE WHEN a.run_status = 'RUNNING' THEN 1 WHEN a.run_status IN ('FAILED', 'WAITING', 'PENDING') THEN 2
               WHEN a.run_status = 'RUNABLE' THEN 3 ELSE 4 END, a.start_date DESC NULLS FIRST, a.run_id DESC
 LIMIT 6
 """)
 def q_wait_time_topn(spark, sf):
     fx = fixtures(spark, sf)
-    return wait_time_topn(fx.runs, fx.batches, AS_OF_RUNS, ("%5",), ("Customer#000000012",))
+    return wait_time_topn(fx.runs, fx.batches, AS_OF_RUNS, ("Customer#%",), ("Customer#000000012",))
 
 
 # --------------------------------------------------------------------- R6
@@ -213,11 +213,11 @@ SELECT task, rows_loaded, batch_id, mins, days_behind, end_date, diy_parameter F
          CAST(date_diff('day', CAST(try_strptime(diy_parameter, '%Y%m%d') AS DATE), CAST(end_date AS DATE)) AS INTEGER) AS days_behind,
          end_date, diy_parameter, start_date, run_id
   FROM fx_runs
-  WHERE (task LIKE '%17') OR (task LIKE '%29' AND run_status IN ('CLOSED'))
+  WHERE (task LIKE 'Customer#000000017') OR (task LIKE 'Customer#000000029' AND run_status IN ('CLOSED'))
   ORDER BY start_date DESC NULLS FIRST, run_id DESC LIMIT 32)
 """)
 def q_recent_run_profile(spark, sf):
-    return recent_run_profile(fixtures(spark, sf).runs, AS_OF_RUNS, "%17", "%29")
+    return recent_run_profile(fixtures(spark, sf).runs, AS_OF_RUNS, "Customer#000000017", "Customer#000000029")
 
 
 # --------------------------------------------------------------------- R8
@@ -497,7 +497,7 @@ SELECT b.task_type, b.task, b.is_runnable AS runable, b.max_file_load_concurrenc
        strftime(max(a.end_date), '%H:%M:%S') AS last_run_tm,
        {_rollup_sql_measures()}
 FROM fx_tasks b LEFT JOIN fx_runs a ON a.task_id = b.task_id
-WHERE b.task LIKE 'Customer#%' AND b.task NOT LIKE '%99%'
+WHERE b.task LIKE 'Customer#%' AND b.task NOT LIKE '%PATTERN%'
 GROUP BY b.task_type, b.task, b.is_runnable, b.parameter_type, b.task_business_area, b.task_technical_area,
          b.max_file_load_concurrency, b.task_id
 """
@@ -506,7 +506,7 @@ GROUP BY b.task_type, b.task, b.is_runnable, b.parameter_type, b.task_business_a
 @query("task_status_rollup", "R10", _R10_SQL)
 def q_task_status_rollup(spark, sf):
     fx = fixtures(spark, sf)
-    return task_status_rollup(fx.tasks, fx.runs, "Customer#%", "%99%")
+    return task_status_rollup(fx.tasks, fx.runs, "Customer#%", "%PATTERN%")
 
 
 def _hour_rollup(tasks: DataFrame, runs: DataFrame, from_key: str, task_cond, by_task: bool) -> DataFrame:
@@ -546,17 +546,17 @@ GROUP BY strftime({when}, '%H'), strftime({when}, '%Y%m%d'), b.task_type{', a.ta
 
 
 @query("status_rollup_by_task_hour", "R11",
-       _hour_sql(True, "b.task LIKE 'Customer#%' AND b.task NOT LIKE '%99%'"))
+       _hour_sql(True, "b.task LIKE 'Customer#%' AND b.task NOT LIKE '%PATTERN%'"))
 def q_status_rollup_by_task_hour(spark, sf):
     fx = fixtures(spark, sf)
-    return status_rollup_by_task_hour(fx.tasks, fx.runs, "20240115", "Customer#%", "%99%")
+    return status_rollup_by_task_hour(fx.tasks, fx.runs, "20240115", "Customer#%", "%PATTERN%")
 
 
 @query("status_rollup_by_hour", "R12",
-       _hour_sql(False, "(b.task LIKE '%1%' OR b.task_type = 'FILE') AND b.task NOT LIKE '%99%'"))
+       _hour_sql(False, "(b.task LIKE '%S2C%' OR b.task_type = 'FILE') AND b.task NOT LIKE '%PATTERN%'"))
 def q_status_rollup_by_hour(spark, sf):
     fx = fixtures(spark, sf)
-    return status_rollup_by_hour(fx.tasks, fx.runs, "20240115", ("%1%",), "FILE", "%99%")
+    return status_rollup_by_hour(fx.tasks, fx.runs, "20240115", ("%S2C%",), "FILE", "%PATTERN%")
 
 
 def rollup_view_filter(rollup: DataFrame, like: str) -> DataFrame:
@@ -565,10 +565,10 @@ def rollup_view_filter(rollup: DataFrame, like: str) -> DataFrame:
 
 
 @query("rollup_view_filter", "R13",
-       f"SELECT * FROM ({_R10_SQL}) WHERE task LIKE '%7%' AND last_run_dt IS NOT NULL")
+       f"SELECT * FROM ({_R10_SQL}) WHERE task LIKE 'Customer#%' AND last_run_dt IS NOT NULL")
 def q_rollup_view_filter(spark, sf):
     fx = fixtures(spark, sf)
-    return rollup_view_filter(task_status_rollup(fx.tasks, fx.runs, "Customer#%", "%99%"), "%7%")
+    return rollup_view_filter(task_status_rollup(fx.tasks, fx.runs, "Customer#%", "%PATTERN%"), "Customer#%")
 
 
 # --------------------------------------------------------------------- R14-R20
@@ -632,10 +632,10 @@ def open_runs(runs: DataFrame, like: str) -> DataFrame:
 
 
 @query("open_runs", "R16", """
-SELECT * FROM fx_runs WHERE task LIKE '%8%' AND run_status NOT IN ('CLOSED', 'SUCCESS', 'CANCELLED')
+SELECT * FROM fx_runs WHERE task LIKE 'Customer#%' AND run_status NOT IN ('CLOSED', 'SUCCESS', 'CANCELLED')
 """)
 def q_open_runs(spark, sf):
-    return open_runs(fixtures(spark, sf).runs, "%8%")
+    return open_runs(fixtures(spark, sf).runs, "Customer#%")
 
 
 def runs_with_batch_key(runs: DataFrame, batches: DataFrame, like: str) -> DataFrame:
@@ -647,11 +647,11 @@ def runs_with_batch_key(runs: DataFrame, batches: DataFrame, like: str) -> DataF
 
 @query("runs_with_batch_key", "R17", """
 SELECT a.task, a.run_status, a.batch_id, b.dw_max_date_key, a.start_date, a.end_date
-FROM fx_runs a, fx_batches b WHERE a.batch_id = b.batch_id AND a.task LIKE '%4%'
+FROM fx_runs a, fx_batches b WHERE a.batch_id = b.batch_id AND a.task LIKE 'Customer#%'
 """)
 def q_runs_with_batch_key(spark, sf):
     fx = fixtures(spark, sf)
-    return runs_with_batch_key(fx.runs, fx.batches, "%4%")
+    return runs_with_batch_key(fx.runs, fx.batches, "Customer#%")
 
 
 def runs_of_area(runs: DataFrame, tasks: DataFrame, area_like: str) -> DataFrame:
@@ -685,9 +685,9 @@ def distinct_tasks(runs: DataFrame, like: str) -> DataFrame:
         F.concat(F.lit("'"), F.col("task"), F.lit("'")).alias("quoted_task")).distinct()
 
 
-@query("distinct_tasks", "R20", "SELECT DISTINCT '''' || task || '''' AS quoted_task FROM fx_runs WHERE task LIKE '%00001%'")
+@query("distinct_tasks", "R20", "SELECT DISTINCT '''' || task || '''' AS quoted_task FROM fx_runs WHERE task LIKE 'Customer#%'")
 def q_distinct_tasks(spark, sf):
-    return distinct_tasks(fixtures(spark, sf).runs, "%00001%")
+    return distinct_tasks(fixtures(spark, sf).runs, "Customer#%")
 
 
 # --------------------------------------------------------------------- R21-R26 (snapshots)
@@ -768,10 +768,10 @@ def maintenance_jobs(jobs: DataFrame, like: str) -> DataFrame:
 
 
 @query("maintenance_jobs", "R24", """
-SELECT replace(substr(job_name, -3, 3), '_', '') AS jobnr, * FROM fx_jobs WHERE job_name LIKE 'JOB#1%'
+SELECT replace(substr(job_name, -3, 3), '_', '') AS jobnr, * FROM fx_jobs WHERE job_name LIKE 'JOB#%'
 """)
 def q_maintenance_jobs(spark, sf):
-    return maintenance_jobs(fixtures(spark, sf).jobs, "JOB#1%")
+    return maintenance_jobs(fixtures(spark, sf).jobs, "JOB#%")
 
 
 def session_run_id(client_info) -> Column:
