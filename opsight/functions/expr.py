@@ -68,12 +68,6 @@ def secs_between(start, end) -> Column:
     return micros_between(start, end) / F.lit(1_000_000.0)
 
 
-def oracle_concat(*parts) -> Column:
-    """``a || b`` where NULL acts as the empty string."""
-    return F.concat_ws("", *[F.lit(p) if isinstance(p, str) and not p.startswith("@") else col(p[1:])
-                             if isinstance(p, str) else p for p in parts])
-
-
 def txt(*parts) -> Column:
     """Oracle ``||`` over columns and literals: strings are literals."""
     return F.concat_ws("", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])

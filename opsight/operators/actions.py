@@ -15,7 +15,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsight.functions.expr import day_of, days_ago, key_to_date, ts_lit
+from opsight.functions.expr import days_ago, key_to_date, ts_lit
 from opsight.operators.sessions import failing_tasks_by_message
 from opsight.plans.numbering import global_row_number
 from opsight.plans.registry import query

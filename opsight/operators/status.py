@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from opsight.functions import duck as D
 from opsight.functions.expr import (
-    BUCKET_STATUSES, cnt_if, day_of, days_ago, hms_text, key_to_date, micros_between, num_text, round2,
+    BUCKET_STATUSES, cnt_if, day_of, days_ago, hms_text, key_to_date, micros_between, num_text,
     round_duration, round_rate, secs_between, ts_lit,
 )
 from opsight.plans.registry import query
