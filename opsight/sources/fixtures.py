@@ -42,6 +42,8 @@ def read_spread(spark: SparkSession, path: str) -> DataFrame:
         splits = df.rdd.getNumPartitions()
     except Exception:  # no SparkContext (e.g. a Connect session): read as is
         return df
+    # Measured at sf0.1: spreading every single-split scan (small dimensions
+    # included) was faster overall than spreading only files above 1 MB.
     return df.repartition(target) if splits < target else df
 
 
