@@ -12,6 +12,8 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from opsight.functions import texts as T
+
 # Fixed status vocabularies of the load framework.
 DONE_STATUSES = ("CLOSED", "SUCCESS")
 OPEN_STATUSES = ("FAILED", "RUNABLE", "RUNNING", "PENDING", "WAITING")
@@ -106,9 +108,10 @@ def cnt_if(cond: Column) -> Column:
     return F.sum(F.when(cond, F.lit(1)).otherwise(F.lit(0))).cast("long")
 
 
-def days_behind_text(days, unit: str = "DAY/S BEHIND", up: str = "UP TO DATE") -> Column:
+def days_behind_text(days, unit: str = T.DAY_S_BEHIND, up: str = T.UP_TO_DATE) -> Column:
+    """``n DAY/S BEHIND``, or ``UP TO DATE`` when n is 0."""
     d = col(days)
-    return F.when(d == 0, F.lit(up)).otherwise(F.concat_ws("", d.cast("string"), F.lit(" " + unit)))
+    return F.when(d == 0, F.lit(up)).otherwise(F.concat_ws("", d.cast("string"), F.lit(unit)))
 
 
 def round_duration(start, end, unit_secs: float, digits: int) -> Column:

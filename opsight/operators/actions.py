@@ -15,6 +15,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opsight.functions import texts as T
 from opsight.functions.expr import days_ago, key_to_date, ts_lit
 from opsight.operators.sessions import failing_tasks_by_message
 from opsight.plans.numbering import global_row_number
@@ -145,9 +146,10 @@ def advance_watermark(tasks: DataFrame, runs: DataFrame, as_of: dt.datetime, wat
     dec = dec.select(
         F.lit(watermark_task).alias("task"), F.col("pd").alias("old_key"),
         F.when(advance, nxt).otherwise(F.col("pd")).alias("new_key"),
-        F.when(advance, F.concat(F.lit(f"{watermark_task} process date advanced to "), nxt.cast("string")))
-         .when(pd_txt == y, F.concat(F.lit(f"{watermark_task} is DAY-1: "), pd_txt))
-         .otherwise(F.concat(F.lit(f"{watermark_task} NOT advanced: "), pd_txt)).alias("message"),
+        F.lit(T.ADVANCEMENT_PROCESS).alias("process_name"),
+        F.when(advance, F.concat(F.lit(watermark_task + T.ADVANCED_TO), nxt.cast("string"), F.lit(".")))
+         .when(pd_txt == y, F.lit(T.IS_DAY_MINUS_1))
+         .otherwise(F.lit(T.NOT_ADVANCED.format(gate=gate_tasks[0]))).alias("message"),
         F.lit("I").alias("level"))
     new_tasks = tasks.join(F.broadcast(dec.select("task", "new_key")), "task", "left").select(
         *[F.coalesce("new_key", "max_key").alias("max_key") if c == "max_key" else F.col(c) for c in tasks.columns])
@@ -158,11 +160,12 @@ def advance_watermark(tasks: DataFrame, runs: DataFrame, as_of: dt.datetime, wat
 SELECT 'Customer#000000010' AS task, pd AS old_key,
        CASE WHEN n_cnt >= 1 AND CAST(pd AS VARCHAR) < '20240130'
             THEN CAST(strftime(CAST(strptime(CAST(pd AS VARCHAR), '%Y%m%d') AS DATE) + 1, '%Y%m%d') AS INTEGER) ELSE pd END AS new_key,
+       'IT Auto-Advancement' AS process_name,
        CASE WHEN n_cnt >= 1 AND CAST(pd AS VARCHAR) < '20240130'
               THEN 'Customer#000000010 process date advanced to '
-                   || strftime(CAST(strptime(CAST(pd AS VARCHAR), '%Y%m%d') AS DATE) + 1, '%Y%m%d')
-            WHEN CAST(pd AS VARCHAR) = '20240130' THEN 'Customer#000000010 is DAY-1: ' || CAST(pd AS VARCHAR)
-            ELSE 'Customer#000000010 NOT advanced: ' || CAST(pd AS VARCHAR) END AS message,
+                   || strftime(CAST(strptime(CAST(pd AS VARCHAR), '%Y%m%d') AS DATE) + 1, '%Y%m%d') || '.'
+            WHEN CAST(pd AS VARCHAR) = '20240130' THEN 'Process Date is DAY-1.'
+            ELSE 'Date NOT advanced due to previous days summaries Customer#000000011 not loading any rows.' END AS message,
        'I' AS level
 FROM (SELECT k.pd, sum(g.rows_loaded) AS n_cnt
       FROM (SELECT max(max_key) AS pd FROM fx_tasks WHERE task = 'Customer#000000010') k

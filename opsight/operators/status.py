@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsight.functions import duck as D
+from opsight.functions import texts as T
 from opsight.functions.expr import (
     BUCKET_STATUSES, cnt_if, day_of, days_ago, hms_text, key_to_date, micros_between, num_text,
     round_duration, round_rate, secs_between, ts_lit,
@@ -74,8 +75,8 @@ def q_failed_run_detail(spark, sf):
 def failed_run_alerts(runs: DataFrame) -> DataFrame:
     g = runs.filter(F.col("run_status") == "FAILED").groupBy("task", "run_status") \
         .agg(F.count(F.lit(1)).alias("no_failed")).filter(F.col("no_failed") > 0)
-    return g.select("task", F.concat_ws("", F.lit("Has "), F.col("no_failed").cast("string"),
-                                        F.lit(" Failed runs in rt runs ")).alias("alert_text"),
+    return g.select("task", F.concat_ws("", F.lit(T.HAS), F.col("no_failed").cast("string"),
+                                        F.lit(T.FAILED_RUNS_IN_RT_RUNS)).alias("alert_text"),
                     "no_failed").orderBy(F.col("no_failed").desc(), "task").drop("no_failed")
 
 
@@ -278,7 +279,7 @@ def _day_rows(rb: DataFrame, first_tasks, last_task: str, key: Column, as_of: dt
     j = end.crossJoin(F.broadcast(start.filter(F.col("day_start").isNotNull())))
     stop = F.coalesce(F.col("day_end"), ts_lit(as_of))
     return j.select(
-        F.lit("DAY DURATION").alias("task"), key.alias("my_dtk"),
+        F.lit(T.DAY_DURATION).alias("task"), key.alias("my_dtk"),
         F.when(F.col("day_end").isNull(), F.lit("RUNNING")).otherwise(F.lit("CLOSED")).alias("run_status"),
         F.round(secs_between("day_start", stop), 6).alias("duration_sec"),
         _ts_text("day_start").alias("start_date"), _ts_text("day_end").alias("end_date"))
