@@ -38,6 +38,7 @@ def _apply(df: DataFrame, pred: Column, sets: dict, delta: bool) -> DataFrame:
 
 # --------------------------------------------------------------------- D1, D3, D4
 def set_status(runs: DataFrame, predicate: Column, status: str, delta: bool = False, extra: dict | None = None) -> DataFrame:
+    """Conditional status update (``UPDATE runs SET run_status = ... WHERE predicate``)."""
     return _apply(runs, predicate, {"run_status": status, **(extra or {})}, delta)
 
 
@@ -53,6 +54,7 @@ def q_set_status(spark, sf):
 
 
 def set_attribute(df: DataFrame, predicate: Column, column: str, value, delta: bool = False) -> DataFrame:
+    """Conditional update of one column of a configuration table."""
     return _apply(df, predicate, {column: value}, delta)
 
 
@@ -68,6 +70,7 @@ def q_set_attribute(spark, sf):
 
 
 def fill_nulls(df: DataFrame, column: str, value, batch_ids=None, delta: bool = False) -> DataFrame:
+    """Default value for a NULL column, optionally only in some batches."""
     pred = F.col(column).isNull()
     if batch_ids is not None:
         pred = pred & F.col("batch_id").isin(*batch_ids)
@@ -180,6 +183,7 @@ def q_advance_watermark(spark, sf):
 
 
 def set_watermark_to_yesterday(tasks: DataFrame, task_like: str, as_of: dt.datetime, delta: bool = False) -> DataFrame:
+    """Daily reset: the matching tasks' high-water key becomes yesterday's key."""
     y = int((as_of - dt.timedelta(days=1)).strftime("%Y%m%d"))
     return _apply(tasks, F.col("task").like(task_like), {"max_key": y}, delta)
 
@@ -357,6 +361,7 @@ def reset_failed(runs: DataFrame, like: str = "%", not_like: str | None = None,
 
 
 def reset_failed_batches(batches: DataFrame, batch_ids=None, delta: bool = False) -> DataFrame:
+    """Failed-audit batches back to LOADED, optionally by id."""
     pred = F.col("load_status") == "AUDITFAILED"
     if batch_ids is not None:
         pred = pred & F.col("batch_id").isin(*batch_ids)

@@ -49,6 +49,7 @@ def _with_batches(runs: DataFrame, batches: DataFrame, copied: bool = False) ->
 
 # --------------------------------------------------------------------- R1
 def failed_run_detail(runs: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Failed runs with task attributes and formatted times, newest first."""
     t = tasks.select("task_id", "task_business_area", "task_technical_area", "task_target_type")
     j = runs.filter(F.col("run_status") == "FAILED").join(t, "task_id")
     return j.select(
@@ -73,6 +74,7 @@ def q_failed_run_detail(spark, sf):
 
 # --------------------------------------------------------------------- R2
 def failed_run_alerts(runs: DataFrame) -> DataFrame:
+    """One alert sentence per task with failed runs, most failures first."""
     g = runs.filter(F.col("run_status") == "FAILED").groupBy("task", "run_status") \
         .agg(F.count(F.lit(1)).alias("no_failed")).filter(F.col("no_failed") > 0)
     return g.select("task", F.concat_ws("", F.lit(T.HAS), F.col("no_failed").cast("string"),
@@ -91,6 +93,7 @@ def q_failed_run_alerts(spark, sf):
 
 # --------------------------------------------------------------------- R3
 def queue_backlog(runs: DataFrame, tasks: DataFrame, batches: DataFrame, min_size: int = 5) -> DataFrame:
+    """Open runs per task (queue size, source and own date keys, run ids), queues above ``min_size``."""
     r = runs.filter(F.col("run_status").isin("FAILED", "RUNABLE", "RUNNING", "PENDING", "WAITING"))
     rb = _with_batches(r, batches, copied=True).select(
         "task_id", "run_id", F.col("c_dw_date_key").alias("src_dtk"), _my_dtk().alias("my_dtk"))
@@ -126,6 +129,7 @@ def q_queue_backlog(spark, sf):
 
 # --------------------------------------------------------------------- R4
 def long_running(runs: DataFrame, as_of: dt.datetime, min_days: float = 0.1) -> DataFrame:
+    """Runs RUNNING since more than ``min_days`` before ``as_of``."""
     r = runs.filter((F.col("run_status") == "RUNNING") & (F.col("start_date") < days_ago(as_of, min_days)))
     return r.select(
         F.date_format(ts_lit(as_of), TS_FMT).alias("curr_dt"), "run_status", "task", "rows_loaded",
@@ -524,12 +528,14 @@ def _hour_rollup(tasks: DataFrame, runs: DataFrame, from_key: str, task_cond, by
 
 def status_rollup_by_task_hour(tasks: DataFrame, runs: DataFrame, from_key: str,
                                like: str = "%S2C%", not_like: str = "%PATTERN%") -> DataFrame:
+    """R10 measures per task type, day, task and hour of the run's end (or start)."""
     cond = F.col("task").like(like) & ~F.col("task").like(not_like)
     return _hour_rollup(tasks, runs, from_key, cond, True)
 
 
 def status_rollup_by_hour(tasks: DataFrame, runs: DataFrame, from_key: str,
                           likes=("%S2C%",), task_type: str = "FILE", not_like: str = "%PATTERN%") -> DataFrame:
+    """R10 measures per task type, day and hour, for pattern tasks or one task type."""
     cond = reduce(lambda a, b: a | b, [F.col("task").like(p) for p in likes]) | (F.col("task_type") == task_type)
     return _hour_rollup(tasks, runs, from_key, cond & ~F.col("task").like(not_like), False)
 
@@ -561,6 +567,7 @@ def q_status_rollup_by_hour(spark, sf):
 
 
 def rollup_view_filter(rollup: DataFrame, like: str) -> DataFrame:
+    """Rows of a saved rollup for matching tasks that have run, by queue."""
     r = rollup.filter(F.col("task").like(like) & F.col("last_run_dt").isNotNull())
     return r.orderBy(F.col("queue").desc(), "task", F.col("last_run_dt").desc(), F.col("fail").desc())
 
@@ -628,6 +635,7 @@ FINISHED = ("CLOSED", "SUCCESS", "CANCELLED")
 
 
 def open_runs(runs: DataFrame, like: str) -> DataFrame:
+    """Runs of matching tasks not in a finished status."""
     return runs.filter(F.col("task").like(like) & ~F.col("run_status").isin(*FINISHED)) \
         .orderBy(F.col("start_date").desc_nulls_first(), F.col("run_id").desc())
 
@@ -640,6 +648,7 @@ def q_open_runs(spark, sf):
 
 
 def runs_with_batch_key(runs: DataFrame, batches: DataFrame, like: str) -> DataFrame:
+    """Runs of matching tasks with their batch's newest date key."""
     r = runs.filter(F.col("task").like(like)).select("task", "run_status", "batch_id", "start_date", "end_date")
     j = r.join(batches.select("batch_id", "dw_max_date_key"), "batch_id")
     return j.select("task", "run_status", "batch_id", "dw_max_date_key", "start_date", "end_date") \
@@ -656,6 +665,7 @@ def q_runs_with_batch_key(spark, sf):
 
 
 def runs_of_area(runs: DataFrame, tasks: DataFrame, area_like: str) -> DataFrame:
+    """Runs of the runnable tasks of a business area (semi join)."""
     t = tasks.filter(F.col("task_business_area").like(area_like) & (F.col("is_runnable") == "Yes")).select("task")
     return runs.join(t, "task", "left_semi").orderBy(F.col("start_date").desc_nulls_first(), F.col("run_id").desc())
 
@@ -669,6 +679,7 @@ def q_runs_of_area(spark, sf):
 
 
 def status_counts(runs: DataFrame, tasks_in) -> DataFrame:
+    """Number of runs per task and status for a task list."""
     return _task_filter(runs, tasks_in).groupBy("task", "run_status").agg(F.count(F.lit(1)).alias("cnt")) \
         .select("cnt", "task", "run_status")
 
@@ -682,6 +693,7 @@ def q_status_counts(spark, sf):
 
 
 def distinct_tasks(runs: DataFrame, like: str) -> DataFrame:
+    """Distinct task names, quoted, ready to paste into an IN list."""
     return runs.filter(F.col("task").like(like)).select(
         F.concat(F.lit("'"), F.col("task"), F.lit("'")).alias("quoted_task")).distinct()
 
@@ -727,6 +739,7 @@ def q_job_state_report(spark, sf):
 
 
 def scheduled_not_running(scheduled: DataFrame, jobs: DataFrame, owner: str = "BIB_META") -> DataFrame:
+    """Jobs scheduled in the framework table but absent from the scheduler (MINUS)."""
     a = scheduled.filter(F.col("job_status") == "SCHEDULED").select("job_name")
     b = jobs.filter((F.col("owner") == owner) & F.col("state").isin("SCHEDULED", "RUNNING")).select("job_name")
     return a.subtract(b)
@@ -744,6 +757,7 @@ def q_scheduled_not_running(spark, sf):
 
 def job_failures_on_day(job_log: DataFrame, details: DataFrame, as_of: dt.datetime,
                         owner: str = "BIB_META") -> DataFrame:
+    """Non-successful scheduler runs of the ``as_of`` day, first 100 characters of the error."""
     lg = job_log.filter((F.to_date("log_date") == day_of(as_of)) & (F.col("status") != "SUCCEEDED")
                         & (F.col("owner") == owner))
     j = lg.join(details.select("log_id", "additional_info"), "log_id")
@@ -763,6 +777,7 @@ def q_job_failures_on_day(spark, sf):
 
 
 def maintenance_jobs(jobs: DataFrame, like: str) -> DataFrame:
+    """Maintenance jobs with the number cut from the last three characters of the name."""
     j = jobs.filter(F.col("job_name").like(like))
     return j.select(F.replace(F.substring("job_name", -3, 3), F.lit("_"), F.lit("")).alias("jobnr"), *jobs.columns) \
         .orderBy("job_name")
@@ -801,6 +816,7 @@ def q_orphan_runs(spark, sf):
 
 
 def run_sessions(runs: DataFrame, sessions: DataFrame, as_of: dt.datetime, status: str = "RUNNING") -> DataFrame:
+    """Runs with the session carrying their id (parsed from client info) and minutes so far."""
     r = runs.filter(F.col("run_status") == status)
     g = sessions.select(session_run_id("client_info").alias("_rid"), "sid")
     j = r.join(g, r["run_id"].cast("string") == g["_rid"], "left")
