@@ -705,7 +705,7 @@ def q_distinct_tasks(spark, sf):
 
 # --------------------------------------------------------------------- R21-R26 (snapshots)
 def job_state_report(jobs: DataFrame, running: DataFrame, tasks: DataFrame, as_of: dt.datetime,
-                     owners=("BIB_CTL", "BIB_META")) -> DataFrame:
+                     owners=("DW_CTL", "DW_META")) -> DataFrame:
     """Disabled jobs, and running jobs with their session and elapsed time."""
     j = jobs.filter(F.col("owner").isin(*owners)).select(
         "owner", "job_name", "state",
@@ -738,7 +738,7 @@ def q_job_state_report(spark, sf):
     return job_state_report(fx.jobs, fx.running_jobs, fx.tasks, AS_OF_FILES, owners=("DW",))
 
 
-def scheduled_not_running(scheduled: DataFrame, jobs: DataFrame, owner: str = "BIB_META") -> DataFrame:
+def scheduled_not_running(scheduled: DataFrame, jobs: DataFrame, owner: str = "DW_META") -> DataFrame:
     """Jobs scheduled in the framework table but absent from the scheduler (MINUS)."""
     a = scheduled.filter(F.col("job_status") == "SCHEDULED").select("job_name")
     b = jobs.filter((F.col("owner") == owner) & F.col("state").isin("SCHEDULED", "RUNNING")).select("job_name")
@@ -756,7 +756,7 @@ def q_scheduled_not_running(spark, sf):
 
 
 def job_failures_on_day(job_log: DataFrame, details: DataFrame, as_of: dt.datetime,
-                        owner: str = "BIB_META") -> DataFrame:
+                        owner: str = "DW_META") -> DataFrame:
     """Non-successful scheduler runs of the ``as_of`` day, first 100 characters of the error."""
     lg = job_log.filter((F.to_date("log_date") == day_of(as_of)) & (F.col("status") != "SUCCEEDED")
                         & (F.col("owner") == owner))
