@@ -712,12 +712,12 @@ def job_state_report(jobs: DataFrame, running: DataFrame, tasks: DataFrame, as_o
         F.when(F.col("state") == "RUNNING", secs_between("last_start_date", ts_lit(as_of))).alias("run_time_sec"),
         F.split_part("job_name", F.lit("#"), F.lit(2)).alias("task_id"))
     t = tasks.select(F.col("task_id").cast("string").alias("task_id"), "task")
-    a = j.filter(F.col("state") == "DISABLED").join(t, "task_id", "left") \
-        .withColumn("sid", F.lit(None).cast("long"))
-    rj = running.select("job_name", F.col("session_id").alias("sid"))
-    b = j.filter(F.col("state") == "RUNNING").join(t, "task_id", "left").join(rj, "job_name", "left")
+    # Disabled and running jobs in one pass; only running jobs take a session.
+    rj = running.select("job_name", F.col("session_id").alias("sid"), F.lit("RUNNING").alias("state"))
+    out = j.filter(F.col("state").isin("DISABLED", "RUNNING")).join(t, "task_id", "left") \
+        .join(rj, ["job_name", "state"], "left")
     cols = ["sid", "run_time_sec", "owner", "job_name", "task", "task_id", "state"]
-    return a.select(cols).unionByName(b.select(cols)) \
+    return out.select(cols) \
         .orderBy(F.col("task_id").desc_nulls_first(), F.col("sid").desc_nulls_first())
 
 
