@@ -19,8 +19,18 @@ from opsight.sources.fixtures import fixtures
 
 
 def event_time(df: DataFrame, column: str, alias: str = "event_time") -> DataFrame:
-    """Watermarks need TIMESTAMP (not TIMESTAMP_NTZ): add a zoned copy of the clock column."""
-    return df.withColumn(alias, F.col(column).cast("timestamp"))
+    """Watermarks need TIMESTAMP (not TIMESTAMP_NTZ): add a zoned copy of the clock column.
+
+    A batch DataFrame keeps the zone-free value (windows then do not depend on
+    the session time zone); only a stream needs the zoned copy.
+    """
+    return df.withColumn(alias, F.col(column).cast("timestamp") if df.isStreaming else F.col(column))
+
+
+def watermarked(df: DataFrame, column: str, lateness: str, alias: str = "event_time") -> DataFrame:
+    """Event-time column plus a watermark on streams (a batch has nothing late)."""
+    e = event_time(df, column, alias)
+    return e.withWatermark(alias, lateness) if df.isStreaming else e
 
 
 def _ntz(c: str) -> F.Column:
@@ -31,7 +41,7 @@ def _ntz(c: str) -> F.Column:
 def stream_hourly(df: DataFrame, ts_col: str, value_col: str | None = None, lateness: str = "2 hours",
                   window: str = "1 hour", slide: str | None = None, keys=()) -> DataFrame:
     """Rows (and a value sum) per tumbling - or sliding - event-time window."""
-    e = event_time(df, ts_col).withWatermark("event_time", lateness)
+    e = watermarked(df, ts_col, lateness)
     w = F.window("event_time", window, slide) if slide else F.window("event_time", window)
     aggs = [F.count(F.lit(1)).alias("cnt")]
     if value_col:
@@ -55,7 +65,7 @@ def q_stream_hourly(spark, sf):
 def stream_session_pivot(log: DataFrame, gap: str = "30 minutes", lateness: str = "1 hour",
                          key: str = "task_id") -> DataFrame:
     """Registration sessions by activity gap, with milestone times and counts."""
-    e = event_time(log, "error_sysdate").withWatermark("event_time", lateness)
+    e = watermarked(log, "error_sysdate", lateness)
     m = F.col("message")
     g = e.groupBy(key, F.session_window("event_time", gap).alias("s")).agg(
         F.max(F.when(m.like("%Task: TF_%"), F.col("error_sysdate"))).alias("start_date"),
@@ -99,11 +109,11 @@ def stream_start_end(log: DataFrame, max_span: str = "1 day", lateness: str = "2
     """
     e = event_time(log, "error_sysdate")
     s = e.filter(F.col("message").like("%Task: TF_%")).select(
-        F.col(key).alias("s_key"), F.col("event_time").alias("s_time"), F.col("log_id").alias("start_log_id")) \
-        .withWatermark("s_time", lateness)
+        F.col(key).alias("s_key"), F.col("event_time").alias("s_time"), F.col("log_id").alias("start_log_id"))
     t = e.filter(F.col("message") == "END: File Task Register").select(
-        F.col(key).alias("e_key"), F.col("event_time").alias("e_time"), F.col("log_id").alias("end_log_id")) \
-        .withWatermark("e_time", lateness)
+        F.col(key).alias("e_key"), F.col("event_time").alias("e_time"), F.col("log_id").alias("end_log_id"))
+    if log.isStreaming:
+        s, t = s.withWatermark("s_time", lateness), t.withWatermark("e_time", lateness)
     cond = (F.col("s_key") == F.col("e_key")) & (F.col("e_time") >= F.col("s_time")) \
         & (F.col("e_time") <= F.col("s_time") + F.expr(f"INTERVAL {max_span}"))
     j = s.join(t, cond, "leftOuter")
@@ -127,7 +137,7 @@ def stream_dedup(files: DataFrame, keys=("short_filename",), lateness: str = "1
     if not files.isStreaming:
         # A finished batch is one closed window: plain de-duplication.
         return files.dropDuplicates(list(keys))
-    e = event_time(files, "register_datetime").withWatermark("event_time", lateness)
+    e = watermarked(files, "register_datetime", lateness)
     return e.dropDuplicatesWithinWatermark(list(keys)).drop("event_time")
 
 

@@ -48,3 +48,17 @@ def test_operators_never_collect_to_the_driver():
     for p in pathlib.Path(ROOT, "opsight").rglob("*.py"):
         src = p.read_text()
         assert not re.search(r"\.(collect|toPandas|toLocalIterator|localCheckpoint)\(", src), p
+
+
+@pytest.mark.parametrize("name", ["stream_hourly", "stream_session_pivot", "hourly_registrations", "long_running",
+                                  "registration_pivot", "parameter_check", "unarchived_files"])
+def test_results_do_not_depend_on_session_time_zone(spark, name):
+    from opsight.plans.registry import oracle_sql
+    from tools.check_oracle import compare, duck
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        df = registry()[name].build(spark, SF_SMALL)
+        assert compare(name, df, duck(SF_SMALL), oracle_sql(name), verbose=True)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
