@@ -382,18 +382,21 @@ def cascade_delete(tables: dict, batch_ids: DataFrame) -> dict:
     """Remove a set of batches from runs, files, batches and file-keyed tables.
 
     ``tables``: name -> DataFrame; tables with ``batch_id`` lose those rows,
-    tables keyed by ``file_key`` lose the rows of the deleted files (keys are
-    found first, as the script does).
+    tables keyed by ``file_key`` or ``run_id`` (histograms, run errors) lose the
+    rows of the deleted files and runs (keys are found first, as the script does).
     """
     ids = batch_ids.select("batch_id").distinct()
     out = {}
-    files = tables.get("files")
+    files, runs = tables.get("files"), tables.get("runs")
     dead_files = files.join(ids, "batch_id", "left_semi").select("file_key").distinct() if files is not None else None
+    dead_runs = runs.join(ids, "batch_id", "left_semi").select("run_id").distinct() if runs is not None else None
     for name, df in tables.items():
         if "batch_id" in df.columns:
             out[name] = df.join(ids, "batch_id", "left_anti")
         elif "file_key" in df.columns and dead_files is not None:
             out[name] = df.join(dead_files, "file_key", "left_anti")
+        elif "run_id" in df.columns and dead_runs is not None:     # run errors
+            out[name] = df.join(dead_runs, "run_id", "left_anti")
         else:
             out[name] = df
     return out

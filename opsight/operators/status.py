@@ -516,12 +516,13 @@ def q_task_status_rollup(spark, sf):
 
 def _hour_rollup(tasks: DataFrame, runs: DataFrame, from_key: str, task_cond, by_task: bool) -> DataFrame:
     when = F.coalesce(F.col("end_date"), F.col("start_date"))
+    hour = "last_run_tm" if by_task else "hrs"     # the two reports name the hour differently
     r = runs.select("*", F.date_format(when, "yyyyMMdd").alias("date_key"),
-                    F.date_format(when, "HH").alias("last_run_tm")).filter(F.col("date_key") >= from_key)
-    inner = ["task_id", "date_key", "last_run_tm"] + (["task"] if by_task else [])
+                    F.date_format(when, "HH").alias(hour)).filter(F.col("date_key") >= from_key)
+    inner = ["task_id", "date_key", hour] + (["task"] if by_task else [])
     parts = _status_partials(r, inner)
     t = tasks.filter(task_cond).select("task_id", "task_type")
-    outer = ["task_type", "date_key", "last_run_tm"] + (["task"] if by_task else [])
+    outer = ["task_type", "date_key", hour] + (["task"] if by_task else [])
     merged = _merge_partials(parts.join(t, "task_id"), outer)
     return merged.select(*outer, *_status_measures(merged, HOURLY_TEXT))
 
@@ -544,7 +545,7 @@ def _hour_sql(by_task: bool, cond: str) -> str:
     when = "coalesce(a.end_date, a.start_date)"
     task_col = "a.task, " if by_task else ""
     return f"""
-SELECT b.task_type, strftime({when}, '%Y%m%d') AS date_key, {task_col}strftime({when}, '%H') AS last_run_tm,
+SELECT b.task_type, strftime({when}, '%Y%m%d') AS date_key, {task_col}strftime({when}, '%H') AS {'last_run_tm' if by_task else 'hrs'},
        {_rollup_sql_measures(text_cols=HOURLY_TEXT)}
 FROM fx_runs a JOIN fx_tasks b ON a.task_id = b.task_id
 WHERE {cond} AND strftime({when}, '%Y%m%d') >= '20240115'

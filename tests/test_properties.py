@@ -68,10 +68,12 @@ def test_advance_never_past_yesterday(spark):  # D5 property
 def test_cascade_delete_leaves_no_orphans(spark):  # D13 property
     fx = fixtures(spark, SF_SMALL)
     ids = fx.batches.filter("load_status = 'AUDITFAILED'").select("batch_id")
-    out = cascade_delete({"files": fx.files, "runs": fx.runs, "batches": fx.batches}, ids)
+    errors = fx.runs.select("run_id", F.lit("ORA-1").alias("message"))
+    out = cascade_delete({"files": fx.files, "runs": fx.runs, "batches": fx.batches, "run_errors": errors}, ids)
     for name in ("files", "runs", "batches"):
         assert out[name].join(ids, "batch_id", "left_semi").count() == 0
     assert out["files"].count() == fx.files.join(ids, "batch_id", "left_anti").count()
+    assert out["run_errors"].join(out["runs"], "run_id", "left_anti").count() == 0
 
 
 def test_insert_rows_ids_continue_the_sequence(spark):  # D14 / S27
