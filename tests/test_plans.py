@@ -26,3 +26,11 @@ def test_projection_pruned_at_scan(spark):
     p = plan(registry()["hourly_registrations"].build(spark, SF_SMALL))
     schema = p.split("ReadSchema:")[1].split("\n")[0]
     assert "l_extendedprice" not in schema and "l_shipdate" in schema
+
+
+@pytest.mark.parametrize("name", ["task_status_rollup", "failed_run_detail", "bad_row_rate", "unarchived_files",
+                                  "queue_backlog", "run_speed_today"])
+def test_no_sort_merge_join_to_tasks(spark, name):
+    # The task dimension is small here: the planner broadcasts it (a size it has checked).
+    p = plan(registry()[name].build(spark, SF_SMALL))
+    assert "SortMergeJoin" not in p
