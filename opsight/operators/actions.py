@@ -45,7 +45,7 @@ def set_status(runs: DataFrame, predicate: Column, status: str, delta: bool = Fa
 @query("set_status", "D1", """
 SELECT run_id, task_id, batch_id, task,
        CASE WHEN coalesce(run_status = 'FAILED' AND rows_error > 50, false) THEN 'RUNABLE' ELSE run_status END AS run_status,
-       start_date, end_date, rows_loaded, rows_error, rows_inserted, rows_updated, diy_parameter, remark
+       start_date, end_date, rows_loaded, rows_error, rows_inserted, rows_updated, diy_parameter, direct_exec_sql, remark
 FROM fx_runs
 """)
 def q_set_status(spark, sf):
@@ -123,7 +123,7 @@ SELECT run_id, task_id, batch_id, task,
        CASE WHEN task LIKE 'Customer#%' AND run_status IN ('FAILED')
                  AND batch_id NOT IN (SELECT t.batch_id FROM tops t WHERE t.task = r.task AND t.diy_parameter = r.diy_parameter)
             THEN 'HOLD_MK' ELSE run_status END AS run_status,
-       start_date, end_date, rows_loaded, rows_error, rows_inserted, rows_updated, diy_parameter, remark
+       start_date, end_date, rows_loaded, rows_error, rows_inserted, rows_updated, diy_parameter, direct_exec_sql, remark
 FROM fx_runs r
 """)
 def q_hold_all_but_top(spark, sf):
@@ -246,7 +246,7 @@ def spread_start_times(runs: DataFrame, task_like: str, lo: int, hi: int, per_da
 
 
 _RUN_COLS = ("run_id, task_id, batch_id, task, run_status, {start}, end_date, rows_loaded, rows_error, rows_inserted, "
-             "rows_updated, diy_parameter, remark")
+             "rows_updated, diy_parameter, direct_exec_sql, remark")
 
 
 @query("spread_start_times", "D8", f"""
@@ -312,7 +312,7 @@ picked AS (SELECT rr.run_id FROM fx_runs rr JOIN fx_batches b ON rr.batch_id = b
 SELECT r.run_id, task_id, batch_id, task,
        CASE WHEN p.run_id IS NOT NULL THEN 'CLOSED' ELSE run_status END AS run_status, start_date,
        CASE WHEN p.run_id IS NOT NULL THEN {chr(39)}2024-01-31 00:00:00{chr(39)}::TIMESTAMP ELSE end_date END AS end_date,
-       rows_loaded, rows_error, rows_inserted, rows_updated, diy_parameter, remark
+       rows_loaded, rows_error, rows_inserted, rows_updated, diy_parameter, direct_exec_sql, remark
 FROM fx_runs r LEFT JOIN (SELECT DISTINCT run_id FROM picked) p ON r.run_id = p.run_id
 """)
 def q_close_group_runs(spark, sf):
@@ -339,7 +339,7 @@ WITH t AS (SELECT DISTINCT task FROM fx_log l, fx_runs r WHERE r.task_id = l.tas
            AND process_name = 'DW_KERNEL' AND l.message LIKE '%partition number is invalid%')
 SELECT run_id, task_id, batch_id, r.task, CASE WHEN c THEN 'RUNABLE' ELSE run_status END AS run_status,
        CASE WHEN c THEN TIMESTAMP '2023-10-23 00:00:00' ELSE start_date END AS start_date, end_date, rows_loaded,
-       rows_error, rows_inserted, rows_updated, diy_parameter, remark
+       rows_error, rows_inserted, rows_updated, diy_parameter, direct_exec_sql, remark
 FROM (SELECT r.*, coalesce(r.task IN (SELECT task FROM t) AND r.run_status = 'FAILED'
                            AND r.start_date > TIMESTAMP '2024-01-30 00:00:00', false) AS c FROM fx_runs r) r
 """)
@@ -370,7 +370,7 @@ def reset_failed_batches(batches: DataFrame, batch_ids=None, delta: bool = False
 
 @query("reset_failed", "D12", """
 SELECT run_id, task_id, batch_id, task, 'RUNABLE' AS run_status, start_date, end_date, rows_loaded, rows_error,
-       rows_inserted, rows_updated, diy_parameter, remark
+       rows_inserted, rows_updated, diy_parameter, direct_exec_sql, remark
 FROM fx_runs WHERE run_status = 'FAILED' AND task LIKE 'Customer#%' AND task NOT LIKE '%PATTERN%'
 """)
 def q_reset_failed(spark, sf):

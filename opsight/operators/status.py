@@ -337,14 +337,14 @@ def run_board(runs: DataFrame, tasks: DataFrame, batches: DataFrame, ranges: Dat
     t = tasks.select("task_id", "task_business_area")
     j = rb.join(t, "task_id", "left").join(stats, "run_id", "left")
     cols_null = ["src_dtk", "rows_loaded", "run_id", "batch_id", "copied_batch_id", "task_id", "rows_error",
-                 "diy_parameter", "task_business_area", "range_cnt", "avg_dur", "max_dur", "min_rps",
+                 "diy_parameter", "direct_exec_sql", "task_business_area", "range_cnt", "avg_dur", "max_dur", "min_rps",
                  "avg_rps", "max_rps"]
     board = j.select(
         "section", "section_rank", F.col("c_dw_date_key").alias("src_dtk"), _my_dtk().alias("my_dtk"),
         "run_status", "task", F.round(secs_between("start_date", "end_date"), 6).alias("duration_sec"),
         _ts_text("start_date").alias("start_date"), _ts_text("end_date").alias("end_date"),
         "rows_loaded", "run_id", "batch_id", F.col("c_copied_batch_id").alias("copied_batch_id"),
-        "task_id", "rows_error", "diy_parameter", "task_business_area", "range_cnt",
+        "task_id", "rows_error", "diy_parameter", "direct_exec_sql", "task_business_area", "range_cnt",
         F.col("avg_duration").alias("avg_dur"), F.col("max_duration").alias("max_dur"),
         F.col("min_rows_persec").alias("min_rps"), F.col("avg_rows_persec").alias("avg_rps"),
         F.col("max_rows_persec").alias("max_rps"))
@@ -388,7 +388,7 @@ SELECT s.section, s.section_rank, c.dw_date_key AS src_dtk,
        coalesce(CAST(b.dw_date_key AS VARCHAR), a.diy_parameter, '_') AS my_dtk, a.run_status, a.task,
        round({D.secs('a.start_date', 'a.end_date')}, 6) AS duration_sec,
        {D.ts_text('a.start_date')} AS start_date, {D.ts_text('a.end_date')} AS end_date, a.rows_loaded, a.run_id,
-       a.batch_id, c.copied_batch_id, a.task_id, a.rows_error, a.diy_parameter, t.task_business_area,
+       a.batch_id, c.copied_batch_id, a.task_id, a.rows_error, a.diy_parameter, a.direct_exec_sql, t.task_business_area,
        d.range_cnt, d.avg_duration AS avg_dur, d.max_duration AS max_dur, d.min_rows_persec AS min_rps,
        d.avg_rows_persec AS avg_rps, d.max_rows_persec AS max_rps
 FROM fx_runs a JOIN sections s ON a.task = s.task
@@ -400,7 +400,7 @@ WHERE a.run_status NOT IN ('CANCELLED')
   AND coalesce(CAST(b.dw_date_key AS VARCHAR), a.diy_parameter, '_') = {_R9_KEY_SQL}
 UNION ALL
 SELECT '6.1.A', 0.0, NULL, my_dtk, run_status, task, duration_sec, start_date, end_date, NULL, NULL, NULL, NULL,
-       NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+       NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
 FROM ({_r9_sql(_R9_KEY_SQL)})
 """)
 def q_run_board(spark, sf):
@@ -613,14 +613,14 @@ def run_times(runs: DataFrame, tasks_in, as_of_hours: float = 0.1) -> DataFrame:
         F.lit(" order by 1 desc"))
     return r.select("run_id", "task", "run_status",
                     round_duration("start_date", "end_date", 60, 2).alias("run_time"),
-                    "start_date", "end_date", "rows_loaded", "batch_id", "diy_parameter",
+                    "start_date", "end_date", "rows_loaded", "batch_id", "diy_parameter", "direct_exec_sql",
                     follow.alias("get_run_detail_logs")) \
         .orderBy(F.col("start_date").desc_nulls_last(), F.col("run_id").desc())
 
 
 @query("run_times", "R15", f"""
 SELECT run_id, task, run_status, {D.round_duration('start_date', 'end_date', 60, 2)} AS run_time, start_date, end_date,
-       rows_loaded, batch_id, diy_parameter,
+       rows_loaded, batch_id, diy_parameter, direct_exec_sql,
        concat_ws('', 'select * from dw_rt_log_app where dw_task_id=', CAST(task_id AS VARCHAR), ' and dw_batch_id=',
                  CAST(batch_id AS VARCHAR), '  and dw_run_id=', CAST(run_id AS VARCHAR),
                  ' AND error_sysdate >= sysdate-0.1 and dw_inst_id=', replace(substr(trim(remark), -2, 2), ';', ''),

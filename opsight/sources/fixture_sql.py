@@ -62,6 +62,7 @@ SELECT event_id AS run_id, user_id AS task_id, event_id * 2 - event_id % 2 AS ba
        CASE WHEN event_type <> 'click' THEN k * 600 END AS rows_inserted,
        CASE WHEN event_type <> 'click' THEN k * 400 END AS rows_updated,
        strftime(ts, '%Y%m%d') AS diy_parameter,
+       CASE WHEN event_type = 'signup' THEN 'BEGIN dw_load(' || CAST(k AS VARCHAR) || '); END;' END AS direct_exec_sql,
        event_type AS remark
 FROM fx_ev""", ("fx_ev",))
 

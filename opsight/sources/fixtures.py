@@ -103,6 +103,7 @@ class Fixtures:
             "CASE WHEN event_type <> 'click' THEN k * 600 END AS rows_inserted",
             "CASE WHEN event_type <> 'click' THEN k * 400 END AS rows_updated",
             "date_format(ts, 'yyyyMMdd') AS diy_parameter",
+            "CASE WHEN event_type = 'signup' THEN concat('BEGIN dw_load(', CAST(k AS STRING), '); END;') END AS direct_exec_sql",
             "event_type AS remark"]
 
     @cached_property
