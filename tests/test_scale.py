@@ -62,3 +62,29 @@ def test_results_do_not_depend_on_session_time_zone(spark, name):
         assert compare(name, df, duck(SF_SMALL), oracle_sql(name), verbose=True)
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_hot_key_join_is_split_by_adaptive_skew_handling(spark):
+    """A task holding two thirds of the runs: AQE splits its partition (skew=true) and results stay exact."""
+    from opsight.operators.status import failed_run_detail
+    from opsight.sources.fixtures import Fixtures
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        fx = Fixtures(spark, SF_SMALL, spread=False)
+        hot = fx.runs.withColumn("task_id", F.lit(7).cast("long"))
+        skewed = fx.runs.unionByName(hot).unionByName(hot.withColumn("run_id", F.col("run_id") + 10 ** 7))
+        df = failed_run_detail(skewed, fx.tasks)
+        rows = df.collect()
+        p = plan(df)
+        assert "isFinalPlan=true" in p and "skew=true" in p
+        assert len(rows) == skewed.filter("run_status = 'FAILED'").join(fx.tasks.select("task_id"), "task_id").count()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
