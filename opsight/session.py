@@ -75,7 +75,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="opsight-ckpt-")
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a shared, "
+                               "fault-tolerant folder (a machine-local folder would be lost with its executor)")
+        d = tempfile.mkdtemp(prefix="opsight-ckpt-")   # local mode only (tests, bench)
         spark.conf.set("spark.checkpoint.dir", d)
     try:
         spark.sparkContext.setCheckpointDir(d)
