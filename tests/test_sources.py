@@ -35,3 +35,13 @@ def test_parameterized_query_and_view(spark):
     n = parameterized(spark, "SELECT count(*) AS n FROM maint_queue WHERE segment_name = :seg", seg="Brand#7").first().n
     assert n == fixtures(spark, SF_SMALL).queue.filter("segment_name = 'Brand#7'").count()
     assert one_row(spark).count() == 1
+
+
+def test_create_table_as_select(spark):
+    from opsight.sources.readers import to_table
+    df = fixtures(spark, SF_SMALL).tasks.filter("task_type = 'FILE'")
+    to_table(df, "opsight_ctas_check")
+    try:
+        assert spark.table("opsight_ctas_check").count() == df.count()
+    finally:
+        spark.sql("DROP TABLE IF EXISTS opsight_ctas_check")
