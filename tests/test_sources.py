@@ -45,3 +45,17 @@ def test_create_table_as_select(spark):
         assert spark.table("opsight_ctas_check").count() == df.count()
     finally:
         spark.sql("DROP TABLE IF EXISTS opsight_ctas_check")
+
+
+def test_fixture_views_conform_to_declared_schemas(spark):
+    import pytest as _pytest
+    from opsight.sources.fixtures import FX_NAMES
+    from opsight.sources.schemas import DDL, conform, schema
+    fx = fixtures(spark, SF_SMALL)
+    for n in FX_NAMES:
+        df = fx.get(n)
+        got = [(f.name, f.dataType.simpleString()) for f in conform(df, n[3:]).schema.fields]
+        assert got == [(f.name, f.dataType.simpleString()) for f in schema(n[3:]).fields], n
+    with _pytest.raises(ValueError):
+        conform(fx.runs.drop("run_status"), "runs")
+    assert set(DDL) == {n[3:] for n in FX_NAMES}
