@@ -16,12 +16,16 @@ def key(sec: str):
 
 
 def main():
+    import importlib
     rows = sorted(registry().values(), key=lambda q: key(q.section))
-    print("| SURVEY id | query / function | module | oracle |")
-    print("| --- | --- | --- | --- |")
+    print("| SURVEY id | query / function | module | what it computes | oracle |")
+    print("| --- | --- | --- | --- | --- |")
     for q in rows:
-        mod = q.build.__module__.replace("opsight.", "")
-        print(f"| {q.section} | `{q.name}` | `{mod}` | {'DuckDB SQL' if q.oracle else 'rows only'} |")
+        mod = importlib.import_module(q.build.__module__)
+        fn = getattr(mod, q.name, None)
+        doc = ((fn.__doc__ if fn is not None else None) or "").strip().split("\n")[0].replace("|", "\\|")
+        name = q.build.__module__.replace("opsight.", "")
+        print(f"| {q.section} | `{q.name}` | `{name}` | {doc} | {'DuckDB SQL' if q.oracle else 'rows only'} |")
 
 
 if __name__ == "__main__":
