@@ -59,3 +59,19 @@ def test_fixture_views_conform_to_declared_schemas(spark):
     with _pytest.raises(ValueError):
         conform(fx.runs.drop("run_status"), "runs")
     assert set(DDL) == {n[3:] for n in FX_NAMES}
+
+
+def test_framework_tables_bridge(spark):
+    from pyspark.sql import functions as F
+    from opsight.sources.framework import FRAMEWORK_COLUMNS, FRAMEWORK_TABLES, framework_tables
+    fx = fixtures(spark, SF_SMALL)
+    back = {v: k for k, v in FRAMEWORK_COLUMNS.items()}
+    site = {}
+    for name, table in FRAMEWORK_TABLES.items():
+        df = fx.get("fx_" + name)
+        site["SITE." + table] = df.select(*[F.col(c).alias(back.get(c, c.upper())) for c in df.columns])
+    got = framework_tables(site.__getitem__, schema_prefix="SITE.")
+    for name in FRAMEWORK_TABLES:
+        want = fx.get("fx_" + name)
+        assert got[name].columns[:len(want.columns)] == want.columns, name
+    assert sorted(got["runs"].collect()) == sorted(fx.runs.collect())
