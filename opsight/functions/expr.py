@@ -88,10 +88,6 @@ def ratio(num, den) -> Column:
     return F.try_divide(col(num).cast("double"), F.nullif(col(den), F.lit(0)).cast("double"))
 
 
-def round2(x, digits: int = 2) -> Column:
-    return F.round(col(x).cast("double"), digits).cast("double")
-
-
 def hms_text(secs, hour_tag: str = "H") -> Column:
     """Seconds -> ``xH:ym:zs`` with floors as in the duration columns."""
     a = col(secs)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from opsight.functions import duck as D
 from opsight.functions import texts as T
 from opsight.functions.expr import (
-    BUCKET_STATUSES, cnt_if, day_of, days_ago, hms_text, key_to_date, micros_between, num_text,
+    BUCKET_STATUSES, OPEN_STATUSES, cnt_if, day_of, days_ago, hms_text, key_to_date, micros_between, num_text,
     round_duration, round_rate, secs_between, ts_lit,
 )
 from opsight.plans.registry import query
@@ -94,7 +94,7 @@ def q_failed_run_alerts(spark, sf):
 # --------------------------------------------------------------------- R3
 def queue_backlog(runs: DataFrame, tasks: DataFrame, batches: DataFrame, min_size: int = 5) -> DataFrame:
     """Open runs per task (queue size, source and own date keys, run ids), queues above ``min_size``."""
-    r = runs.filter(F.col("run_status").isin("FAILED", "RUNABLE", "RUNNING", "PENDING", "WAITING"))
+    r = runs.filter(F.col("run_status").isin(*OPEN_STATUSES))
     rb = _with_batches(r, batches, copied=True).select(
         "task_id", "run_id", F.col("c_dw_date_key").alias("src_dtk"), _my_dtk().alias("my_dtk"))
     agg = rb.groupBy("task_id").agg(

@@ -7,7 +7,6 @@ this registry; nothing else keeps a second list.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -57,9 +56,3 @@ def oracle_sql(name: str) -> str | None:
     q = registry()[name]
     return None if q.oracle is None else with_fixtures(q.oracle)
 
-
-_WS = re.compile(r"\s+")
-
-
-def compact(sql: str) -> str:
-    return _WS.sub(" ", sql).strip()

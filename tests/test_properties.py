@@ -99,3 +99,12 @@ def test_alert_checks_on_clean_input_are_empty(spark):  # must-return-empty conv
     assert long_running(clean, AS_OF_RUNS).count() == 0
     one = clean.limit(1).withColumn("run_status", F.lit("FAILED"))
     assert failed_run_alerts(clean.unionByName(one)).count() == 1
+
+
+def test_reset_failed_batches(spark):  # D12, batch side
+    from opsight.operators.actions import reset_failed_batches
+    fx = fixtures(spark, SF_SMALL)
+    out = reset_failed_batches(fx.batches)
+    assert out.count() == fx.batches.count()
+    assert out.filter("load_status = 'AUDITFAILED'").count() == 0
+    assert reset_failed_batches(fx.batches, delta=True).count() == fx.batches.filter("load_status = 'AUDITFAILED'").count()
