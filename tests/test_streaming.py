@@ -83,3 +83,12 @@ def test_late_rows_are_dropped(spark):
     rows = spark.read.parquet(out).collect()
     assert all(r.window_start != dt.datetime(2024, 1, 10, 11, 0) for r in rows)
     assert any(r.window_start == dt.datetime(2024, 1, 10, 12, 0) for r in rows)
+
+
+def test_sliding_window_counts_each_row_window_over_slide_times(spark):
+    from pyspark.sql import functions as F
+    files = fixtures(spark, SF_SMALL).files.select("register_datetime", "row_count", "processing_status")
+    out = stream_hourly(files, "register_datetime", "row_count", window="2 hours", slide="1 hour",
+                        keys=("processing_status",))
+    assert out.agg(F.sum("cnt")).first()[0] == 2 * files.count()
+    assert out.filter((F.col("window_end") - F.col("window_start")) != F.expr("INTERVAL 2 HOURS")).count() == 0
