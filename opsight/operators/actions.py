@@ -61,7 +61,7 @@ def set_attribute(df: DataFrame, predicate: Column, column: str, value, delta: b
 @query("set_attribute", "D3", """
 SELECT task_id, task, CASE WHEN task_business_area = 'BUILDING' THEN 20240130 ELSE max_key END AS max_key, is_runnable, task_type,
        parameter_type, task_business_area, task_technical_area, task_target_type, source_system, pattern_task,
-       copy_batch_ind, super_batch_ind, max_file_load_concurrency
+       copy_batch_ind, super_batch_ind, max_file_load_concurrency, flex1, flex2
 FROM fx_tasks
 """)
 def q_set_attribute(spark, sf):

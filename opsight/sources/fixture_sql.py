@@ -40,7 +40,9 @@ SELECT c_custkey AS task_id, c_name AS task,
             ELSE {TASK_NAME.format(c='c_custkey - 1')} END AS pattern_task,
        CASE WHEN c_custkey % 2 = 0 THEN 'Y' ELSE 'N' END AS copy_batch_ind,
        CASE WHEN c_custkey % 7 = 0 THEN 'Y' ELSE 'N' END AS super_batch_ind,
-       CAST(c_custkey % 8 + 1 AS BIGINT) AS max_file_load_concurrency
+       CAST(c_custkey % 8 + 1 AS BIGINT) AS max_file_load_concurrency,
+       'P' || CAST(c_custkey % 3 AS VARCHAR) AS flex1,
+       'node' || CAST(c_custkey % 4 + 1 AS VARCHAR) AS flex2
 FROM customer""")
 
 _fx("fx_runs", f"""

@@ -233,7 +233,9 @@ class Fixtures:
             f"CASE WHEN c_custkey = 0 THEN 'Pattern task' ELSE {task_name('c_custkey - 1')} END AS pattern_task",
             "CASE WHEN c_custkey % 2 = 0 THEN 'Y' ELSE 'N' END AS copy_batch_ind",
             "CASE WHEN c_custkey % 7 = 0 THEN 'Y' ELSE 'N' END AS super_batch_ind",
-            "CAST(c_custkey % 8 + 1 AS BIGINT) AS max_file_load_concurrency")
+            "CAST(c_custkey % 8 + 1 AS BIGINT) AS max_file_load_concurrency",
+            "concat('P', CAST(c_custkey % 3 AS STRING)) AS flex1",
+            "concat('node', CAST(c_custkey % 4 + 1 AS STRING)) AS flex2")
 
     @cached_property
     def steps(self) -> DataFrame:

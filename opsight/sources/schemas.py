@@ -17,7 +17,7 @@ DDL = {
         "task_id bigint, task string, max_key int, is_runnable string, task_type string, parameter_type "
         "string, task_business_area string, task_technical_area string, task_target_type string, "
         "source_system string, pattern_task string, copy_batch_ind string, super_batch_ind string, "
-        "max_file_load_concurrency bigint"
+        "max_file_load_concurrency bigint, flex1 string, flex2 string"
     ),
     "runs": (
         "run_id bigint, task_id bigint, batch_id bigint, task string, run_status string, start_date "
