@@ -108,3 +108,13 @@ def test_reset_failed_batches(spark):  # D12, batch side
     assert out.count() == fx.batches.count()
     assert out.filter("load_status = 'AUDITFAILED'").count() == 0
     assert reset_failed_batches(fx.batches, delta=True).count() == fx.batches.filter("load_status = 'AUDITFAILED'").count()
+
+
+def test_invalid_objects_with_separate_subpartition_catalog(spark):  # C7 with two catalog views
+    from opsight.operators.capacity import invalid_objects
+    fx = fixtures(spark, SF_SMALL)
+    parts = fx.ind_parts.drop("subpart_status")
+    subparts = fx.ind_parts.select("index_owner", "index_name", "subpartition_name", "subpart_status")
+    a = sorted(invalid_objects(fx.ind_parts, fx.indexes).collect())
+    b = sorted(invalid_objects(parts, fx.indexes, ind_subparts=subparts).collect())
+    assert a == b and len(a) > 0
