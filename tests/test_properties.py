@@ -118,3 +118,13 @@ def test_invalid_objects_with_separate_subpartition_catalog(spark):  # C7 with t
     a = sorted(invalid_objects(fx.ind_parts, fx.indexes).collect())
     b = sorted(invalid_objects(parts, fx.indexes, ind_subparts=subparts).collect())
     assert a == b and len(a) > 0
+
+
+def test_maintenance_report_tree(spark):  # SURVEY §3.2: master and the details of one segment
+    from opsight.plans.reports import maintenance_report
+    fx = fixtures(spark, SF_SMALL)
+    rep = maintenance_report(fx.queue, fx.segments, fx.sessions, fx.log, fx.tasks, fx.longops, fx.sql, fx.stats,
+                             fx.stat_names, "Brand#7", AS_OF_RUNS, log_session_key="id_4", log_days=30)
+    assert set(rep) >= {"queue_summary", "queue_detail", "segment_space", "sibling_sessions", "longops_rollup"}
+    assert rep["queue_summary"].count() > 0 and rep["queue_detail"].count() > 0
+    assert rep["queue_detail"].filter("segment_name <> 'Brand#7'").count() == 0
