@@ -3,6 +3,7 @@
     python -m opsight list
     python -m opsight run task_status_rollup --sf /root/testdata/sf0.01 [--out DIR] [--show 20]
     python -m opsight sql task_status_rollup          # the DuckDB twin of a check
+    python -m opsight checklist --sf DIR --out DIR     # every daily check as a CSV sheet
 
 ``--out`` writes the whole result as CSV with a header (the workbook sheet of
 the checklist); ``--show`` only limits what is printed.
@@ -25,6 +26,9 @@ def main(argv=None) -> int:
     r.add_argument("--show", type=int, default=20)
     q = sub.add_parser("sql")
     q.add_argument("name")
+    c = sub.add_parser("checklist")
+    c.add_argument("--sf", default="/root/testdata/sf0.01")
+    c.add_argument("--out", required=True)
     a = ap.parse_args(argv)
 
     from opsight.plans.registry import oracle_sql, registry
@@ -39,6 +43,12 @@ def main(argv=None) -> int:
         for name, q in sorted(reg.items(), key=order):
             print(f"{q.section:8s} {name}")
         return 0
+    if a.cmd == "checklist":
+        from opsight.plans.checklist import run_checklist
+        from opsight.session import get_session
+        for path in run_checklist(get_session("local[*]"), a.sf, a.out):
+            print(path)
+        return 0
     if a.name not in reg:
         print(f"unknown check {a.name!r}; see `python -m opsight list`", file=sys.stderr)
         return 2

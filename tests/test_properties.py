@@ -128,3 +128,16 @@ def test_maintenance_report_tree(spark):  # SURVEY §3.2: master and the details
     assert set(rep) >= {"queue_summary", "queue_detail", "segment_space", "sibling_sessions", "longops_rollup"}
     assert rep["queue_summary"].count() > 0 and rep["queue_detail"].count() > 0
     assert rep["queue_detail"].filter("segment_name <> 'Brand#7'").count() == 0
+
+
+def test_checklist_covers_known_queries_and_writes_sheets(spark):  # SURVEY §3.1
+    import os
+    import tempfile
+    from opsight.plans.checklist import CHECKLIST, checklist, run_checklist
+    from opsight.plans.registry import registry
+    names = [q for _, _, qs, _ in CHECKLIST for q in qs]
+    assert set(names) <= set(registry())
+    assert len(checklist(spark, SF_SMALL)) == len(names)
+    out = tempfile.mkdtemp(prefix="opsight-sheets-")
+    paths = run_checklist(spark, SF_SMALL, out)
+    assert len(paths) == len(names) and all(os.path.isdir(p) for p in paths)
