@@ -53,3 +53,8 @@ ADVANCEMENT_PROCESS = "IT Auto-Advancement"
 ADVANCED_TO = " process date advanced to "
 IS_DAY_MINUS_1 = "Process Date is DAY-1."
 NOT_ADVANCED = "Date NOT advanced due to previous days summaries {gate} not loading any rows."
+
+# Pass-through of group-task runs (D10): " Ended: <task> <n> updates."
+GROUP_RUN_PROCESS = "DW_TG_MAN_RUN"
+GROUP_RUN_ENDED = " Ended: "
+GROUP_RUN_UPDATES = " updates."

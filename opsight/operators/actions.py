@@ -283,13 +283,15 @@ def q_start_from_parameter(spark, sf):
 
 # --------------------------------------------------------------------- D10
 def close_group_runs(tasks: DataFrame, steps: DataFrame, runs: DataFrame, batches: DataFrame, as_of: dt.datetime,
-                     group_like: str = "%TG%", template_like: str = "%STD_GROUP_TASK") -> tuple[DataFrame, DataFrame]:
+                     group_like: str = "%TG%", template_like: str = "%STD_GROUP_TASK"
+                     ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pass a group task's runnable runs through without running them.
 
     Runs: RUNABLE runs of group tasks whose batch is not BATCHED -> CLOSED,
     end = ``as_of``.  Batches of those runs with super-batch flag C or N move
     to the run's task; if two runs share a batch the highest run id wins.
-    Returns (new runs, new batches).
+    Returns (new runs, new batches, log) - the log has one row per group task
+    with its number of updated runs, as the procedure writes it.
     """
     g = tasks.filter(F.col("task").like(group_like)).select("task_id") \
         .join(steps.filter(F.col("template_name").like(template_like)).select("task_id"), "task_id").distinct()
@@ -301,7 +303,13 @@ def close_group_runs(tasks: DataFrame, steps: DataFrame, runs: DataFrame, batche
     winner = picked.groupBy("batch_id").agg(F.max_by("task_id", "run_id").alias("task_id"))
     movable = batches.filter(F.col("super_batch_ind").isin("C", "N")).select("batch_id")
     new_batches = merge_update(batches, winner.join(movable, "batch_id", "left_semi"), "batch_id", ["task_id"])
-    return new_runs, new_batches
+    counts = picked.groupBy("task_id").agg(F.count(F.lit(1)).alias("updates"))
+    log = g.join(counts, "task_id", "left").join(tasks.select("task_id", "task"), "task_id").select(
+        F.lit(T.GROUP_RUN_PROCESS).alias("process_name"), "task_id", "task",
+        F.coalesce("updates", F.lit(0)).alias("updates"),
+        F.concat(F.lit(T.GROUP_RUN_ENDED), F.col("task"), F.lit(" "), F.coalesce("updates", F.lit(0)).cast("string"),
+                 F.lit(T.GROUP_RUN_UPDATES)).alias("message"))
+    return new_runs, new_batches, log
 
 
 @query("close_group_runs", "D10", f"""

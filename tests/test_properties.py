@@ -141,3 +141,15 @@ def test_checklist_covers_known_queries_and_writes_sheets(spark):  # SURVEY §3.
     out = tempfile.mkdtemp(prefix="opsight-sheets-")
     paths = run_checklist(spark, SF_SMALL, out)
     assert len(paths) == len(names) and all(os.path.isdir(p) for p in paths)
+
+
+def test_close_group_runs_log_counts_updates(spark):  # D10 count per task
+    from pyspark.sql import functions as F
+    from opsight.operators.actions import close_group_runs
+    fx = fixtures(spark, SF_SMALL)
+    new_runs, new_batches, log = close_group_runs(fx.tasks, fx.steps, fx.runs, fx.batches, AS_OF_RUNS, "Customer#%")
+    closed = new_runs.join(fx.runs.select("run_id", F.col("run_status").alias("old")), "run_id") \
+        .filter("old = 'RUNABLE' AND run_status = 'CLOSED'").count()
+    assert log.agg(F.sum("updates")).first()[0] == closed > 0
+    assert new_batches.count() == fx.batches.count()
+    assert log.filter(~F.col("message").like(" Ended: Customer#% updates.")).count() == 0
