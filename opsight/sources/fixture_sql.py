@@ -199,7 +199,7 @@ FROM orders WHERE o_orderstatus = 'O'""")
 _fx("fx_scheduled_jobs", """
 SELECT 'JOB#' || CAST(o_custkey AS VARCHAR) || '#' || CAST(o_orderkey AS VARCHAR) AS job_name,
        CASE o_orderstatus WHEN 'F' THEN 'DISABLED' WHEN 'O' THEN 'RUNNING' ELSE 'SCHEDULED' END AS job_status
-FROM orders WHERE o_orderkey % 2 = 0""")
+FROM orders WHERE o_orderpriority <> '5-LOW'""")
 
 _fx("fx_job_log", """
 SELECT o_orderkey AS log_id, o_orderdate AS log_date, 'DW' AS owner,
@@ -322,7 +322,7 @@ SELECT CAST(1 + user_id % 2 AS BIGINT) AS inst_id, event_id AS sid, user_id AS s
        ts AS logon_time, ts AS sql_exec_start,
        k AS seconds_in_wait,
        CASE WHEN event_type = 'error' THEN event_id - 1 END AS blocking_session
-FROM fx_ev WHERE event_id % 3 <> 0""", ("fx_ev",))
+FROM fx_ev WHERE value >= 20""", ("fx_ev",))
 
 _fx("fx_locks", """
 SELECT event_id AS sid, k AS id1, CAST(dayofmonth(ts) AS BIGINT) AS id2,

@@ -158,7 +158,7 @@ class Fixtures:
 
     @cached_property
     def sessions(self) -> DataFrame:
-        return self.ev.filter("event_id % 3 <> 0").selectExpr(
+        return self.ev.filter("value >= 20").selectExpr(
             "CAST(1 + user_id % 2 AS BIGINT) AS inst_id", "event_id AS sid", "user_id AS serial",
             "concat('U', CAST(user_id AS STRING)) AS username",
             "concat('MOD_', event_type) AS module",
@@ -285,7 +285,7 @@ class Fixtures:
 
     @cached_property
     def scheduled_jobs(self) -> DataFrame:
-        return self.raw("orders").filter("o_orderkey % 2 = 0").selectExpr(
+        return self.raw("orders").filter("o_orderpriority <> '5-LOW'").selectExpr(
             f"{self._job_name()} AS job_name",
             "CASE o_orderstatus WHEN 'F' THEN 'DISABLED' WHEN 'O' THEN 'RUNNING' ELSE 'SCHEDULED' END AS job_status")
 
