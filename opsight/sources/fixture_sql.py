@@ -163,7 +163,7 @@ SELECT n_name AS object_name,
        CAST(strftime(DATE '2024-01-01' + CAST(i - 1 AS INTEGER), '%Y%m%d') AS INTEGER) AS date_key,
        CASE n_nationkey % 3 WHEN 0 THEN 'LOADED' WHEN 1 THEN 'LOADING' ELSE 'FAILED' END AS processing_status
 FROM nation, range(1, 31) AS t(i)
-WHERE (n_nationkey + i) % 7 <> 0""")
+WHERE isodow(DATE '2024-01-01' + CAST(i - 1 AS INTEGER)) - 1 <> n_regionkey""")
 
 _fx("fx_ctl", """
 SELECT event_type AS source_system_cd, event_id AS batch_id, ts AS start_time,

@@ -538,9 +538,10 @@ class Fixtures:
 
     @cached_property
     def control(self) -> DataFrame:
-        n = self.raw("nation").select("n_name", "n_nationkey",
+        n = self.raw("nation").select("n_name", "n_nationkey", "n_regionkey",
                                       F.explode(F.sequence(F.lit(1), F.lit(30))).alias("i"))
-        return n.filter("(n_nationkey + i) % 7 <> 0").selectExpr(
+        # Each region's nations skip one weekday (Monday = 0 for region 0, ...).
+        return n.filter("weekday(date_add(DATE'2024-01-01', i - 1)) <> n_regionkey").selectExpr(
             "n_name AS object_name",
             "CAST(date_format(date_add(DATE'2024-01-01', i - 1), 'yyyyMMdd') AS INT) AS date_key",
             "CASE n_nationkey % 3 WHEN 0 THEN 'LOADED' WHEN 1 THEN 'LOADING' ELSE 'FAILED' END AS processing_status")
