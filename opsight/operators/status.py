@@ -20,6 +20,7 @@ from opsight.functions.expr import (
     BUCKET_STATUSES, OPEN_STATUSES, cnt_if, day_of, days_ago, hms_text, key_to_date, micros_between, num_text,
     round_duration, round_rate, secs_between, ts_lit,
 )
+from opsight.functions import patterns as P
 from opsight.plans.registry import query
 from opsight.sources.fixtures import AS_OF_FILES, AS_OF_RUNS, fixtures
 
@@ -155,7 +156,7 @@ def _status_rank() -> Column:
 
 
 def wait_time_topn(runs: DataFrame, batches: DataFrame, as_of: dt.datetime, task_likes=(),
-                   task_in=(), not_like: str = "%RULE%", n: int = 6) -> DataFrame:
+                   task_in=(), not_like: str = P.RULE_TASKS, n: int = 6) -> DataFrame:
     """Waiting time of the selected tasks' runs; status-ranked, first ``n``."""
     conds = [F.col("task").like(p) for p in task_likes]
     if task_in:
@@ -459,8 +460,8 @@ def _status_measures(df: DataFrame, text_cols=ROLLUP_TEXT) -> list[Column]:
             F.col("rows_updated").cast("long").alias("rows_updated")]
 
 
-def task_status_rollup(tasks: DataFrame, runs: DataFrame, like: str = "%S2C%",
-                       not_like: str = "%PATTERN%") -> DataFrame:
+def task_status_rollup(tasks: DataFrame, runs: DataFrame, like: str = P.S2C_TASKS,
+                       not_like: str = P.PATTERN_TASKS) -> DataFrame:
     """Per task: queue / busy / done / fail / other, rows, durations, % complete."""
     t = tasks.filter(F.col("task").like(like) & ~F.col("task").like(not_like))
     parts = _status_partials(runs, ["task_id"])
@@ -528,14 +529,14 @@ def _hour_rollup(tasks: DataFrame, runs: DataFrame, from_key: str, task_cond, by
 
 
 def status_rollup_by_task_hour(tasks: DataFrame, runs: DataFrame, from_key: str,
-                               like: str = "%S2C%", not_like: str = "%PATTERN%") -> DataFrame:
+                               like: str = P.S2C_TASKS, not_like: str = P.PATTERN_TASKS) -> DataFrame:
     """R10 measures per task type, day, task and hour of the run's end (or start)."""
     cond = F.col("task").like(like) & ~F.col("task").like(not_like)
     return _hour_rollup(tasks, runs, from_key, cond, True)
 
 
 def status_rollup_by_hour(tasks: DataFrame, runs: DataFrame, from_key: str,
-                          likes=("%S2C%",), task_type: str = "FILE", not_like: str = "%PATTERN%") -> DataFrame:
+                          likes=(P.S2C_TASKS,), task_type: str = "FILE", not_like: str = P.PATTERN_TASKS) -> DataFrame:
     """R10 measures per task type, day and hour, for pattern tasks or one task type."""
     cond = reduce(lambda a, b: a | b, [F.col("task").like(p) for p in likes]) | (F.col("task_type") == task_type)
     return _hour_rollup(tasks, runs, from_key, cond & ~F.col("task").like(not_like), False)
