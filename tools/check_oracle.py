@@ -69,8 +69,7 @@ def compare(name, sdf, con, sql, verbose=True):
     dnames = [d[0] for d in res.description]
     drows = res.fetchall()
     t2 = time.time()
-    dtypes = [str(t) for t in con.execute(f"DESCRIBE {sql}").fetchall() and
-              [r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()]]
+    dtypes = [str(r[1]) for r in con.execute(f"DESCRIBE {sql}").fetchall()]
     problems = []
     if sorted(snames) != sorted(dnames):
         problems.append(f"columns spark={snames} duck={dnames}")
