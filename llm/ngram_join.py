@@ -253,3 +253,19 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every document (five words, 0.8)."""
     found, _ = jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component: the row whose id names it.
+
+    Documents without words, or without an id, are no copies of anything and stay;
+    of rows that repeat the naming id one stays.
+    """
+    found, _ = jaccard_classes(docs)
+    gone = save(found.filter("doc_id <> component_id").select("doc_id", "n_shingles", "cls"), "gone")
+    ids = gone.select("doc_id").distinct()
+    few = ids.count() <= BROADCAST_IDS
+    left = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti")
+    twice = save(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("times")).filter("times > 1").select("doc_id"), "twice")
+    again = docs.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(again.select(*docs.columns))

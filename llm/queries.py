@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import ngram_join
+from llm import decontaminate, mixture, ngram_join, quality, token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": quality.op1_quality_classifier,
+    "op2_token_output": token_output.op2_token_output,
+    "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
+    "op6_mixing_sources": mixture.op6_mixing_sources,
     "op10_ngram_jaccard_join": ngram_join.op10_ngram_jaccard_join,
 }
 
