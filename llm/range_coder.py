@@ -58,7 +58,8 @@ def _ids_of(data: bytes, n: int) -> np.ndarray:
 class _Lanes:
     """Models of the blocks that are coded side by side."""
 
-    def __init__(self, lanes: int, symbols: np.ndarray):
+    def __init__(self, lanes: int, symbols: np.ndarray, search: bool = False):
+        self.search = search
         self.k = int(symbols.max())
         self.two = np.zeros(lanes * _SLOTS, np.int32)
         self.one = np.zeros(lanes * (self.k + 1), np.int32)
@@ -81,6 +82,8 @@ class _Lanes:
         """Frequencies of order 0 as they are now, for the first ``a`` lanes."""
         np.cumsum(self.count[:a], axis=1, out=self.sums[:a, 1:])
         self.total[:a] = self.sums[:a, -1]
+        # The sums of all lanes as one ascending sequence, for decoding by binary search.
+        self.keys = (self.sums[:a] + (np.arange(a, dtype=np.int64) << 24)[:, None]).reshape(-1) if self.search else None
 
     def predict(self, a: int) -> None:
         p1, p2 = self.p1[:a], self.p2[:a]
@@ -98,9 +101,10 @@ class _Lanes:
 
     def learn(self, a: int, s: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
         kept = (s << 2) + 1
-        self.two[self.i2] = np.where(hit2, np.minimum(self.e2 + 1, self.e2 | 3), np.where(self.c2 > 1, self.e2 - 1, kept))
+        # A hit gains confidence, a miss loses some, and the last of it gives way to the new id.
+        self.two[self.i2] = np.where(hit2, self.e2 + (self.c2 < 3), np.where(self.c2 > 1, self.e2 - 1, kept))
         same1 = (self.c1 > 0) & (self.q1 == s)
-        self.one[self.i1] = np.where(same1, np.minimum(self.e1 + 1, self.e1 | 3), np.where(self.c1 > 1, self.e1 - 1, kept))
+        self.one[self.i1] = np.where(same1, self.e1 + (self.c1 < 3), np.where(self.c1 > 1, self.e1 - 1, kept))
         self.trust2[self.it] = self.w2 + ((hit2 * _GAIN + _LEAST - self.w2) >> _RATE)
         self.trust1[self.it] = self.w1 + (((hit1 * _GAIN + _LEAST - self.w1) >> _RATE) * ~hit2)
         self.count_flat[self.at_count[:a] + s] += _COUNT
@@ -120,7 +124,7 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     lengths = np.array([len(b) for b in blocks])
     order = _order(lengths)
     steps = int(lengths.max())
-    symbol = np.zeros((max(steps, 1), len(blocks)), np.int32)
+    symbol = np.zeros((len(blocks), max(steps, 1)), np.int32)
     alphabets = []
     rank = np.zeros(1 << 16, np.int32)
     mark = np.zeros(1 << 16, bool)
@@ -130,12 +134,13 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
             mark[ids] = True
             own = np.flatnonzero(mark)
             rank[own] = np.arange(len(own))
-            symbol[: len(ids), lane] = rank[ids]
+            symbol[lane, : len(ids)] = rank[ids]
             mark[own] = False
         else:
             own, inverse = np.unique(ids, return_inverse=True)
-            symbol[: len(ids), lane] = inverse
+            symbol[lane, : len(ids)] = inverse
         alphabets.append(own.astype(np.uint32))
+    symbol = np.ascontiguousarray(symbol.T)
     m = _Lanes(len(blocks), np.array([max(1, len(x)) for x in alphabets]))
     out = np.zeros((len(blocks), steps + 3), np.uint32)
     used = np.zeros(len(blocks), np.int64)
@@ -198,12 +203,11 @@ def decode(blocks: list[bytes]) -> list[np.ndarray]:
     size = np.array([len(w) for w in words])
     stream = np.concatenate([*words, np.zeros(2, np.uint32)]).astype(np.uint64)
     at = np.concatenate([[0], np.cumsum(size)[:-1]])
-    m = _Lanes(len(blocks), np.array([max(1, len(x)) for x in alphabets]))
+    m = _Lanes(len(blocks), np.array([max(1, len(x)) for x in alphabets]), search=True)
     code = (stream[at] << np.uint64(32)) | stream[at + 1]
     at = at + 2
     symbol = np.zeros((max(steps, 1), len(blocks)), np.int32)
     active = np.searchsorted(-lengths[order], -np.arange(steps), side="left")
-    halves = [1 << k for k in range(int(m.k).bit_length() - 1, -1, -1)]
     end = len(stream) - 1
     for t in range(steps):
         a = int(active[t])
@@ -225,13 +229,10 @@ def decode(blocks: list[bytes]) -> list[np.ndarray]:
         if len(e):
             total = m.total[e]
             r0 = rng[e] // total
-            want = np.minimum((off[e] - edge[e]) // r0, total - np.uint64(1)).astype(np.int32)
+            want = np.minimum((off[e] - edge[e]) // r0, total - np.uint64(1)).astype(np.int64)
+            # Symbols of no width end a lane with equal sums; the wanted one is before them.
             base = m.at0[e]
-            found = base.copy()
-            limit = base + m.k
-            for h in halves:                       # the last symbol whose sum is not above what is wanted
-                nxt = found + h
-                np.copyto(found, nxt, where=(nxt < limit) & (m.sums_flat[np.minimum(nxt, limit)] <= want))
+            found = np.searchsorted(m.keys, want + (e << 24), side="right") - 1
             s[e] = found - base
             start = m.sums_flat[found]
             low[e] += r0 * start.astype(np.uint64)
@@ -246,9 +247,10 @@ def decode(blocks: list[bytes]) -> list[np.ndarray]:
             rng[e] = r << np.uint64(32)
         m.learn(a, s, hit2, hit1)
         symbol[t, :a] = s
+    symbol = np.ascontiguousarray(symbol.T)
     result: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(blocks)
     for lane, k in enumerate(order):
-        ids = alphabets[lane][symbol[: lengths[k], lane]] if lengths[k] else np.zeros(0, np.uint32)
+        ids = alphabets[lane][symbol[lane, : lengths[k]]] if lengths[k] else np.zeros(0, np.uint32)
         if zlib.crc32(ids.astype("<u4").tobytes()) != heads[k, 1]:
             raise ValueError("a block's checksum does not agree with its ids")
         result[k] = ids
