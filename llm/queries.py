@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import debruijn, decontaminate, mixture, near_vectors, ngram_join, quality, token_output, toxicity
+from llm import debruijn, decontaminate, mixture, near_vectors, ngram_join, privacy, quality, token_output, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": quality.op1_quality_classifier,
     "op2_token_output": token_output.op2_token_output,
+    "op3_pii": privacy.op3_pii,
     "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
     "op5_embedding_near_dedup": near_vectors.op5_embedding_near_dedup,
     "op6_mixing_sources": mixture.op6_mixing_sources,
