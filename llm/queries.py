@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import debruijn, decontaminate, mixture, near_vectors, ngram_join, privacy, quality, token_output, toxicity
+from llm import debruijn, decontaminate, mixture, near_vectors, ngram_join, privacy, quality, suffix_dedup, token_output, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
     "op5_embedding_near_dedup": near_vectors.op5_embedding_near_dedup,
     "op6_mixing_sources": mixture.op6_mixing_sources,
+    "op7_suffix_array_dedup": suffix_dedup.op7_suffix_array_dedup,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_substring_dedup": debruijn.op9_substring_dedup,
     "op10_ngram_jaccard_join": ngram_join.op10_ngram_jaccard_join,
