@@ -98,7 +98,7 @@ def _window_rows(key: str, wanted: np.ndarray | None):
                 text = data.tobytes()
                 values = [[text[start[k]:end[k]].decode("utf-8", "replace").lower() if kind[k] else None for k in range(a, a + WIDTH)] for a in at]
                 yield pa.RecordBatch.from_pydict({
-                    key: rows.column(key).take(pa.array(row[at])) if len(at) else rows.column(key).slice(0, 0),
+                    **{c: rows.column(c).take(pa.array(row[at], pa.int64())) for c in (key, "key")},
                     "at": pa.array(at - first[row[at]], pa.int64()), "hash": pa.array(win[at].view(np.int64)),
                     "values": pa.array(values, pa.list_(pa.string())),
                     "n": pa.array(first[row[at] + 1] - first[row[at]], pa.int64())})
@@ -109,13 +109,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_words, n_covered, n_slots, share): items that documents leak.
 
     Null and empty texts, and items shorter than a window, match nothing.
-    Repeated rows give the same pair once; a null doc_id or item_id is dropped
+    Rows that share a doc_id are matched each on its own, and a pair is given
+    once, by its best match; items that share an item_id likewise; a null doc_id or item_id is dropped
     from the pairs, having nothing to name.
     """
     spark = docs.sparkSession
-    texts = columns(docs, doc_id="long", text="string").filter("doc_id IS NOT NULL")
-    schema = "{} long, at long, hash long, values array<string>, n long"
-    items = save(columns(benchmark, item_id="long", text="string").filter("item_id IS NOT NULL")
+    texts = columns(docs, doc_id="long", text="string").filter("doc_id IS NOT NULL").withColumn("key", F.xxhash64("text"))
+    schema = "{} long, key long, at long, hash long, values array<string>, n long"
+    items = save(columns(benchmark, item_id="long", text="string").filter("item_id IS NOT NULL").withColumn("key", F.xxhash64("text"))
                  .mapInArrow(_window_rows("item_id", None), schema.format("item_id")), "items")
     n = items.select("hash").distinct().count()
     passes = max(1, -(-n // WINDOWS_A_PASS))
@@ -133,14 +134,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     side = items.select("item_id", "hash", F.col("at").alias("item_at"), F.col("values").alias("item_values"), F.col("n").alias("n_words"))
     met = hits.drop("n").join(F.broadcast(side) if items.count() <= BROADCAST_ROWS else side, "hash")
     slots = F.expr("filter(transform(item_values, (v, k) -> struct(v AS v, values[k] AS d)), x -> x.v IS NOT NULL)")
-    aligned = (met.groupBy("doc_id", "item_id", "n_words", (F.col("at") - F.col("item_at")).alias("shift"))
+    aligned = (met.groupBy("doc_id", "key", "item_id", "n_words", (F.col("at") - F.col("item_at")).alias("shift"))
                .agg(F.collect_set("item_at").alias("ats"), F.array_distinct(F.flatten(F.collect_set(slots))).alias("pairs"))
                .filter("size(array_distinct(transform(pairs, p -> p.v))) = size(pairs)"))
-    covered = (aligned.groupBy("doc_id", "item_id", "n_words")
+    covered = (aligned.groupBy("doc_id", "key", "item_id", "n_words")
                .agg(F.flatten(F.collect_set("ats")).alias("ats"), F.sum(F.size("pairs")).alias("n_slots"))
                .withColumn("n_covered", F.size(F.expr(f"array_distinct(flatten(transform(ats, a -> sequence(a, a + {WIDTH - 1}))))")).cast("long"))
                .withColumn("share", F.col("n_covered") / F.col("n_words")))
-    return covered.filter(F.col("share") >= LEAK_FROM).select("doc_id", "item_id", "n_words", "n_covered", "n_slots", "share")
+    return (covered.filter(F.col("share") >= LEAK_FROM).groupBy("doc_id", "item_id")
+            .agg(F.max(F.struct("share", "n_words", "n_covered", "n_slots")).alias("m")).select("doc_id", "item_id", "m.n_words", "m.n_covered", "m.n_slots", "m.share"))
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,8 +72,8 @@ class _Lanes:
         self.at_count = lane * self.k
         self.sums = np.zeros((lanes, self.k + 1), np.int32)
         self.sums_flat = self.sums.reshape(-1)
-        self.p1 = np.full(lanes, self.k, np.int32)
-        self.p2 = np.full(lanes, self.k, np.int32)
+        self.p1 = np.zeros(lanes, np.int32)           # contexts are symbols from 1; 0 is the start
+        self.p2 = np.zeros(lanes, np.int32)
         self.low = np.zeros(lanes, np.uint64)
         self.range = np.full(lanes, (1 << 64) - 1, np.uint64)
         self.total = np.ones(lanes, np.uint64)
@@ -109,7 +109,7 @@ class _Lanes:
         self.trust1[self.it] = self.w1 + (((hit1 * _GAIN + _LEAST - self.w1) >> _RATE) * ~hit2)
         self.count_flat[self.at_count[:a] + s] += _COUNT
         self.p2[:a] = self.p1[:a]
-        self.p1[:a] = s
+        self.p1[:a] = s + 1
 
 
 def _order(lengths: np.ndarray) -> np.ndarray:
