@@ -22,6 +22,11 @@ def ts_text(c: str) -> str:
     return f"strftime({c}, '%Y%m%d %H:%M:%S')"
 
 
+def run_id(c: str) -> str:
+    """Run id of a session's client text: from character 11 to the next space; NULL without one."""
+    return f"nullif(regexp_extract({c}, '^.{{10}}([^ ]*) ', 1, 's'), '')"
+
+
 def cnt_if(cond: str) -> str:
     return f"CAST(sum(CASE WHEN {cond} THEN 1 ELSE 0 END) AS BIGINT)"
 

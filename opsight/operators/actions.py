@@ -209,19 +209,19 @@ def merge_update(target: DataFrame, source: DataFrame, on, set_cols) -> DataFram
 
 
 @query("merge_update", "D7", """
-SELECT m.name, b.min_processing_status, b.max_processing_status, b.file_count
-FROM fx_manifest m LEFT JOIN (
-  SELECT short_filename, min(processing_status) AS min_processing_status, max(processing_status) AS max_processing_status,
-         count(*) AS file_count
-  FROM fx_files WHERE task_id % 2 = 0 AND short_filename IN (SELECT name FROM fx_manifest) GROUP BY short_filename) b
-ON m.name = b.short_filename
+WITH registered AS (
+  SELECT short_filename AS name, min(processing_status) AS lowest, max(processing_status) AS highest, count(*) AS times
+  FROM fx_files GROUP BY ALL
+)
+SELECT name, lowest AS min_processing_status, highest AS max_processing_status, times AS file_count
+FROM fx_manifest LEFT JOIN registered USING (name)
 """)
 def q_merge_update(spark, sf):
     fx = fixtures(spark, sf)
     target = fx.manifest.select("name", F.lit(None).cast("string").alias("min_processing_status"),
                                 F.lit(None).cast("string").alias("max_processing_status"),
                                 F.lit(None).cast("long").alias("file_count"))
-    src = fx.files.filter("task_id % 2 = 0").groupBy(F.col("short_filename").alias("name")).agg(
+    src = fx.files.groupBy(F.col("short_filename").alias("name")).agg(
         F.min("processing_status").alias("min_processing_status"),
         F.max("processing_status").alias("max_processing_status"), F.count(F.lit(1)).alias("file_count"))
     return merge_update(target, src, "name", ["min_processing_status", "max_processing_status", "file_count"])

@@ -793,9 +793,12 @@ def q_maintenance_jobs(spark, sf):
 
 
 def session_run_id(client_info) -> Column:
-    """Run id carried in a session's client info: text after the 10-character tag up to a space."""
-    rest = F.substring(client_info, 11, 4000)
-    return F.substring_index(rest, " ", 1)
+    """Run id in a session's client info: after the 10-character tag, up to the next space.
+
+    Without such a space there is no id (NULL), as in the script.
+    """
+    rest = F.expr(f"substring({client_info}, 11)")
+    return F.when(F.instr(rest, " ") > 0, F.substring_index(rest, " ", 1))
 
 
 def orphan_runs(runs: DataFrame, sessions: DataFrame, as_of: dt.datetime, min_hours: float = 2.0) -> DataFrame:
@@ -806,11 +809,10 @@ def orphan_runs(runs: DataFrame, sessions: DataFrame, as_of: dt.datetime, min_ho
     return r.join(live, r["run_id"].cast("string") == live["_rid"], "left_anti")
 
 
-@query("orphan_runs", "R25", """
-SELECT * FROM fx_runs r WHERE run_status = 'RUNNING' AND start_date <= TIMESTAMP '2024-01-30 22:00:00'
-  AND CAST(run_id AS VARCHAR) NOT IN (
-    SELECT split_part(substr(client_info, 11), ' ', 1) FROM fx_sessions
-    WHERE split_part(substr(client_info, 11), ' ', 1) <> '')
+@query("orphan_runs", "R25", f"""
+WITH named AS (SELECT DISTINCT {D.run_id('client_info')} AS named_run FROM fx_sessions)
+SELECT fx_runs.* FROM fx_runs ANTI JOIN named ON named.named_run = fx_runs.run_id::VARCHAR
+WHERE run_status = 'RUNNING' AND start_date <= {D.RUNS_CLOCK} - INTERVAL 2 HOUR
 """)
 def q_orphan_runs(spark, sf):
     fx = fixtures(spark, sf)
@@ -827,11 +829,9 @@ def run_sessions(runs: DataFrame, sessions: DataFrame, as_of: dt.datetime, statu
 
 
 @query("run_sessions", "R26", f"""
-SELECT g.sid, a.run_id, a.task, a.run_status,
-       CAST(round({D.secs('a.start_date', D.RUNS_CLOCK)} / 60, 0) AS BIGINT) AS run_time_mins
-FROM fx_runs a LEFT JOIN (SELECT split_part(substr(client_info, 11), ' ', 1) AS dw_run_id, sid FROM fx_sessions) g
-  ON CAST(a.run_id AS VARCHAR) = g.dw_run_id
-WHERE a.run_status = 'RUNNING'
+SELECT s.sid, r.run_id, r.task, r.run_status, round({D.secs('r.start_date', D.RUNS_CLOCK)} / 60)::BIGINT AS run_time_mins
+FROM (SELECT * FROM fx_runs WHERE run_status = 'RUNNING') AS r
+LEFT JOIN fx_sessions AS s ON {D.run_id('s.client_info')} = r.run_id::VARCHAR
 """)
 def q_run_sessions(spark, sf):
     fx = fixtures(spark, sf)

@@ -3,11 +3,12 @@
 A global window sends every row to a single task.  Instead the rows are
 range-partitioned and sorted (``orderBy``), tagged with
 ``monotonically_increasing_id`` (partition index in the high bits, position
-in the low bits), and written once to the shared checkpoint folder so both
-passes below see the same partitioning.  The per-partition counts are a table
-with one row per partition - its size is bounded by the partition count,
-not by the data - so it is broadcast; a running sum over it gives each
-partition's offset.
+in the low bits).  The per-partition counts are a table with one row per
+partition - its size is bounded by the partition count, not by the data - so
+it is broadcast; a running sum over it gives each partition's offset.  Nothing
+runs until the caller's action: both uses of the sorted rows are the same
+subplan, so Spark sorts and exchanges them once.  A caller whose source is
+dear or not repeatable may ask for a checkpoint in the shared folder.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ from opsight.session import cut_lineage
 _LOW = (1 << 33) - 1
 
 
-def global_row_number(df: DataFrame, order: list[Column], name: str = "rn") -> DataFrame:
+def global_row_number(df: DataFrame, order: list[Column], name: str = "rn", checkpoint: bool = False) -> DataFrame:
     """Number rows 1..n in ``order`` (which must be a total order)."""
-    tagged = cut_lineage(df.orderBy(*order).withColumn("__mid", F.monotonically_increasing_id()))
+    tagged = df.orderBy(*order).withColumn("__mid", F.monotonically_increasing_id())
+    if checkpoint:
+        tagged = cut_lineage(tagged)
     part = F.shiftright("__mid", 33)
     counts = tagged.groupBy(part.alias("__pid")).agg(F.count(F.lit(1)).alias("__n"))
     offsets = counts.select(

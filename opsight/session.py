@@ -73,6 +73,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     On a cluster this must already be set to a shared, fault-tolerant path.
     Only when it is unset (local tests) do we pick a fresh scratch folder.
     """
+    own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if own.isDefined():                       # the caller's choice stands
+        return own.get()
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         master = spark.conf.get("spark.master", "local")
@@ -81,10 +84,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
                                "fault-tolerant folder (a machine-local folder would be lost with its executor)")
         d = tempfile.mkdtemp(prefix="opsight-ckpt-")   # local mode only (tests, bench)
         spark.conf.set("spark.checkpoint.dir", d)
-    try:
-        spark.sparkContext.setCheckpointDir(d)
-    except Exception:  # Connect sessions take the directory from the conf
-        pass
+    spark.sparkContext.setCheckpointDir(d)
     return d
 
 

@@ -199,7 +199,7 @@ FROM orders WHERE o_orderstatus = 'O'""")
 _fx("fx_scheduled_jobs", """
 SELECT 'JOB#' || CAST(o_custkey AS VARCHAR) || '#' || CAST(o_orderkey AS VARCHAR) AS job_name,
        CASE o_orderstatus WHEN 'F' THEN 'DISABLED' WHEN 'O' THEN 'RUNNING' ELSE 'SCHEDULED' END AS job_status
-FROM orders WHERE o_orderpriority <> '5-LOW'""")
+FROM orders""")
 
 _fx("fx_job_log", """
 SELECT o_orderkey AS log_id, o_orderdate AS log_date, 'DW' AS owner,
@@ -315,17 +315,17 @@ SELECT CAST(1 + user_id % 2 AS BIGINT) AS inst_id, event_id AS sid, user_id AS s
        'U' || CAST(user_id AS VARCHAR) AS username,
        'MOD_' || event_type AS module,
        'ACT_' || CAST(k % 5 AS VARCHAR) AS action,
-       'DW_RUN_ID=' || CAST(event_id AS VARCHAR) || ' X' AS client_info,
+       'DW_RUN_ID=' || CASE WHEN value >= 20 THEN CAST(event_id AS VARCHAR) || ' X' ELSE 'NONE' END AS client_info,
        CASE WHEN event_type = 'error' THEN 'enq: TX - row lock contention' ELSE 'db file sequential read' END AS event,
        CASE WHEN event_type IN ('click', 'signup') THEN 'ACTIVE' ELSE 'INACTIVE' END AS status,
        CAST(k % 50 AS VARCHAR) AS sql_id,
        ts AS logon_time, ts AS sql_exec_start,
        k AS seconds_in_wait,
        CASE WHEN event_type = 'error' THEN event_id - 1 END AS blocking_session
-FROM fx_ev WHERE value >= 20""", ("fx_ev",))
+FROM fx_ev""", ("fx_ev",))
 
 _fx("fx_locks", """
-SELECT event_id AS sid, k AS id1, CAST(dayofmonth(ts) AS BIGINT) AS id2,
+SELECT event_id AS sid, event_id // 16 AS id1, CAST(dayofmonth(ts) AS BIGINT) AS id2,
        CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS block,
        CASE WHEN event_type = 'click' THEN 6 ELSE 0 END AS request,
        CASE WHEN event_type = 'error' THEN 6 ELSE 0 END AS lmode,
@@ -392,10 +392,12 @@ FROM lineitem""")
 
 _fx("fx_listing", """
 SELECT short_filename AS name, max(register_datetime) AS modification_time, CAST(sum(row_count) AS BIGINT) AS length
-FROM fx_files WHERE line_no <> 3 GROUP BY short_filename""", ("fx_files",))
+FROM fx_files GROUP BY short_filename""", ("fx_files",))
 
 _fx("fx_manifest", """
-SELECT DISTINCT short_filename AS name FROM fx_files""", ("fx_files",))
+SELECT short_filename AS name FROM fx_files
+UNION
+SELECT 'F' || CAST(s_suppkey AS VARCHAR) || '_HEADER.dat' AS name FROM supplier""", ("fx_files",))
 
 _fx("fx_audit", f"""
 SELECT 'U' || CAST(user_id AS VARCHAR) AS username, {TASK_NAME.format(c='user_id')} AS obj_name,
@@ -414,7 +416,7 @@ SELECT 'ERR_RUNS' AS table_name, message AS err_message, error_sysdate AS insert
 FROM fx_log WHERE error_code = 'E'
 UNION ALL
 SELECT 'ERR_FILES' AS table_name, 'BAD ROWS IN ' || processing_status AS err_message, register_datetime AS insert_date
-FROM fx_files WHERE bad_row_count >= 9""", ("fx_log", "fx_files"))
+FROM fx_files""", ("fx_log", "fx_files"))
 
 _fx("fx_dim_period", """
 SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS fin_year, CAST(month(o_orderdate) AS INTEGER) AS period_no,

@@ -77,7 +77,7 @@ def test_hot_key_join_is_split_by_adaptive_skew_handling(spark):
     try:
         for k, v in conf.items():
             spark.conf.set(k, v)
-        fx = Fixtures(spark, SF_SMALL, spread=False)
+        fx = Fixtures(spark, SF_SMALL)
         hot = fx.runs.withColumn("task_id", F.lit(7).cast("long"))
         skewed = fx.runs.unionByName(hot).unionByName(hot.withColumn("run_id", F.col("run_id") + 10 ** 7))
         df = failed_run_detail(skewed, fx.tasks)
