@@ -15,6 +15,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opsight.functions import duck as D
 from opsight.functions import texts as T
 from opsight.functions.expr import days_ago, key_to_date, ts_lit
 from opsight.operators.sessions import failing_tasks_by_message
@@ -190,8 +191,8 @@ def set_watermark_to_yesterday(tasks: DataFrame, task_like: str, as_of: dt.datet
 
 
 @query("set_watermark_to_yesterday", "D6", """
-SELECT task_id, task, max_key FROM fx_tasks WHERE task LIKE 'Customer#000000012'
-""".replace("max_key FROM", "20240130 AS max_key FROM"))
+SELECT task_id, task, 20240130 AS max_key FROM fx_tasks WHERE task = 'Customer#000000012'
+""")
 def q_set_watermark_to_yesterday(spark, sf):
     return set_watermark_to_yesterday(fixtures(spark, sf).tasks, "Customer#000000012", AS_OF_RUNS, delta=True) \
         .select("task_id", "task", "max_key")
@@ -246,19 +247,15 @@ def spread_start_times(runs: DataFrame, task_like: str, lo: int, hi: int, per_da
     return merge_update(runs, picked, "run_id", ["start_date"])
 
 
-_RUN_COLS = ("run_id, task_id, batch_id, task, run_status, {start}, end_date, rows_loaded, rows_error, rows_inserted, "
-             "rows_updated, diy_parameter, direct_exec_sql, remark")
-
-
-@query("spread_start_times", "D8", f"""
-WITH src AS (
-  SELECT run_id, TIMESTAMP '2014-04-01 00:00:00' + to_seconds(rown) AS new_st FROM (
-    SELECT run_id, TRY_CAST(diy_parameter AS INTEGER) AS date_key,
-           row_number() OVER (PARTITION BY task, diy_parameter ORDER BY batch_id DESC, run_id DESC) AS rown
-    FROM fx_runs WHERE run_status = 'RUNABLE' AND task LIKE 'Customer#%')
-  WHERE date_key >= 20240110 AND date_key <= 20240120 AND rown <= 2000)
-SELECT {_RUN_COLS.format(start="coalesce(src.new_st, r.start_date) AS start_date").replace("run_id,", "r.run_id,", 1)}
-FROM fx_runs r LEFT JOIN src ON r.run_id = src.run_id
+@query("spread_start_times", "D8", """
+SELECT run_id, task_id, batch_id, task, run_status,
+       CASE WHEN place <= 2000 THEN TIMESTAMP '2014-04-01 00:00:00' + to_seconds(place) ELSE start_date END AS start_date,
+       end_date, rows_loaded, rows_error, rows_inserted, rows_updated, diy_parameter, direct_exec_sql, remark
+FROM (
+  SELECT *, CASE WHEN movable THEN rank() OVER (PARTITION BY movable, task, diy_parameter ORDER BY batch_id DESC, run_id DESC) END AS place
+  FROM (SELECT *, run_status = 'RUNABLE' AND starts_with(task, 'Customer#')
+                  AND ifnull(TRY_CAST(diy_parameter AS INTEGER) BETWEEN 20240110 AND 20240120, FALSE) AS movable FROM fx_runs)
+)
 """)
 def q_spread_start_times(spark, sf):
     return spread_start_times(fixtures(spark, sf).runs, "Customer#%", 20240110, 20240120, per_day=2000)
@@ -272,11 +269,15 @@ def start_from_parameter(runs: DataFrame, task_like: str, max_key: int, delta: b
     return _apply(runs, pred, {"start_date": d, "rows_loaded": F.lit(None)}, delta)
 
 
-@query("start_from_parameter", "D9", f"""
-SELECT {_RUN_COLS.format(start="CASE WHEN c THEN CAST(strptime(diy_parameter, '%Y%m%d') AS TIMESTAMP) ELSE start_date END AS start_date")
-        .replace("rows_loaded,", "CASE WHEN c THEN NULL ELSE rows_loaded END AS rows_loaded,")}
-FROM (SELECT *, coalesce(run_status = 'RUNABLE' AND task LIKE 'Customer#%' AND TRY_CAST(diy_parameter AS INTEGER) <= 20240115
-               AND start_date <> CAST(strptime(diy_parameter, '%Y%m%d') AS TIMESTAMP), false) AS c FROM fx_runs)
+@query("start_from_parameter", "D9", """
+WITH judged AS (
+  SELECT *, TRY_STRPTIME(diy_parameter, '%Y%m%d') AS day,
+         ifnull(run_status = 'RUNABLE' AND starts_with(task, 'Customer#') AND TRY_CAST(diy_parameter AS INTEGER) <= 20240115
+                AND start_date <> TRY_STRPTIME(diy_parameter, '%Y%m%d'), FALSE) AS moved
+  FROM fx_runs
+)
+SELECT * EXCLUDE (day, moved) REPLACE (if(moved, day, start_date) AS start_date, if(moved, NULL, rows_loaded) AS rows_loaded)
+FROM judged
 """)
 def q_start_from_parameter(spark, sf):
     return start_from_parameter(fixtures(spark, sf).runs, "Customer#%", 20240115)
@@ -314,15 +315,17 @@ def close_group_runs(tasks: DataFrame, steps: DataFrame, runs: DataFrame, batche
 
 
 @query("close_group_runs", "D10", f"""
-WITH g AS (SELECT DISTINCT a.task_id FROM fx_tasks a JOIN fx_steps b ON a.task_id = b.task_id
-           WHERE a.task LIKE 'Customer#%' AND b.template_name LIKE '%STD_GROUP_TASK'),
-picked AS (SELECT rr.run_id FROM fx_runs rr JOIN fx_batches b ON rr.batch_id = b.batch_id
-           WHERE rr.run_status = 'RUNABLE' AND b.load_status <> 'BATCHED' AND rr.task_id IN (SELECT task_id FROM g))
-SELECT r.run_id, task_id, batch_id, task,
-       CASE WHEN p.run_id IS NOT NULL THEN 'CLOSED' ELSE run_status END AS run_status, start_date,
-       CASE WHEN p.run_id IS NOT NULL THEN {chr(39)}2024-01-31 00:00:00{chr(39)}::TIMESTAMP ELSE end_date END AS end_date,
-       rows_loaded, rows_error, rows_inserted, rows_updated, diy_parameter, direct_exec_sql, remark
-FROM fx_runs r LEFT JOIN (SELECT DISTINCT run_id FROM picked) p ON r.run_id = p.run_id
+WITH passed AS (
+  SELECT run_id FROM fx_runs
+  WHERE run_status = 'RUNABLE'
+    AND EXISTS (FROM fx_batches bt WHERE bt.batch_id = fx_runs.batch_id AND bt.load_status <> 'BATCHED')
+    AND EXISTS (FROM fx_tasks tk INNER JOIN fx_steps st USING (task_id)
+                WHERE tk.task_id = fx_runs.task_id AND starts_with(tk.task, 'Customer#') AND ends_with(st.template_name, 'STD_GROUP_TASK'))
+)
+SELECT * REPLACE (
+  if(run_id IN (FROM passed), 'CLOSED', run_status) AS run_status,
+  if(run_id IN (FROM passed), {D.RUNS_CLOCK}, end_date) AS end_date)
+FROM fx_runs
 """)
 def q_close_group_runs(spark, sf):
     fx = fixtures(spark, sf)
@@ -343,14 +346,21 @@ def reset_by_error_log(log: DataFrame, runs: DataFrame, ranges: DataFrame, as_of
 
 
 @query("reset_by_error_log", "D11", f"""
-WITH t AS (SELECT DISTINCT task FROM fx_log l, fx_runs r WHERE r.task_id = l.task_id AND r.task LIKE 'Customer#%'
-           AND r.run_status = 'FAILED' AND error_sysdate > TIMESTAMP '2024-01-30 00:00:00' AND error_code = 'E'
-           AND process_name = 'DW_KERNEL' AND l.message LIKE '%partition number is invalid%')
-SELECT run_id, task_id, batch_id, r.task, CASE WHEN c THEN 'RUNABLE' ELSE run_status END AS run_status,
-       CASE WHEN c THEN TIMESTAMP '2023-10-23 00:00:00' ELSE start_date END AS start_date, end_date, rows_loaded,
-       rows_error, rows_inserted, rows_updated, diy_parameter, direct_exec_sql, remark
-FROM (SELECT r.*, coalesce(r.task IN (SELECT task FROM t) AND r.run_status = 'FAILED'
-                           AND r.start_date > TIMESTAMP '2024-01-30 00:00:00', false) AS c FROM fx_runs r) r
+WITH hit AS (
+  SELECT DISTINCT r.task
+  FROM fx_runs r SEMI JOIN (
+    SELECT task_id FROM fx_log
+    WHERE process_name = 'DW_KERNEL' AND error_code = 'E' AND contains(message, 'partition number is invalid')
+      AND error_sysdate > {D.RUNS_CLOCK} - INTERVAL 1 DAY) AS said ON said.task_id = r.task_id
+  WHERE r.run_status = 'FAILED' AND starts_with(r.task, 'Customer#')
+), judged AS (
+  SELECT fx_runs.*, ifnull(run_status = 'FAILED' AND start_date > {D.RUNS_CLOCK} - INTERVAL 1 DAY AND task IN (FROM hit), FALSE) AS again
+  FROM fx_runs
+)
+SELECT * EXCLUDE (again) REPLACE (
+  if(again, 'RUNABLE', run_status) AS run_status,
+  if(again, {D.RUNS_CLOCK} - INTERVAL 100 DAY, start_date) AS start_date)
+FROM judged
 """)
 def q_reset_by_error_log(spark, sf):
     fx = fixtures(spark, sf)

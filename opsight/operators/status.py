@@ -271,10 +271,19 @@ def day_duration(runs: DataFrame, batches: DataFrame, first_tasks, last_task: st
     return _day_rows(_keyed_runs(runs, batches, key), first_tasks, last_task, key, as_of)
 
 
-def _keyed_runs(runs: DataFrame, batches: DataFrame, key: Column) -> DataFrame:
-    """Non-cancelled runs of one process date with their batch and copied batch."""
-    return _with_batches(runs.filter(F.col("run_status") != "CANCELLED"), batches, copied=True) \
-        .filter(_my_dtk() == key)
+def _keyed_runs(runs: DataFrame, batches: DataFrame, key: Column, copied: bool = False) -> DataFrame:
+    """Non-cancelled runs of one process date with their batch (and, for the board, its copied batch).
+
+    A run's date is its batch's, or its own parameter where the batch has none:
+    the batches of that date are found first, so only runs that can qualify are
+    joined to a batch.
+    """
+    live = runs.filter(F.col("run_status") != "CANCELLED")
+    dated = batches.select("batch_id", F.col("dw_date_key").cast("string").alias("__key"))
+    own = live.filter(F.coalesce("diy_parameter", F.lit("_")) == key) \
+        .join(dated.filter(F.col("__key").isNotNull()).select("batch_id"), "batch_id", "left_anti")
+    by_batch = live.join(dated.filter(F.col("__key") == key).select("batch_id").distinct(), "batch_id", "left_semi")
+    return _with_batches(own.unionByName(by_batch), batches, copied=copied)
 
 
 def _day_rows(rb: DataFrame, first_tasks, last_task: str, key: Column, as_of: dt.datetime) -> DataFrame:
@@ -296,17 +305,20 @@ R9_KEY_TASK = "Customer#000000003"
 
 
 def _r9_sql(key_sql: str) -> str:
-    base = f"""FROM fx_runs a LEFT JOIN fx_batches b ON a.batch_id = b.batch_id
-               WHERE a.run_status NOT IN ('CANCELLED')
-                 AND coalesce(CAST(b.dw_date_key AS VARCHAR), a.diy_parameter, '_') = {key_sql}"""
-    first = ", ".join(f"'{t}'" for t in R9_FIRST)
-    return f"""SELECT 'DAY DURATION' AS task, {key_sql} AS my_dtk,
-        CASE WHEN e.end_date IS NULL THEN 'RUNNING' ELSE 'CLOSED' END AS run_status,
-        round({D.secs('s.day_start', f'coalesce(e.end_date, {D.RUNS_CLOCK})')}, 6) AS duration_sec,
-        {D.ts_text('s.day_start')} AS start_date, {D.ts_text('e.end_date')} AS end_date
-      FROM (SELECT min(a.start_date) AS day_start {base} AND a.task IN ({first})) s,
-           (SELECT a.end_date {base} AND a.task IN ('{R9_LAST}')) e
-      WHERE s.day_start IS NOT NULL"""
+    openers = ", ".join(f"'{t}'" for t in R9_FIRST)
+    return f"""
+WITH wanted AS (SELECT {key_sql} AS my_dtk),
+dated AS (
+  SELECT r.task, r.start_date, r.end_date
+  FROM fx_runs r LEFT JOIN fx_batches USING (batch_id) CROSS JOIN wanted
+  WHERE r.run_status <> 'CANCELLED' AND ifnull(ifnull(fx_batches.dw_date_key::VARCHAR, r.diy_parameter), '_') = wanted.my_dtk
+), opening AS (
+  SELECT min(start_date) AS day_start FROM dated WHERE task IN ({openers}) HAVING min(start_date) IS NOT NULL
+)
+SELECT 'DAY DURATION' AS task, my_dtk, if(end_date IS NULL, 'RUNNING', 'CLOSED') AS run_status,
+       round({D.secs('day_start', f'ifnull(end_date, {D.RUNS_CLOCK})')}, 6) AS duration_sec,
+       {D.ts_text('day_start')} AS start_date, {D.ts_text('end_date')} AS end_date
+FROM dated CROSS JOIN opening CROSS JOIN wanted WHERE task = '{R9_LAST}'"""
 
 
 _R9_KEY_SQL = f"(SELECT CAST(max_key AS VARCHAR) FROM fx_tasks WHERE task = '{R9_KEY_TASK}')"
@@ -332,9 +344,10 @@ def run_board(runs: DataFrame, tasks: DataFrame, batches: DataFrame, ranges: Dat
     script as one table; unlisted tasks are not on the board.
     """
     key = key if isinstance(key, Column) else F.lit(str(key))
-    keyed = _keyed_runs(runs, batches, key)   # shared with the day row (exchange reuse)
-    rb = keyed.join(sections, "task")
-    stats = range_run_stats(ranges)
+    listed = runs.join(sections.select("task").distinct(), "task", "left_semi")
+    rb = _keyed_runs(listed, batches, key, copied=True).join(sections, "task")
+    # Ranges of the board's runs only are aggregated.
+    stats = range_run_stats(ranges.join(rb.select("run_id").distinct(), "run_id", "left_semi"))
     t = tasks.select("task_id", "task_business_area")
     j = rb.join(t, "task_id", "left").join(stats, "run_id", "left")
     cols_null = ["src_dtk", "rows_loaded", "run_id", "batch_id", "copied_batch_id", "task_id", "rows_error",
@@ -349,7 +362,8 @@ def run_board(runs: DataFrame, tasks: DataFrame, batches: DataFrame, ranges: Dat
         F.col("avg_duration").alias("avg_dur"), F.col("max_duration").alias("max_dur"),
         F.col("min_rows_persec").alias("min_rps"), F.col("avg_rows_persec").alias("avg_rps"),
         F.col("max_rows_persec").alias("max_rps"))
-    day = _day_rows(keyed, first_tasks, last_task, key, as_of)
+    closing = runs.filter(F.col("task").isin(*first_tasks, last_task))
+    day = _day_rows(_keyed_runs(closing, batches, key), first_tasks, last_task, key, as_of)
     # One global-aggregate row: a bounded broadcast.
     day = day.crossJoin(F.broadcast(_day_section(sections)))
     for c in cols_null:
@@ -414,7 +428,7 @@ def q_run_board(spark, sf):
 def _status_partials(runs: DataFrame, keys) -> DataFrame:
     """Mergeable per-key partial aggregates of run status measures."""
     s = F.col("run_status")
-    secs = secs_between("start_date", "end_date")
+    micros = micros_between("start_date", "end_date")     # integers: the sum does not depend on the order
     done = s.isin("CLOSED", "SUCCESS")
     last_dt = F.when(done, F.coalesce(F.col("diy_parameter").cast("long"),
                                       F.date_format("end_date", "yyyyMMdd").cast("long")))
@@ -426,12 +440,12 @@ def _status_partials(runs: DataFrame, keys) -> DataFrame:
         F.sum("rows_loaded").alias("rows_loaded"), F.count("rows_loaded").alias("_rows_n"),
         F.sum("rows_error").alias("rows_err"), F.sum("rows_inserted").alias("rows_inserted"),
         F.sum("rows_updated").alias("rows_updated"),
-        F.sum(secs).alias("_secs"), F.count(secs).alias("_secs_n"),
+        F.sum(micros).alias("_micros"), F.count(micros).alias("_secs_n"),
         F.max(last_dt).alias("last_run_dt"), F.max("end_date").alias("_max_end"))
 
 
 _SUMS = ("queue", "busy", "done", "fail", "other", "_pend", "_tot", "rows_loaded", "_rows_n", "rows_err",
-         "rows_inserted", "rows_updated", "_secs", "_secs_n")
+         "rows_inserted", "rows_updated", "_micros", "_secs_n")
 
 
 def _merge_partials(df: DataFrame, keys) -> DataFrame:
@@ -446,7 +460,7 @@ HOURLY_TEXT = ("rows_err", "estimated_rows")
 
 def _status_measures(df: DataFrame, text_cols=ROLLUP_TEXT) -> list[Column]:
     avg_rows = F.round(F.col("rows_loaded") / F.nullif(F.col("_rows_n"), F.lit(0)))
-    avg_secs = F.col("_secs") / F.nullif(F.col("_secs_n"), F.lit(0))
+    avg_secs = F.col("_micros") / F.nullif(F.col("_secs_n"), F.lit(0)) / F.lit(1_000_000.0)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     fmt = lambda v, c: (num_text(v) if c in text_cols else v.cast("long")).alias(c)
     return [zero("queue"), zero("busy"), zero("done"), zero("fail"), zero("other"),
@@ -464,8 +478,10 @@ def task_status_rollup(tasks: DataFrame, runs: DataFrame, like: str = P.S2C_TASK
                        not_like: str = P.PATTERN_TASKS) -> DataFrame:
     """Per task: queue / busy / done / fail / other, rows, durations, % complete."""
     t = tasks.filter(F.col("task").like(like) & ~F.col("task").like(not_like))
-    parts = _status_partials(runs, ["task_id"])
-    j = t.join(parts, "task_id", "left")
+    # Partials per id, merged by the report's own keys: ids that share them are one row.
+    keys = ["task_type", "task", "is_runnable", "parameter_type", "task_business_area", "task_technical_area",
+            "max_file_load_concurrency"]
+    j = _merge_partials(t.join(_status_partials(runs, ["task_id"]), "task_id", "left"), keys)
     out = j.select(
         "task_type", "task", F.col("is_runnable").alias("runable"),
         F.col("max_file_load_concurrency").alias("concurncy"), "last_run_dt",
@@ -473,39 +489,41 @@ def task_status_rollup(tasks: DataFrame, runs: DataFrame, like: str = P.S2C_TASK
     return out.orderBy(F.col("busy").desc(), F.col("queue").desc(), F.col("last_run_dt").asc_nulls_last())
 
 
-def _rollup_sql_measures(a: str = "a", text_cols=ROLLUP_TEXT) -> str:
-    s = D.secs(f"{a}.start_date", f"{a}.end_date")
-    q = f"sum(CASE WHEN {a}.run_status = 'RUNABLE' THEN 1 ELSE 0 END)"
-    f = lambda e, c: (D.num_text(e) if c in text_cols else f"CAST({e} AS BIGINT)") + f" AS {c}"
+def _rollup_sql_measures(text_cols=ROLLUP_TEXT) -> str:
+    """The measures over columns of fx_runs; a task without runs has one row of NULLs."""
+    micros = "date_diff('microsecond', start_date, end_date)"
+    mean = f"(sum({micros})::DOUBLE / nullif(count({micros}), 0) / 1000000)"
+    waiting = "count(*) FILTER (run_status = 'RUNABLE')"
+    rows = "round(sum(rows_loaded) / nullif(count(rows_loaded), 0))"
+    shown = lambda e, c: (D.num_text(e) if c in text_cols else f"({e})::BIGINT") + f" AS {c}"
     return f"""
-      {D.cnt_if(f"{a}.run_status = 'RUNABLE'")} AS queue,
-      {D.cnt_if(f"{a}.run_status = 'RUNNING'")} AS busy,
-      {D.cnt_if(f"{a}.run_status IN ('CLOSED', 'SUCCESS')")} AS done,
-      {D.cnt_if(f"{a}.run_status = 'FAILED'")} AS fail,
-      {D.cnt_if(f"{a}.run_status NOT IN ('FAILED', 'CLOSED', 'RUNNING', 'RUNABLE', 'SUCCESS')")} AS other,
-      {f(f"sum({a}.rows_loaded)", "rows_loaded")},
-      {f(f"sum({a}.rows_error)", "rows_err")},
-      {f(f"round(avg({a}.rows_loaded))", "avg_rows")},
-      {f(f"round(avg({a}.rows_loaded)) * {q}", "estimated_rows")},
-      {D.hms(f'avg({s})')} AS average_duration,
-      {D.hms(f'avg({s}) * {q}', 'h')} AS estimated_load_duration,
-      CAST(100 - round(sum(CASE WHEN {a}.run_status IN ('RUNABLE', 'FAILED') THEN 1 ELSE 0 END)
-           / nullif(sum(CASE WHEN {a}.run_status IN ('RUNABLE', 'RUNNING', 'FAILED', 'CLOSED', 'SUCCESS') THEN 1 ELSE 0 END), 0)
-           * 100, 2) AS DOUBLE) AS percentage_completed,
-      CAST(sum({a}.rows_inserted) AS BIGINT) AS rows_inserted,
-      CAST(sum({a}.rows_updated) AS BIGINT) AS rows_updated"""
+      {waiting} AS queue,
+      count(*) FILTER (run_status = 'RUNNING') AS busy,
+      count(*) FILTER (run_status IN ('SUCCESS', 'CLOSED')) AS done,
+      count(*) FILTER (run_status = 'FAILED') AS fail,
+      count(*) FILTER (run_status NOT IN ('SUCCESS', 'RUNNING', 'RUNABLE', 'FAILED', 'CLOSED')) AS other,
+      {shown("sum(rows_loaded)", "rows_loaded")},
+      {shown("sum(rows_error)", "rows_err")},
+      {shown(rows, "avg_rows")},
+      {shown(f"{rows} * {waiting}", "estimated_rows")},
+      {D.hms(mean)} AS average_duration,
+      {D.hms(f"{mean} * {waiting}", "h")} AS estimated_load_duration,
+      (100 - round(count(*) FILTER (run_status IN ('FAILED', 'RUNABLE'))
+        / nullif(count(*) FILTER (run_status IN ('SUCCESS', 'RUNNING', 'RUNABLE', 'FAILED', 'CLOSED')), 0) * 100, 2))::DOUBLE
+        AS percentage_completed,
+      sum(rows_inserted)::BIGINT AS rows_inserted,
+      sum(rows_updated)::BIGINT AS rows_updated"""
 
 
 _R10_SQL = f"""
-SELECT b.task_type, b.task, b.is_runnable AS runable, b.max_file_load_concurrency AS concurncy,
-       max(CASE WHEN a.run_status IN ('CLOSED', 'SUCCESS')
-                THEN coalesce(CAST(a.diy_parameter AS BIGINT), CAST(strftime(a.end_date, '%Y%m%d') AS BIGINT)) END) AS last_run_dt,
-       strftime(max(a.end_date), '%H:%M:%S') AS last_run_tm,
+SELECT task_type, t.task, is_runnable AS runable, max_file_load_concurrency AS concurncy,
+       max(ifnull(diy_parameter::BIGINT, strftime(end_date, '%Y%m%d')::BIGINT))
+         FILTER (run_status IN ('SUCCESS', 'CLOSED')) AS last_run_dt,
+       strftime(max(end_date), '%H:%M:%S') AS last_run_tm,
        {_rollup_sql_measures()}
-FROM fx_tasks b LEFT JOIN fx_runs a ON a.task_id = b.task_id
-WHERE b.task LIKE 'Customer#%' AND b.task NOT LIKE '%PATTERN%'
-GROUP BY b.task_type, b.task, b.is_runnable, b.parameter_type, b.task_business_area, b.task_technical_area,
-         b.max_file_load_concurrency, b.task_id
+FROM (SELECT * FROM fx_tasks WHERE starts_with(task, 'Customer#') AND NOT contains(task, 'PATTERN')) AS t
+LEFT JOIN (SELECT * EXCLUDE (task) FROM fx_runs) AS r USING (task_id)
+GROUP BY task_type, t.task, is_runnable, parameter_type, task_business_area, task_technical_area, max_file_load_concurrency
 """
 
 
@@ -518,8 +536,11 @@ def q_task_status_rollup(spark, sf):
 def _hour_rollup(tasks: DataFrame, runs: DataFrame, from_key: str, task_cond, by_task: bool) -> DataFrame:
     when = F.coalesce(F.col("end_date"), F.col("start_date"))
     hour = "last_run_tm" if by_task else "hrs"     # the two reports name the hour differently
-    r = runs.select("*", F.date_format(when, "yyyyMMdd").alias("date_key"),
-                    F.date_format(when, "HH").alias(hour)).filter(F.col("date_key") >= from_key)
+    # The bound is on the columns themselves, so it reaches the scan.
+    first = ts_lit(dt.datetime.strptime(from_key, "%Y%m%d"))
+    recent = (F.col("end_date") >= first) | (F.col("end_date").isNull() & (F.col("start_date") >= first))
+    r = runs.filter(recent).select("*", F.date_format(when, "yyyyMMdd").alias("date_key"),
+                                   F.date_format(when, "HH").alias(hour))
     inner = ["task_id", "date_key", hour] + (["task"] if by_task else [])
     parts = _status_partials(r, inner)
     t = tasks.filter(task_cond).select("task_id", "task_type")
@@ -543,26 +564,28 @@ def status_rollup_by_hour(tasks: DataFrame, runs: DataFrame, from_key: str,
 
 
 def _hour_sql(by_task: bool, cond: str) -> str:
-    when = "coalesce(a.end_date, a.start_date)"
-    task_col = "a.task, " if by_task else ""
+    hour = "last_run_tm" if by_task else "hrs"
+    task = "r.task, " if by_task else ""
     return f"""
-SELECT b.task_type, strftime({when}, '%Y%m%d') AS date_key, {task_col}strftime({when}, '%H') AS {'last_run_tm' if by_task else 'hrs'},
+WITH r AS (
+  SELECT *, ifnull(end_date, start_date) AS moment FROM fx_runs WHERE ifnull(end_date, start_date) >= TIMESTAMP '2024-01-15'
+)
+SELECT task_type, strftime(moment, '%Y%m%d') AS date_key, {task}strftime(moment, '%H') AS {hour},
        {_rollup_sql_measures(text_cols=HOURLY_TEXT)}
-FROM fx_runs a JOIN fx_tasks b ON a.task_id = b.task_id
-WHERE {cond} AND strftime({when}, '%Y%m%d') >= '20240115'
-GROUP BY strftime({when}, '%H'), strftime({when}, '%Y%m%d'), b.task_type{', a.task' if by_task else ''}
+FROM r INNER JOIN (SELECT task_id, task_type FROM fx_tasks WHERE {cond}) AS t USING (task_id)
+GROUP BY task_type, date_key, {task}{hour}
 """
 
 
 @query("status_rollup_by_task_hour", "R11",
-       _hour_sql(True, "b.task LIKE 'Customer#%' AND b.task NOT LIKE '%PATTERN%'"))
+       _hour_sql(True, "starts_with(task, 'Customer#') AND NOT contains(task, 'PATTERN')"))
 def q_status_rollup_by_task_hour(spark, sf):
     fx = fixtures(spark, sf)
     return status_rollup_by_task_hour(fx.tasks, fx.runs, "20240115", "Customer#%", "%PATTERN%")
 
 
 @query("status_rollup_by_hour", "R12",
-       _hour_sql(False, "(b.task LIKE '%S2C%' OR b.task_type = 'FILE') AND b.task NOT LIKE '%PATTERN%'"))
+       _hour_sql(False, "NOT contains(task, 'PATTERN') AND (task_type = 'FILE' OR contains(task, 'S2C'))"))
 def q_status_rollup_by_hour(spark, sf):
     fx = fixtures(spark, sf)
     return status_rollup_by_hour(fx.tasks, fx.runs, "20240115", ("%S2C%",), "FILE", "%PATTERN%")
@@ -724,16 +747,13 @@ def job_state_report(jobs: DataFrame, running: DataFrame, tasks: DataFrame, as_o
 
 
 @query("job_state_report", "R21", f"""
-SELECT CAST(NULL AS BIGINT) AS sid, a.run_time_sec, a.owner, a.job_name, b.task, a.task_id, a.state
-FROM (SELECT owner, job_name, state, CASE WHEN state = 'RUNNING' THEN {D.secs('last_start_date', D.FILES_CLOCK)} END AS run_time_sec,
-             split_part(job_name, '#', 2) AS task_id FROM fx_jobs WHERE owner IN ('DW') AND state = 'DISABLED') a
-LEFT JOIN fx_tasks b ON a.task_id = CAST(b.task_id AS VARCHAR)
-UNION ALL
-SELECT bb.session_id AS sid, a.run_time_sec, a.owner, a.job_name, b.task, a.task_id, a.state
-FROM (SELECT owner, job_name, state, CASE WHEN state = 'RUNNING' THEN {D.secs('last_start_date', D.FILES_CLOCK)} END AS run_time_sec,
-             split_part(job_name, '#', 2) AS task_id FROM fx_jobs WHERE owner IN ('DW') AND state = 'RUNNING') a
-LEFT JOIN fx_tasks b ON a.task_id = CAST(b.task_id AS VARCHAR)
-LEFT JOIN fx_running_jobs bb ON bb.job_name = a.job_name
+SELECT session_id AS sid,
+       if(jb.state = 'RUNNING', {D.secs('jb.last_start_date', D.FILES_CLOCK)}, NULL) AS run_time_sec,
+       jb.owner, jb.job_name, fx_tasks.task, string_split(jb.job_name, '#')[2] AS task_id, jb.state
+FROM fx_jobs AS jb
+LEFT JOIN fx_running_jobs AS now_running ON jb.state = 'RUNNING' AND now_running.job_name = jb.job_name
+LEFT JOIN fx_tasks ON fx_tasks.task_id = TRY_CAST(string_split(jb.job_name, '#')[2] AS BIGINT)
+WHERE jb.owner = 'DW' AND jb.state IN ('RUNNING', 'DISABLED')
 """)
 def q_job_state_report(spark, sf):
     fx = fixtures(spark, sf)
