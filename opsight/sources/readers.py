@@ -99,8 +99,17 @@ def to_sheet(df: DataFrame, path: str) -> None:
 
 
 # ---------------------------------------------------------------- registered
+def listed_registrations(listing: DataFrame, files: DataFrame) -> DataFrame:
+    """Each listed file with its length and how often it was registered."""
+    known = files.groupBy(F.col("short_filename").alias("name")).agg(F.count(F.lit(1)).alias("registrations"))
+    return listing.select("name", "length").join(known, "name", "left") \
+        .withColumn("registrations", F.coalesce("registrations", F.lit(0)))
+
+
 @query("directory_listing", "F16-src", """
-SELECT parse_filename(filename) AS name, size AS length FROM read_blob('/root/testdata/sf0.01/*.parquet')
+SELECT name, length, (SELECT count(*) FROM fx_files WHERE short_filename = name) AS registrations FROM fx_listing
 """)
 def q_directory_listing(spark, sf):
-    return directory_listing(spark, sf, "*.parquet").select("name", "length")
+    from opsight.sources.fixtures import fixtures
+    fx = fixtures(spark, sf)
+    return listed_registrations(fx.listing, fx.files)

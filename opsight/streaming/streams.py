@@ -101,11 +101,12 @@ def q_stream_session_pivot(spark, sf):
 # --------------------------------------------------------------------- ST3
 def stream_start_end(log: DataFrame, max_span: str = "1 day", lateness: str = "2 hours",
                      key: str = "id_2") -> DataFrame:
-    """Start message joined to the end message of the same session within ``max_span``.
+    """Start message joined to the first end message of the same session within ``max_span``.
 
     Stream-stream left outer join: both sides are watermarked and the time
     range bounds the state; an unmatched start is emitted (with NULL end)
-    once the watermark passes ``start + max_span``.
+    once the watermark passes ``start + max_span``.  Of several ends the
+    earliest (then the smallest id) counts, so there is one row for each start.
     """
     e = event_time(log, "error_sysdate")
     s = e.filter(F.col("message").like("%Task: TF_%")).select(
@@ -116,16 +117,26 @@ def stream_start_end(log: DataFrame, max_span: str = "1 day", lateness: str = "2
         s, t = s.withWatermark("s_time", lateness), t.withWatermark("e_time", lateness)
     cond = (F.col("s_key") == F.col("e_key")) & (F.col("e_time") >= F.col("s_time")) \
         & (F.col("e_time") <= F.col("s_time") + F.expr(f"INTERVAL {max_span}"))
-    j = s.join(t, cond, "leftOuter")
-    return j.select(F.col("s_key").alias(key), "start_log_id", _ntz("s_time").alias("start_time"), "end_log_id",
-                    _ntz("e_time").alias("end_time"))
+    j = s.join(t, cond, "leftOuter").groupBy("s_key", "start_log_id", "s_time").agg(
+        F.min(F.when(F.col("e_time").isNotNull(), F.struct("e_time", "end_log_id"))).alias("e"))
+    return j.select(F.col("s_key").alias(key), "start_log_id", _ntz("s_time").alias("start_time"),
+                    F.col("e.end_log_id").alias("end_log_id"), _ntz("e.e_time").alias("end_time"))
 
 
 @query("stream_start_end", "ST3", """
-SELECT s.id_2, s.log_id AS start_log_id, s.error_sysdate AS start_time, e.log_id AS end_log_id, e.error_sysdate AS end_time
-FROM (SELECT * FROM fx_log WHERE message LIKE '%Task: TF_%') s
-LEFT JOIN (SELECT * FROM fx_log WHERE message = 'END: File Task Register') e
-  ON s.id_2 = e.id_2 AND e.error_sysdate >= s.error_sysdate AND e.error_sysdate <= s.error_sysdate + INTERVAL 1 DAY
+WITH starts AS (SELECT id_2, log_id, error_sysdate FROM fx_log WHERE message LIKE '%Task: TF_%'),
+     ends AS (SELECT id_2, log_id, error_sysdate FROM fx_log WHERE message = 'END: File Task Register')
+SELECT id_2, starts.log_id AS start_log_id, starts.error_sysdate AS start_time,
+       first(ends.log_id ORDER BY ends.error_sysdate, ends.log_id) AS end_log_id, min(ends.error_sysdate) AS end_time
+FROM starts LEFT JOIN ends USING (id_2)
+  WHERE ends.log_id IS NULL OR ends.error_sysdate BETWEEN starts.error_sysdate AND starts.error_sysdate + INTERVAL 1 DAY
+GROUP BY ALL
+UNION ALL
+SELECT id_2, log_id, error_sysdate, NULL, NULL
+FROM starts
+WHERE EXISTS (FROM ends WHERE ends.id_2 = starts.id_2)
+  AND NOT EXISTS (FROM ends WHERE ends.id_2 = starts.id_2
+                  AND ends.error_sysdate BETWEEN starts.error_sysdate AND starts.error_sysdate + INTERVAL 1 DAY)
 """)
 def q_stream_start_end(spark, sf):
     return stream_start_end(fixtures(spark, sf).log)
@@ -133,10 +144,16 @@ def q_stream_start_end(spark, sf):
 
 # --------------------------------------------------------------------- ST4
 def stream_dedup(files: DataFrame, keys=("short_filename",), lateness: str = "1 day") -> DataFrame:
-    """Drop repeated registrations of the same file name seen within the watermark delay."""
+    """Of registrations of the same file name, the first stays.
+
+    A batch takes the earliest ``register_datetime``.  A stream takes the first
+    that arrives and drops its repeats within the watermark delay; a repeat
+    that comes later than that is a new registration, as state must end.
+    """
     if not files.isStreaming:
-        # A finished batch is one closed window: plain de-duplication.
-        return files.dropDuplicates(list(keys))
+        rest = [c for c in files.columns if c not in keys and c != "register_datetime"]
+        first = files.groupBy(*keys).agg(F.min(F.struct("register_datetime", *rest)).alias("f"))
+        return first.select(*[c if c in keys else F.col("f")[c].alias(c) for c in files.columns])
     e = watermarked(files, "register_datetime", lateness)
     return e.dropDuplicatesWithinWatermark(list(keys)).drop("event_time")
 
@@ -148,18 +165,20 @@ def q_stream_dedup(spark, sf):
 
 # --------------------------------------------------------------------- runner
 def run_available_now(spark: SparkSession, source_dir: str, schema, build, name: str,
-                      output_mode: str = "append", prepare=None) -> DataFrame:
-    """Run ``build`` as a stream over every file in ``source_dir`` and return the sink's rows.
+                      prepare=None) -> DataFrame:
+    """Run ``build`` as a stream over every new file in ``source_dir`` and return all rows of its sink.
 
-    The checkpoint goes under the session's shared checkpoint folder, so a
-    restarted driver resumes instead of re-reading (executor loss is
-    handled by Structured Streaming's replay from the checkpoint).
+    Sink (parquet, exactly once) and checkpoint stand under the session's
+    shared checkpoint folder by ``name``: run again, also by another driver,
+    the stream resumes where it was and adds what is new.  Executor loss is
+    handled by Structured Streaming's replay from the checkpoint.
     """
     src = spark.readStream.schema(schema).parquet(source_dir)
     if prepare is not None:
         src = prepare(src)
-    ckpt = f"{checkpoint_dir(spark).rstrip('/')}/stream-{name}"
-    q = (build(src).writeStream.outputMode(output_mode).format("memory").queryName(name)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{name}"
+    out = build(src)
+    q = (out.writeStream.outputMode("append").format("parquet").option("path", f"{base}-rows")
+         .option("checkpointLocation", base).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(out.schema).parquet(f"{base}-rows")

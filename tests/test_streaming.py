@@ -52,8 +52,33 @@ def test_interval_join_stream_matches_batch(spark):
     log, src = _log_source(spark)
     got = {tuple(r) for r in run_available_now(spark, src, log.schema, stream_start_end, "st_join_test").collect()}
     batch = {tuple(r) for r in stream_start_end(log).collect()}
-    matched = {r for r in batch if r[3] is not None}
-    assert got <= batch and matched <= got
+    # A start is final once the watermark is a span past it.
+    import datetime as dt
+    last = max(r.error_sysdate for r in log.collect()) - dt.timedelta(days=1, hours=2)
+    closed = {r for r in batch if r[3] is not None and r[2] < last}
+    assert closed and got <= batch and closed <= got
+
+
+def test_a_stream_run_again_adds_what_is_new(spark):
+    import datetime as dt
+    schema = "short_filename string, register_datetime timestamp_ntz"
+    src = tempfile.mkdtemp(prefix="opsight-stream-again-")
+    t0 = dt.datetime(2024, 1, 10, 12, 0)
+    add = lambda *names: spark.createDataFrame([(n, t0) for n in names], schema).write.mode("append").parquet(src)
+    run = lambda: sorted(r.short_filename for r in run_available_now(spark, src, spark.createDataFrame([], schema).schema, stream_dedup, "st_again_test").collect())
+    add("a", "b", "a")
+    assert run() == ["a", "b"]
+    add("b", "c")
+    assert run() == ["a", "b", "c"]
+
+
+def test_one_row_for_each_start(spark):
+    from opsight.streaming.streams import stream_start_end
+    log = fixtures(spark, SF_SMALL).log
+    out = stream_start_end(log)
+    assert out.count() == log.filter("message LIKE '%Task: TF_%'").count()
+    first = stream_dedup(fixtures(spark, SF_SMALL).files)
+    assert first.count() == first.select("short_filename").distinct().count()
 
 
 def test_late_rows_are_dropped(spark):
