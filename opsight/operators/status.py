@@ -481,6 +481,7 @@ def task_status_rollup(tasks: DataFrame, runs: DataFrame, like: str = P.S2C_TASK
     # Partials per id, merged by the report's own keys: ids that share them are one row.
     keys = ["task_type", "task", "is_runnable", "parameter_type", "task_business_area", "task_technical_area",
             "max_file_load_concurrency"]
+    keys = [c for c in keys if c in tasks.columns]
     j = _merge_partials(t.join(_status_partials(runs, ["task_id"]), "task_id", "left"), keys)
     out = j.select(
         "task_type", "task", F.col("is_runnable").alias("runable"),

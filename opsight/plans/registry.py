@@ -39,7 +39,7 @@ def query(name: str, section: str, oracle: str | None = None):
 def _load_all() -> None:
     # Import for side effects: each module registers its queries.
     from opsight.operators import (  # noqa: F401
-        lag, status, throughput, files, batches, capacity, sessions, actions,
+        lag, status, throughput, files, batches, capacity, sessions, actions, lookups,
     )
     from opsight.streaming import streams  # noqa: F401
     from opsight.sources import readers  # noqa: F401

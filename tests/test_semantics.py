@@ -110,3 +110,45 @@ def test_empty_batches_must_be_empty_then_flags_fault(spark):
     assert empty_batches(batches, tasks, runs, as_of).count() == 0
     bad = batches.withColumn("record_count", F.lit(0).cast("long"))
     assert empty_batches(bad, tasks, runs, as_of).count() == 1
+
+
+def test_long_batch_ids_and_names_are_whole(spark):
+    import datetime as dt
+    from opsight.operators.capacity import placement_check
+    d = dt.datetime(2024, 1, 5)
+    batches = spark.createDataFrame([(1234567890, 20240105, d), (123456789, 20240106, d)], "batch_id long, dw_date_key int, create_datetime timestamp_ntz")
+    parts = spark.createDataFrame([("DW", "T", "P_1234567890", "TS_STG_X")], "table_owner string, table_name string, partition_name string, tablespace_name string")
+    meta = spark.createDataFrame([("T", "TS_STG_{YYYYMM}")], "table_name string, tablespace_variable string")
+    assert [r.dw_date_key for r in placement_check(batches, parts, meta, "TS_STG%").collect()] == [20240105]
+    name = "S." + "x" * 130
+    left = spark.createDataFrame([(1, "${A}" + name), (2, None), (3, "other")], "i int, name string")
+    right = spark.createDataFrame([(name,), (None,)], "t string")
+    assert [r.i for r in suffix_join(left, "name", right, "t").collect()] == [1]
+    assert sorted(r.i for r in suffix_join(left, "name", right, "t", how="left").collect()) == [1, 2, 3]
+
+
+def test_tasks_of_one_name_are_one_row(spark):
+    import datetime as dt
+    from opsight.operators.files import file_status_pivot
+    from opsight.operators.status import task_status_rollup
+    t = spark.createDataFrame([(1, "A S2C", "Yes"), (2, "A S2C", "Yes")], "task_id long, task string, is_runnable string")
+    at = dt.datetime(2024, 1, 5)
+    f = spark.createDataFrame([(1, "LOADED", at, 5, 5, 0), (2, "FAILED", None, 7, 6, 1)],
+                              "task_id long, processing_status string, start_datetime timestamp_ntz, row_count long, base_row_count long, bad_row_count long")
+    got = file_status_pivot(f, t, at, 30).collect()
+    assert len(got) == 1 and (got[0].row_count, got[0].nr_files, got[0].fail_c) == (12, 2, 1)
+    full = t.selectExpr("*", "'FILE' AS task_type", "'LOAD' AS parameter_type", "'x' AS task_business_area", "'y' AS task_technical_area",
+                        "1 AS max_file_load_concurrency")
+    runs = spark.createDataFrame([(1, "RUNNING", at, None, 5, 0, 0, 0, "20240105"), (2, "CLOSED", at, at, 6, 0, 0, 0, "20240105")],
+                                 "task_id long, run_status string, start_date timestamp_ntz, end_date timestamp_ntz, rows_loaded long, rows_error long, "
+                                 "rows_inserted long, rows_updated long, diy_parameter string")
+    rows = task_status_rollup(full, runs, "%S2C%").collect()
+    assert len(rows) == 1 and (rows[0].busy, rows[0].done) == (1, 1)
+
+
+def test_numbering_starts_no_job(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("numbering", "none expected")
+    global_row_number(spark.range(100).toDF("k"), [F.col("k").desc()], "rn")
+    assert not tracker.getJobIdsForGroup("numbering")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
