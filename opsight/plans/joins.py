@@ -28,16 +28,14 @@ def suffix_join(left: DataFrame, left_col: str, right: DataFrame, right_col: str
 
     The script writes this as ``LIKE '%' || name`` with the ``_`` of table
     names unescaped; the decided intent (SURVEY §1.5) is a literal suffix
-    match, i.e. ``endswith``.  Each distinct left value is cut to its suffixes of
-    the lengths that occur on the right (one row of distinct lengths), so the
-    match becomes an equality on the suffix: a shuffle or broadcast hash join
-    instead of a nested loop over both sides, and no length limit.  A NULL name
-    matches nothing; with ``how="left"`` a row without a match comes back once.
+    match, i.e. ``endswith``.  Each distinct left name is cut to all its
+    suffixes, so the match becomes an equality on the suffix: a shuffle or
+    broadcast hash join instead of a nested loop over both sides, and no length
+    limit.  A NULL name matches nothing; with ``how="left"`` a row without a
+    match comes back once.
     """
-    lengths = right.agg(F.collect_set(F.length(right_col)).alias("__lengths"))
-    names = left.select(F.col(left_col).alias("__name")).filter(F.col("__name").isNotNull()).distinct()
-    cut = (names.crossJoin(F.broadcast(lengths)).withColumn("__n", F.explode("__lengths"))
-           .filter(F.length("__name") >= F.col("__n"))
+    names = left.select(F.col(left_col).alias("__name")).filter(F.length("__name") > 0).distinct()
+    cut = (names.withColumn("__n", F.explode(F.sequence(F.lit(1), F.length("__name"))))
            .select("__name", F.expr("right(__name, __n)").alias("__suffix")))
     met = cut.join(right.withColumn("__rk", F.col(right_col)), F.col("__suffix") == F.col("__rk")).drop("__suffix", "__rk")
     return left.join(met, F.col(left_col) == F.col("__name"), how).drop("__name")
