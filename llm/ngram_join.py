@@ -9,7 +9,7 @@ fixed column order.  The order puts rare columns first, judged by a count
 sketch over all documents; the sketch steers work only, never the result.
 The smaller row of a pair need only be looked up by its first
 ``n - ceil(2 s n / (1 + s)) + 1`` entries.  Pairs whose sizes differ too much,
-or whose 512-bit parity maps differ in more places than the sizes allow sets
+or whose 1024-bit parity maps differ in more places than the sizes allow sets
 to differ, go at once; overlap counts of the others are accumulated, pairs
 below the bound that the sizes imply are discarded, and what remains is
 compared on the whole sets.
@@ -35,12 +35,14 @@ from llm.text import mix, slices, window_hashes, words, span_hashes
 
 #: Similarity in hundredths, words in a shingle.
 SIMILARITY, WIDTH = 80, 5
-#: Counters of the rarity sketch (2 MB of 16-bit counters a task) in RANGES rows.
-SKETCH_BITS, RANGES = 20, 16
-#: A column is frequent from this multiple of the mean counter, and this count.
-FREQUENT, FREQUENT_LEAST = 4, 16
+#: Counters of the rarity sketch (8 MB of 16-bit counters a task) in RANGES rows.
+SKETCH_BITS, RANGES = 22, 32
+#: A column is frequent if its counter is above the mean by so many standard deviations of chance, and this count.
+DEVIATIONS, FREQUENT_LEAST = 5, 16
 #: Bits of a set's parity map.
-MAP_BITS = 512
+MAP_BITS = 1024
+#: Rows that one copy of a set is compared with; a set with more pairs is sent once for each so many.
+PAIRS_A_COPY = 1000
 #: Ids up to this many are broadcast (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 500_000
 
@@ -94,10 +96,11 @@ def frequent_columns(texts: DataFrame, width: int) -> bytes:
     parts = (texts.select("text").mapInArrow(_sketch(width), "part int, counts binary")
              .repartition(RANGES, "part").mapInArrow(_added, "part int, counts binary").collect())
     counts = np.zeros((RANGES, (1 << SKETCH_BITS) // RANGES), np.int64)
-    for row in parts:                            # 16 rows of fixed size, whatever the input
+    for row in parts:                            # RANGES rows of fixed size, whatever the input
         counts[row.part] += np.frombuffer(row.counts, np.uint32)
     counts = counts.reshape(-1)
-    return np.packbits(counts > max(FREQUENT_LEAST, FREQUENT * counts.mean())).tobytes()
+    mean = counts.mean()
+    return np.packbits(counts > max(FREQUENT_LEAST, mean + DEVIATIONS * np.sqrt(mean))).tobytes()
 
 
 def _rows(width: int, similarity: int, bitmap: bytes):
@@ -107,10 +110,10 @@ def _rows(width: int, similarity: int, bitmap: bytes):
         seen: set = set()                        # of this task: a class is emitted once
         for batch in batches:
             for rows, sets in _row_sets(batch, width):
-                size, cls, last, pre, bits = [], [], [], [], []
+                size, cls, last, soon, pre, bits = [], [], [], [], [], []
                 for s in sets:
                     n = len(s)
-                    size.append(n), bits.append(None)
+                    size.append(n), bits.append(None), soon.append(None)
                     if not n:
                         cls.append(None), last.append(None), pre.append(None)
                         continue
@@ -129,14 +132,18 @@ def _rows(width: int, similarity: int, bitmap: bytes):
                         tail = s[hot][: need - len(p)]
                         p, late = np.concatenate([p, tail]), 1
                     # order of the last entry: frequent flag, then the hash (63 bits of it suffice for a bound)
-                    # Order of the last entry: frequent flag, then the hash (62 bits of it suffice for a bound).
+                    # Place of the last entry, and of the last of those that a smaller row is looked up by:
+                    # frequent flag, then the hash (62 bits of it suffice for a bound).
+                    rare = need if not late else need - len(tail)
+                    few = n - -(-2 * similarity * n // (100 + similarity)) + 1
+                    soon[-1] = int(p[few - 1] >> np.uint64(2)) | (int(few > rare) << 62)
                     last.append((int(p[-1] >> np.uint64(2)) | (late << 62)))
                     pre.append(p.view(np.int64))
                     parity = np.bincount((s & np.uint64(MAP_BITS - 1)).astype(np.int64), minlength=MAP_BITS) & 1
                     bits[-1] = np.packbits(parity.astype(np.uint8)).view(np.int64)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": rows.column("doc_id"), "n": pa.array(size, pa.int64()), "cls": pa.array(cls, pa.int64()),
-                    "last": pa.array(last, pa.int64()), "pre": pa.array(pre, pa.list_(pa.int64())),
+                    "last": pa.array(last, pa.int64()), "soon": pa.array(soon, pa.int64()), "pre": pa.array(pre, pa.list_(pa.int64())),
                     "bits": pa.array(bits, pa.list_(pa.int64()))})
     return run
 
@@ -152,17 +159,22 @@ def _sets(width: int):
 
 
 def _compared(similarity: int):
-    """Pairs whose whole sets are similar enough."""
+    """Pairs whose whole sets are similar enough; rows of one a follow the row with its own set (b null)."""
     def run(batches):
+        own, mine = None, np.zeros(0, np.uint64)
         for batch in batches:
-            a, b = batch.column("a"), batch.column("b")
-            keep = []
-            for x, y in zip(batch.column("grams_a"), batch.column("grams_b")):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                at = np.searchsorted(x, y)
-                both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                keep.append(100 * both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            out: tuple[list, list] = ([], [])
+            for a, part, b, grams in zip(*[batch.column(c) for c in ("a", "part", "b", "grams")]):
+                x = np.frombuffer(grams.as_buffer(), np.uint64)
+                if not b.is_valid:
+                    own, mine = (a, part), x
+                    continue
+                assert own == (a, part)
+                at = np.searchsorted(mine, x)
+                both = int((mine[np.minimum(at, len(mine) - 1)] == x).sum())
+                if 100 * both >= similarity * (len(mine) + len(x) - both):
+                    out[0].append(a.as_py()), out[1].append(b.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
     return run
 
 
@@ -178,18 +190,21 @@ def _may_link(similarity: int) -> str:
             f"AND {differ} <= n_a + n_b - 2 * {_needed('n_a', 'n_b', similarity)}")
 
 
-def _verified(pairs: DataFrame, entries: DataFrame, reps: DataFrame, texts: DataFrame, width: int, similarity: int) -> DataFrame:
-    """Of pairs (a, b): those that pass the bound on overlap counts and then the whole comparison."""
-    entry = lambda x: entries.select("gram", F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("last").alias(f"last_{x}"))
-    counts = (pairs.join(entry("a"), "a").join(entry("b"), ["b", "gram"])
-              .groupBy("a", "b", "n_a", "n_b", "last_a", "last_b").agg(F.count("*").alias("common"))
-              .withColumn("need", F.expr(_needed("n_a", "n_b", similarity))))
-    # All entries up to the smaller "last" of the two are on both lists, so the row that
-    # ends first can miss no more than n - need of its listed entries.
-    least = lambda x: f"(n_{x} - ({similarity} * n_{x} + 99) div 100 + 1) - (n_{x} - need)"
-    bound = (f"common >= CASE WHEN last_a < last_b THEN {least('a')} WHEN last_a > last_b THEN {least('b')} "
-             f"ELSE least({least('a')}, {least('b')}) END")
-    left = save(counts.filter(bound).select("a", "b"), "pairs")
+def _enough(similarity: int) -> str:
+    """Whether ``common``, counted over the columns that a (smaller) is looked up by and b lists, allows a link.
+
+    All entries up to the smaller of the two last places are on both lists, so
+    the row that ends first can miss no more than size - need of its own.
+    """
+    need = _needed("n_a", "n_b", similarity)
+    a = f"(n_a - {_needed('n_a', 'n_a', similarity)} + 1) - (n_a - {need})"
+    b = f"(n_b - ({similarity} * n_b + 99) div 100 + 1) - (n_b - {need})"
+    return f"common >= CASE WHEN soon_a < last_b THEN {a} WHEN soon_a > last_b THEN {b} ELSE least({a}, {b}) END"
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int, similarity: int) -> DataFrame:
+    """Of pairs (a, b): those that pass the comparison of their whole sets."""
+    left = save(pairs, "pairs")
     ids = save(left.select(F.col("a").alias("cls")).union(left.select("b")).distinct().join(reps, "cls")
                .select("cls", F.col("rep").alias("doc_id")), "ids")
     few = ids.count() <= BROADCAST_IDS
@@ -197,8 +212,14 @@ def _verified(pairs: DataFrame, entries: DataFrame, reps: DataFrame, texts: Data
     # A doc_id may stand on rows of several classes: the class is made again and must agree.
     sets = save(of.mapInArrow(_sets(width), "doc_id long, cls long, grams binary").join(ids, ["doc_id", "cls"])
                 .dropDuplicates(["cls"]).select("cls", "grams"), "sets")
-    grams = lambda x: sets.select(F.col("cls").alias(x), F.col("grams").alias(f"grams_{x}"))
-    links = save(left.join(grams("a"), "a").join(grams("b"), "b").select("a", "b", "grams_a", "grams_b")
+    # Each pair brings the set of b to where the set of a is; a's set goes there once
+    # for every PAIRS_A_COPY pairs, and is held while they pass.
+    copies = left.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_A_COPY).alias("copies"))
+    dealt = left.join(copies, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("copies")))
+    others = dealt.join(sets.withColumnRenamed("cls", "b"), "b").select("a", "part", "b", "grams")
+    owns = (copies.join(sets.withColumnRenamed("cls", "a"), "a")
+            .select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "grams"))
+    links = save(owns.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
                  .mapInArrow(_compared(similarity), "a long, b long"), "links")
     drop(left, ids, sets)
     return links
@@ -217,35 +238,45 @@ def jaccard_classes(docs: DataFrame, similarity: int = SIMILARITY, width: int =
     texts = columns(docs, doc_id="long", text="string")
     bitmap = frequent_columns(texts, width)
     rows = save(texts.mapInArrow(_rows(width, similarity, bitmap), "doc_id long, n long, cls long, "
-                                 "last long, pre array<long>, bits array<long>"), "rows")
+                                 "last long, soon long, pre array<long>, bits array<long>"), "rows")
     # One row for each class: its smallest id that holds that class's text.
     reps = save(rows.filter("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep")), "reps")
-    shared = (rows.filter("pre IS NOT NULL").select("cls", "n", F.posexplode("pre").alias("at", "gram"))
-              .withColumn("least", F.expr("min(cls) OVER (PARTITION BY gram)"))
-              .withColumn("most", F.expr("max(cls) OVER (PARTITION BY gram)"))
-              .filter("least <> most").select("gram", "cls", "n", F.expr(f"at <= n - {_needed('n', 'n', similarity)}").alias("short"))
-              .distinct().withColumn("band", F.floor(F.log("n") / float(np.log(100 / similarity)))))
-    facts = rows.filter("pre IS NOT NULL").select("cls", "last", "bits").dropDuplicates(["cls"])
-    entries = save(shared.join(facts, "cls"), "entries")
-    side = lambda df, x, *more: df.select("gram", F.col("cls").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "bits", *more)])
-    # Round 1: the smallest class of each column and size band, with the others of the band.
-    middle = (entries.filter("short").groupBy("gram", "band").agg(F.min(F.struct("n", "cls", "bits")).alias("m"))
-              .select("gram", F.col("band").alias("band_b"), F.col("m.cls").alias("a"), F.col("m.n").alias("n_a"), F.col("m.bits").alias("bits_a")))
-    stars = middle.join(side(entries, "b", "band"), ["gram", "band_b"]).filter(_may_link(similarity)).select("a", "b").distinct()
-    first = _verified(stars, entries, reps, texts, width, similarity)
+    entries = save(rows.filter("pre IS NOT NULL").select("cls", "n", F.posexplode("pre").alias("at", "gram"))
+                   .withColumn("least", F.expr("min(cls) OVER (PARTITION BY gram)"))
+                   .withColumn("most", F.expr("max(cls) OVER (PARTITION BY gram)"))
+                   .filter("least <> most").select("gram", "cls", "n", F.expr(f"at <= n - {_needed('n', 'n', similarity)}").alias("short"))
+                   .distinct().withColumn("band", F.floor(F.log("n") / float(np.log(100 / similarity))).cast("int")), "entries")
+    facts = save(rows.filter("pre IS NOT NULL").select("cls", "last", "soon", "bits").dropDuplicates(["cls"]), "facts")
+    slim = save(rows.select("doc_id", "n", "cls"), "slim")
+    drop(rows)
+    # Round 1: the smallest set of each column and size band, with the others of the band.
+    middle = save(entries.filter("short").groupBy("gram", "band").agg(F.min(F.struct("n", "cls")).alias("m"))
+                  .select("gram", "band", F.col("m.cls").alias("a"), F.col("m.n").alias("n_a")), "middle")
+    stars = (entries.select("gram", "band", F.col("cls").alias("b"), F.col("n").alias("n_b")).join(middle, ["gram", "band"])
+             .filter("a <> b").select("a", "n_a", "b", "n_b").distinct())
+    bits = lambda x: facts.select(F.col("cls").alias(x), F.col("bits").alias(f"bits_{x}"))
+    stars = stars.join(bits("a"), "a").join(bits("b"), "b").filter(_may_link(similarity)).select("a", "b")
+    first = _verified(stars, reps, texts, width, similarity)
     joined = save(components(first), "joined")
-    part = save(entries.join(joined.select(F.col("node").alias("cls"), "component"), "cls", "left")
-                .withColumn("component", F.coalesce("component", "cls")), "part")
-    # Round 2: what is still apart.
-    apart = (side(part.filter("short"), "a", "component").join(side(part, "b", "component"), "gram")
-             .filter(f"component_a <> component_b AND {_may_link(similarity)}").select("a", "b").distinct())
-    second = _verified(apart, entries, reps, texts, width, similarity)
-    drop(entries, part)
+    # Round 2: columns whose classes are still apart; overlap counts are accumulated over all of them.
+    part = (entries.join(joined.select(F.col("node").alias("cls"), "component"), "cls", "left")
+            .withColumn("component", F.coalesce("component", "cls"))
+            .withColumn("least", F.expr("min(component) OVER (PARTITION BY gram)"))
+            .withColumn("most", F.expr("max(component) OVER (PARTITION BY gram)"))
+            .withColumn("found", F.expr("max(short) OVER (PARTITION BY gram)")).filter("least <> most AND found"))
+    part = save(part.select("gram", "cls", "n", "short", "component").join(facts, "cls"), "part")
+    side = lambda df, x, *more: df.select("gram", F.col("cls").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "bits", *more)])
+    apart = (side(part.filter("short"), "a", "component", "soon").join(side(part, "b", "component", "last"), "gram")
+             .filter(f"component_a <> component_b AND {_may_link(similarity)}")
+             .groupBy("a", "b", "n_a", "n_b", "soon_a", "last_b").agg(F.count("*").alias("common"))
+             .filter(_enough(similarity)).select("a", "b"))
+    second = _verified(apart, reps, texts, width, similarity)
+    drop(entries, part, facts, middle)
     names = save(components(second.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))), "names")
     least = (reps.join(names.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls")))
     least = save(least.join(least.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("cls", "component_id"), "least")
-    full = rows.filter("cls IS NOT NULL").join(least, "cls", "left").select("doc_id", "n", "cls", "component_id")
-    none = rows.filter("cls IS NULL").select("doc_id", "n", "cls", F.col("doc_id").alias("component_id"))
+    full = slim.filter("cls IS NOT NULL").join(least, "cls", "left").select("doc_id", "n", "cls", "component_id")
+    none = slim.filter("cls IS NULL").select("doc_id", "n", "cls", F.col("doc_id").alias("component_id"))
     return full.unionByName(none).withColumnRenamed("n", "n_shingles"), first.unionByName(second)
 
 
