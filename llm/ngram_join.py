@@ -210,8 +210,9 @@ def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int, s
     few = ids.count() <= BROADCAST_IDS
     of = texts.join(F.broadcast(ids.select("doc_id")) if few else ids.select("doc_id"), "doc_id", "left_semi")
     # A doc_id may stand on rows of several classes: the class is made again and must agree.
-    sets = save(of.mapInArrow(_sets(width), "doc_id long, cls long, grams binary").join(ids, ["doc_id", "cls"])
-                .dropDuplicates(["cls"]).select("cls", "grams"), "sets")
+    # Rows that repeat bring the same set twice, which only finds the same links again.
+    sets = save(of.mapInArrow(_sets(width), "doc_id long, cls long, grams binary")
+                .join(F.broadcast(ids) if few else ids, ["doc_id", "cls"]).select("cls", "grams"), "sets")
     # Each pair brings the set of b to where the set of a is; a's set goes there once
     # for every PAIRS_A_COPY pairs, and is held while they pass.
     copies = left.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_A_COPY).alias("copies"))
