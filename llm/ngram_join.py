@@ -95,7 +95,7 @@ def frequent_columns(texts: DataFrame, width: int) -> bytes:
     """A bitmap of 2**SKETCH_BITS bits: which counters are well above the mean."""
     parts = (texts.select("text").mapInArrow(_sketch(width), "part int, counts binary")
              .repartition(RANGES, "part").mapInArrow(_added, "part int, counts binary").collect())
-    counts = np.zeros((RANGES, (1 << SKETCH_BITS) // RANGES), np.int64)
+    counts = np.zeros((RANGES, (1 << SKETCH_BITS) // RANGES), np.uint32)
     for row in parts:                            # RANGES rows of fixed size, whatever the input
         counts[row.part] += np.frombuffer(row.counts, np.uint32)
     counts = counts.reshape(-1)

@@ -85,7 +85,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray | float]:
 def _with_features(batches):
     for batch in batches:
         for rows, data, off in slices(batch):
-            yield pa.RecordBatch.from_pydict({"y": rows.column("y"), "x": pa.array(list(features(data, off)), pa.list_(pa.float64()))})
+            yield pa.RecordBatch.from_pydict({"y": rows.column("y"), "x": pa.array([r.tobytes() for r in features(data, off).astype(np.float32)], pa.binary())})
 
 
 def _with_evidence(model: dict):
@@ -115,12 +115,14 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> dict:
     n = y.count()
     chosen = y.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, 0.9 * FIT_ROWS / max(n, 1)))).limit(FIT_ROWS)
     rows = (columns(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id")
-            .select("y", "text").mapInArrow(_with_features, "y double, x array<double>").toPandas())
-    if not len(rows):
+            .select("y", "text").mapInArrow(_with_features, "y double, x binary").toArrow())
+    if not rows.num_rows:
         return fit(np.zeros((0, _N_BYTES + 8)), np.zeros(0))
-    x = np.stack(rows["x"].to_numpy())
-    order = np.lexsort((*x.T[:40], rows["y"].to_numpy()))       # the same sums whatever the order of tasks
-    return fit(x[order], (rows["y"].to_numpy()[order] >= 0.5).astype(float))
+    y = rows.column("y").to_numpy()
+    x = np.frombuffer(b"".join(v.as_buffer() for v in rows.column("x")), np.float32).reshape(len(y), -1)
+    del rows
+    order = np.lexsort((*x.T[:40], y))                          # the same sums whatever the order of tasks
+    return fit(x[order].astype(np.float64), (y[order] >= 0.5).astype(float))
 
 
 def site_rates(counts: DataFrame) -> DataFrame:
