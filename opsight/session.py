@@ -75,9 +75,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Only when it is unset (local tests) do we pick a fresh scratch folder.
     """
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if own.isDefined():                       # the caller's choice stands
-        return own.get()
     d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d and own.isDefined():             # the caller's choice stands
+        return own.get()
     if not d:
         master = spark.conf.get("spark.master", "local")
         if not master.startswith("local"):
@@ -85,7 +85,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
                                "fault-tolerant folder (a machine-local folder would be lost with its executor)")
         d = tempfile.mkdtemp(prefix="opsight-ckpt-")   # local mode only (tests, bench)
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if not own.isDefined():
+        spark.sparkContext.setCheckpointDir(d)
     return d
 
 
