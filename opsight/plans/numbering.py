@@ -1,14 +1,15 @@
 """Distributed numbering: ``ROW_NUMBER() OVER (ORDER BY ...)`` without one task.
 
 A global window sends every row to a single task.  Instead the rows are
-range-partitioned and sorted (``orderBy``), tagged with
-``monotonically_increasing_id`` (partition index in the high bits, position
-in the low bits).  The per-partition counts are a table with one row per
-partition - its size is bounded by the partition count, not by the data - so
-it is broadcast; a running sum over it gives each partition's offset.  Nothing
-runs until the caller's action: both uses of the sorted rows are the same
-subplan, so Spark sorts and exchanges them once.  A caller whose source is
-dear or not repeatable may ask for a checkpoint in the shared folder.
+range-partitioned and sorted, and tagged with ``monotonically_increasing_id``
+(partition index in the high bits, position in the low bits).  The first row of
+each partition carries that partition's count to every later partition, where
+the counts are summed to the offset: at most P * P / 2 narrow rows for P
+partitions, whatever the data.  The sorted rows are read once in one plan, so
+numbers do not depend on two sorts cutting the rows alike (column pruning, AQE
+and sampled bounds make them differ).  Nothing runs until the caller's action.
+A caller whose source is dear or not repeatable may ask for a checkpoint in the
+shared folder.
 """
 
 from __future__ import annotations
@@ -23,13 +24,17 @@ _LOW = (1 << 33) - 1
 
 def global_row_number(df: DataFrame, order: list[Column], name: str = "rn", checkpoint: bool = False) -> DataFrame:
     """Number rows 1..n in ``order`` (which must be a total order)."""
-    tagged = df.orderBy(*order).withColumn("__mid", F.monotonically_increasing_id())
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tagged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__mid", F.monotonically_increasing_id())
     if checkpoint:
         tagged = cut_lineage(tagged)
-    part = F.shiftright("__mid", 33)
-    counts = tagged.groupBy(part.alias("__pid")).agg(F.count(F.lit(1)).alias("__n"))
-    offsets = counts.select(
-        "__pid", (F.sum("__n").over(Window.orderBy("__pid")) - F.col("__n")).alias("__off"))
-    out = tagged.join(F.broadcast(offsets), part == F.col("__pid"))
-    return out.withColumn(name, F.col("__off") + F.col("__mid").bitwiseAND(F.lit(_LOW)) + 1) \
-        .drop("__mid", "__pid", "__off")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    counted = (tagged.select(row.alias("__row"), F.shiftright("__mid", 33).alias("__pid"), F.col("__mid").bitwiseAND(F.lit(_LOW)).alias("__at"))
+               .withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("__pid"))))
+    # The number of partitions is given, so AQE leaves it alone and indices end at n - 1.
+    own = F.col("__to") == F.col("__pid")
+    sent = (counted.withColumn("__to", F.explode(F.when(F.col("__at") == 0, F.sequence("__pid", F.lit(n - 1).cast("long")))
+                                                 .otherwise(F.array("__pid"))))
+            .withColumn("__row", F.when(own, F.col("__row")))
+            .withColumn("__off", F.sum(F.when(own, F.lit(0)).otherwise(F.col("__n"))).over(Window.partitionBy("__to"))))
+    return sent.filter(own).select("__row.*", (F.col("__off") + F.col("__at") + 1).alias(name))

@@ -152,3 +152,10 @@ def test_numbering_starts_no_job(spark):
     global_row_number(spark.range(100).toDF("k"), [F.col("k").desc()], "rn")
     assert not tracker.getJobIdsForGroup("numbering")
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_numbering_of_wide_rows_over_several_partitions(spark):
+    df = spark.range(0, 60_000, numPartitions=7).select((F.col("id") * 7919 % 60_000).alias("k"), F.repeat(F.md5(F.col("id").cast("string")), 8).alias("t"))
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true" and int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    got = global_row_number(df, [F.col("k").desc()], "rn").select("rn", "k", F.length("t").alias("w")).collect()
+    assert sorted((r.rn, r.k, r.w) for r in got) == [(60_000 - k, k, 256) for k in range(59_999, -1, -1)]
