@@ -142,7 +142,7 @@ def _rows(width: int, similarity: int, bitmap: bytes):
                     parity = np.bincount((s & np.uint64(MAP_BITS - 1)).astype(np.int64), minlength=MAP_BITS) & 1
                     bits[-1] = np.packbits(parity.astype(np.uint8)).view(np.int64)
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": rows.column("doc_id"), "n": pa.array(size, pa.int64()), "cls": pa.array(cls, pa.int64()),
+                    "doc_id": rows.column("doc_id"), "key": rows.column("key"), "n": pa.array(size, pa.int64()), "cls": pa.array(cls, pa.int64()),
                     "last": pa.array(last, pa.int64()), "soon": pa.array(soon, pa.int64()), "pre": pa.array(pre, pa.list_(pa.int64())),
                     "bits": pa.array(bits, pa.list_(pa.int64()))})
     return run
@@ -206,13 +206,21 @@ def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int, s
     """Of pairs (a, b): those that pass the comparison of their whole sets."""
     left = save(pairs, "pairs")
     ids = save(left.select(F.col("a").alias("cls")).union(left.select("b")).distinct().join(reps, "cls")
-               .select("cls", F.col("rep").alias("doc_id")), "ids")
-    few = ids.count() <= BROADCAST_IDS
-    of = texts.join(F.broadcast(ids.select("doc_id")) if few else ids.select("doc_id"), "doc_id", "left_semi")
+               .select("cls", F.col("rep").alias("doc_id"), "key"), "ids")
+    n, n_named = ids.agg(F.count("*"), F.count("doc_id")).first()
+    few = n <= BROADCAST_IDS
+    sent = lambda df: F.broadcast(df) if few else df
+    named, lone = ids.filter("doc_id IS NOT NULL").select("cls", "doc_id"), ids.filter("doc_id IS NULL").select("cls", "key")
+    of = texts.join(sent(named.select("doc_id")), "doc_id", "left_semi")
     # A doc_id may stand on rows of several classes: the class is made again and must agree.
     # Rows that repeat bring the same set twice, which only finds the same links again.
-    sets = save(of.mapInArrow(_sets(width), "doc_id long, cls long, grams binary")
-                .join(F.broadcast(ids) if few else ids, ["doc_id", "cls"]).select("cls", "grams"), "sets")
+    made = (of.mapInArrow(_sets(width), "doc_id long, cls long, grams binary")
+            .join(sent(named), ["doc_id", "cls"]).select("cls", "grams"))
+    if n > n_named:                              # classes that only rows without an id hold: one row each, by its text's hash
+        of = texts.filter("doc_id IS NULL").join(sent(lone.select("key")), "key", "left_semi").dropDuplicates(["key"])
+        made = made.unionByName(of.mapInArrow(_sets(width), "doc_id long, cls long, grams binary")
+                                .join(sent(lone.select("cls")), "cls").select("cls", "grams"))
+    sets = save(made, "sets")
     # Each pair brings the set of b to where the set of a is; a's set goes there once
     # for every PAIRS_A_COPY pairs, and is held while they pass.
     copies = left.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_A_COPY).alias("copies"))
@@ -236,12 +244,13 @@ def jaccard_classes(docs: DataFrame, similarity: int = SIMILARITY, width: int =
     with nothing; repeated rows and repeated ids are each returned; a null
     doc_id takes part and never names a component that has another id.
     """
-    texts = columns(docs, doc_id="long", text="string")
+    texts = (columns(docs, doc_id="long", text="string")
+             .withColumn("key", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))))
     bitmap = frequent_columns(texts, width)
-    rows = save(texts.mapInArrow(_rows(width, similarity, bitmap), "doc_id long, n long, cls long, "
+    rows = save(texts.mapInArrow(_rows(width, similarity, bitmap), "doc_id long, key long, n long, cls long, "
                                  "last long, soon long, pre array<long>, bits array<long>"), "rows")
-    # One row for each class: its smallest id that holds that class's text.
-    reps = save(rows.filter("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep")), "reps")
+    # One row for each class: its smallest id that holds that class's text, or a hash of such a text if no row has an id.
+    reps = save(rows.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key")), "reps")
     entries = save(rows.filter("pre IS NOT NULL").select("cls", "n", F.posexplode("pre").alias("at", "gram"))
                    .withColumn("least", F.expr("min(cls) OVER (PARTITION BY gram)"))
                    .withColumn("most", F.expr("max(cls) OVER (PARTITION BY gram)"))

@@ -65,3 +65,13 @@ def test_other_similarities(spark, similarity):
     rows = [(k, " ".join(f"w{(k * 7 + j * (1 + k % 3)) % 23}" for j in range(10 + k % 5))) for k in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert found(jaccard_classes(df, similarity, 2)[0]) == brute(rows, similarity, 2)
+
+
+def test_near_copies_without_an_id(spark):
+    base = [f"w{k}" for k in range(60)]
+    copies = [(None, " ".join(base[2:])), (5, " ".join(base)), (None, " ".join(base[2:]))]                  # without an id: the smaller set
+    copies += [(None, " ".join(base[::-1])), (3, " ".join(base[:1:-1]))]                                    # the larger one
+    copies += [(None, " ".join(f"v{k}" for k in range(30))), (None, " ".join(f"v{k}" for k in range(29)))]  # both, and no id at all
+    got = jaccard_classes(spark.createDataFrame(copies, "doc_id long, text string"))[0].collect()
+    assert sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in got) == [
+        (-1, 25, -1), (-1, 26, -1), (-1, 54, 5), (-1, 54, 5), (-1, 56, 3), (3, 54, 3), (5, 56, 5)]
