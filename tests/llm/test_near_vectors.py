@@ -63,3 +63,22 @@ def test_dense_groups_copies_and_odd_vectors(spark):
 
 def test_passes_grow_slowly():
     assert passes_for(10) <= passes_for(10_000) < passes_for(10_000_000) < 100
+
+
+def test_pairs_of_one_label_that_shares_a_direction(spark):
+    rng = np.random.default_rng(11)
+    shared = np.full(64, 0.125)
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    v = unit(2 * shared + unit(rng.standard_normal((6000, 64))))              # mean cosine 0.8
+    w = rng.standard_normal((400, 64))
+    w = unit(w - (w * v[:400]).sum(1, keepdims=True) * v[:400])
+    v = np.concatenate([v, 0.935 * v[:400] + math.sqrt(1 - 0.935 ** 2) * w])
+    near = v @ v.T >= 0.93
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(k, x.tolist(), "hot") for k, x in enumerate(v)], "vec_id long, embedding array<double>, label string")
+    got = {r.vec_id: r.n_links for r in near_vectors(df).select("vec_id", "n_links").collect()}
+    assert all(got[k] <= n for k, n in enumerate(near.sum(1)))
+    assert sum(got[k] > 0 for k in range(400)) >= 0.95 * 400
