@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import debruijn, decontaminate, mixture, near_vectors, ngram_join, privacy, quality, suffix_dedup, token_output, toxicity
+from llm import debruijn, decontaminate, license_scan, mixture, near_vectors, ngram_join, privacy, quality, suffix_dedup, token_output, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_substring_dedup": debruijn.op9_substring_dedup,
     "op10_ngram_jaccard_join": ngram_join.op10_ngram_jaccard_join,
+    "op11_license_scans": license_scan.op11_license_scans,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op11_license_scans": license_scan.oracle_sql(),
+}
