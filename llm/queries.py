@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import debruijn, decontaminate, license_scan, mixture, near_vectors, ngram_join, periodic_runs, privacy, quality, suffix_dedup, token_output, toxicity
+from llm import debruijn, decontaminate, license_scan, mixture, near_vectors, ngram_join, periodic_runs, privacy, quality, suffix_dedup, token_align, token_output, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_jaccard_join": ngram_join.op10_ngram_jaccard_join,
     "op11_license_scans": license_scan.op11_license_scans,
     "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_token_alignment": token_align.op13_token_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
