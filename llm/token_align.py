@@ -169,7 +169,11 @@ class Aligned:
         (self.a, na, _), (self.b, nb, _) = sides
         edge = np.cumsum(length)
         self.end_a, self.end_b = np.cumsum(a.size[self.a]), np.cumsum(b.size[self.b])
-        self.cuts = np.intersect1d(self.end_a, self.end_b)
+        # By byte: whether tokens of both sides end there, and how many such places come before.
+        ends = [np.zeros(len(want) + 1, bool) for _ in sides]
+        ends[0][self.end_a] = ends[1][self.end_b] = True
+        self.cut = ends[0] & ends[1]
+        self.cuts = np.flatnonzero(self.cut)
         spread = lambda n: np.bincount(full, n, self.docs).astype(np.int64)
         self.n_a, self.n_b = spread(na), spread(nb)
         self.doc_of = lambda ends: full[np.searchsorted(edge, ends)]
@@ -185,15 +189,20 @@ class Aligned:
 
     def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(A id, B id, document) of every pair of tokens that end together."""
-        low = np.searchsorted(self.end_b, self.end_a, side="left")
-        n = np.searchsorted(self.end_b, self.end_a, side="right") - low
-        to = np.cumsum(n)
-        at = np.repeat(low - (to - n), n) + np.arange(to[-1] if len(to) else 0)
-        return np.repeat(self.a, n), self.b[at], np.repeat(self.doc_of(self.end_a), n) if len(to) else at
+        at_a, at_b = np.flatnonzero(self.cut[self.end_a]), np.flatnonzero(self.cut[self.end_b])
+        ends, others = self.end_a[at_a], self.end_b[at_b]
+        if len(at_a) != len(self.cuts) or len(at_b) != len(self.cuts):      # tokens without bytes end where another does
+            low = np.searchsorted(others, ends, side="left")
+            n = np.searchsorted(others, ends, side="right") - low
+            to = np.cumsum(n)
+            at_b = at_b[np.repeat(low - (to - n), n) + np.arange(to[-1] if len(to) else 0)]
+            at_a, ends = np.repeat(at_a, n), np.repeat(ends, n)
+        return self.a[at_a], self.b[at_b], self.doc_of(ends)
 
     def groups(self) -> list[bytes]:
         """Per document a1,a2|b1;a3|b2,b3 ... - the ids of its groups; empty without tokens."""
-        group_a, group_b = np.searchsorted(self.cuts, self.end_a), np.searchsorted(self.cuts, self.end_b)
+        before = np.cumsum(self.cut) - self.cut
+        group_a, group_b = before[self.end_a], before[self.end_b]
         to_a, to_b = (np.cumsum(np.bincount(g, minlength=len(self.cuts))) for g in (group_a, group_b))
         from_b = np.append(0, to_b[:-1]) if len(to_b) else to_b
         ids = np.empty(len(self.a) + len(self.b), np.int64)
