@@ -49,3 +49,10 @@ def round_rate(amount: str, start: str, end: str, digits: int = 0) -> str:
 def num_text(x: str) -> str:
     return (f"CASE WHEN ({x}) IS NULL THEN NULL WHEN abs({x}) >= 1000000000000 THEN repeat('#', 16) "
             f"ELSE lpad(format('{{:,}}', CAST({x} AS BIGINT)), 16, ' ') END")
+
+
+def interval_text(micros: str) -> str:
+    """Sign, days and time of a number of microseconds."""
+    m = f"abs({micros})"
+    return (f"CASE WHEN ({micros}) IS NULL THEN NULL ELSE if({micros} < 0, '-', '+') || format('{{:09d}} {{:02d}}:{{:02d}}:{{:02d}}.{{:06d}}', "
+            f"{m} // 86400000000, {m} // 3600000000 % 24, {m} // 60000000 % 60, {m} // 1000000 % 60, {m} % 1000000) END")

@@ -70,6 +70,27 @@ def secs_between(start, end) -> Column:
     return micros_between(start, end) / F.lit(1_000_000.0)
 
 
+def interval_between(start, end) -> Column:
+    """``ts - ts``: a day-time interval."""
+    return col(end) - col(start)
+
+
+def numtodsinterval(n, unit: str = "SECOND") -> Column:
+    """``NUMTODSINTERVAL(n, unit)``: a number of days, hours, minutes or seconds as a day-time interval, exact to the microsecond."""
+    secs = {"DAY": 86400, "HOUR": 3600, "MINUTE": 60, "SECOND": 1}[unit.upper()]
+    zero = F.lit(0)
+    return F.make_dt_interval(zero, zero, zero, (col(n).cast("decimal(18,6)") * F.lit(secs)).cast("decimal(18,6)"))
+
+
+def interval_text(iv: Column) -> Column:
+    """An interval as the database prints it: sign, nine digits of days, and the time (``+000000001 02:03:04.500000``)."""
+    part = lambda unit: F.abs(F.extract(F.lit(unit), iv))
+    two = lambda unit: F.lpad(part(unit).cast("string"), 2, "0")
+    sign = F.when(iv < F.expr("INTERVAL '0' SECOND"), "-").otherwise("+")
+    return F.concat(sign, F.lpad(part("DAY").cast("string"), 9, "0"), F.lit(" "), two("HOUR"), F.lit(":"), two("MINUTE"), F.lit(":"),
+                    F.lpad(part("SECOND").cast("string"), 9, "0"))
+
+
 def txt(*parts) -> Column:
     """Oracle ``||`` over columns and literals: strings are literals."""
     return F.concat_ws("", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])

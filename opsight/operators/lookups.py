@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from opsight.functions import duck as D
 from opsight.functions.expr import key_of
 from opsight.operators.actions import (
     advance_watermark, cascade_delete, close_group_runs, reset_by_error_log, reset_failed_batches,
@@ -50,15 +51,40 @@ def q_dump_counts_of_task(spark, sf):
     return dump_counts(of_tasks(fx.files, fx.tasks, "%7"))
 
 
-@query("log_spans_of_task", "2.20", """
-WITH own AS (SELECT DISTINCT run_id FROM fx_log SEMI JOIN (SELECT task_id FROM fx_tasks WHERE task LIKE '%5') USING (task_id)
-             WHERE error_sysdate > TIMESTAMP '2024-01-31' - INTERVAL 10 DAY AND NOT starts_with(message, 'Started')
-               AND (message LIKE '  Concatenating DAT File%' OR message LIKE '  Concatenated DAT File Created%' OR message LIKE '%STEP END%'))
-SELECT count(*) AS runs FROM own
+@query("log_spans_of_task", "2.20", f"""
+WITH own AS (
+  SELECT run_id, error_sysdate, message FROM fx_log SEMI JOIN (SELECT task_id FROM fx_tasks WHERE ends_with(task, '5')) USING (task_id)
+  WHERE error_sysdate > TIMESTAMP '2024-01-31' - INTERVAL 10 DAY
+), spans AS (
+  SELECT run_id, max(if(message[:24] = '  Concatenating DAT File', error_sysdate, NULL)) AS concat_start,
+         max(if(message[:31] = '  Concatenated DAT File Created', error_sysdate, NULL)) AS concat_end,
+         max(if(message[:13] = '1-2) STEP END', message, NULL)) AS message
+  FROM own GROUP BY run_id
+)
+SELECT run_id, concat_start, concat_end, message,
+       round(regexp_extract(message, '([0-9]+) rows', 1)::DOUBLE / nullif(regexp_extract(message, 'END ([0-9]+) secs', 1)::DOUBLE, 0), 2) AS rows_loaded_per_second,
+       {D.round_duration('concat_start', 'concat_end', 60, 2)} AS concat_elapsed_mins
+FROM spans WHERE concat_start IS NOT NULL OR concat_end IS NOT NULL OR message IS NOT NULL
 """)
 def q_log_spans_of_task(spark, sf):
     fx = fixtures(spark, sf)
-    return log_span_parse(of_tasks(fx.log, fx.tasks, "%5"), AS_OF_RUNS, 10).agg(F.count(F.lit(1)).alias("runs"))
+    return log_span_parse(of_tasks(fx.log, fx.tasks, "%5"), AS_OF_RUNS, 10)
+
+
+def move_listing(names: DataFrame, n: int, folder: str) -> DataFrame:
+    """The first ``n`` names of a listing, in order, each with its move command (``ls * | head -n | awk``).
+
+    A top-k: every task keeps its first ``n`` names, so no more than that meet.
+    """
+    text = F.concat(F.lit("mv  "), F.col("name"), F.lit(f" {folder} ; echo DONE_"), F.col("name"))
+    return names.select("name").orderBy("name").limit(n).select("name", text.alias("command"))
+
+
+@query("move_listing", "2.15", """
+SELECT name, 'mv  ' || name || ' /data/incoming ; echo DONE_' || name AS command FROM fx_listing ORDER BY name LIMIT 5000
+""")
+def q_move_listing(spark, sf):
+    return move_listing(fixtures(spark, sf).listing, 5000, "/data/incoming")
 
 
 def file_names(keys: DataFrame, files: DataFrame) -> DataFrame:
@@ -104,6 +130,52 @@ def q_parameter_of_today(spark, sf):
     return parameter_of_today(fixtures(spark, sf).tasks, "%12", AS_OF_RUNS)
 
 
+def next_tablespace(asked: DataFrame, partitions: DataFrame) -> DataFrame:
+    """Space for each asked (owner, table_name, partition_name): that of the table's partition of that day, else of
+    the next one after it, else of the last one before it; NULL for a table without dated partitions.
+
+    An as-of look-up: the days of a table's partitions (of several spaces on a
+    day the first by name) and its asked days meet in day order, once each, so
+    a table with a third of all rows brings a row a day to its task and no more.
+    """
+    keys = ["owner", "table_name", "day"]
+    day = F.try_to_date(F.substring("partition_name", 3, 8), "yyyyMMdd")
+    dated = asked.select("owner", "table_name", "partition_name", day.alias("day"))
+    calendar = partitions.select("owner", "table_name", day.alias("day"), "tablespace_name").filter(F.col("day").isNotNull()) \
+        .groupBy(*keys).agg(F.min("tablespace_name").alias("space"))
+    wanted = dated.filter(F.col("day").isNotNull()).select(*keys).distinct().withColumn("space", F.lit(None).cast("string"))
+    days = calendar.unionByName(wanted).groupBy(*keys).agg(F.max("space").alias("space"))
+    by = Window.partitionBy("owner", "table_name").orderBy("day")
+    onward = F.first("space", ignorenulls=True).over(by.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    back = F.last("space", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = days.select(*keys, F.coalesce(onward, back).alias("next_tablespace"))
+    return dated.join(found, keys, "left").select("owner", "table_name", "partition_name", "next_tablespace")
+
+
+@query("next_tablespace", "2.20", """
+WITH dated AS (
+  SELECT owner, table_name, try_strptime(substr(partition_name, 3, 8), '%Y%m%d') AS day, min(tablespace_name) AS space
+  FROM fx_partitions GROUP BY ALL HAVING day IS NOT NULL
+), asked AS (
+  SELECT 'DW' AS owner, substr(index_name, 4) AS table_name,
+         'P_' || strftime(try_strptime(substr(partition_name, 3, 8), '%Y%m%d') + INTERVAL 1 DAY, '%Y%m%d') AS partition_name,
+         try_strptime(substr(partition_name, 3, 8), '%Y%m%d') + INTERVAL 1 DAY AS day
+  FROM fx_ind_parts
+)
+SELECT asked.owner, asked.table_name, asked.partition_name, ifnull(onward.space, back.space) AS next_tablespace
+FROM asked
+ASOF LEFT JOIN dated AS onward ON (onward.owner, onward.table_name) = (asked.owner, asked.table_name) AND onward.day >= asked.day
+ASOF LEFT JOIN dated AS back ON (back.owner, back.table_name) = (asked.owner, asked.table_name) AND back.day <= asked.day
+""")
+def q_next_tablespace(spark, sf):
+    """Where the day after each index partition goes."""
+    fx = fixtures(spark, sf)
+    after = F.date_add(F.try_to_date(F.substring("partition_name", 3, 8), "yyyyMMdd"), 1)
+    asked = fx.ind_parts.select(F.lit("DW").alias("owner"), F.expr("substring(index_name, 4)").alias("table_name"),
+                                F.concat(F.lit("P_"), F.date_format(after, "yyyyMMdd")).alias("partition_name"))
+    return next_tablespace(asked, fx.partitions)
+
+
 # --------------------------------------------------------------------- second outputs
 @query("advanced_tasks", "D5", """
 WITH own AS (SELECT max(max_key) AS pd FROM fx_tasks WHERE task = 'Customer#000000010'),

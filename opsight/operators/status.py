@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 from opsight.functions import duck as D
 from opsight.functions import texts as T
 from opsight.functions.expr import (
-    BUCKET_STATUSES, OPEN_STATUSES, cnt_if, day_of, days_ago, hms_text, key_to_date, micros_between, num_text,
-    round_duration, round_rate, secs_between, ts_lit,
+    BUCKET_STATUSES, OPEN_STATUSES, cnt_if, day_of, days_ago, hms_text, interval_between, interval_text, key_to_date,
+    micros_between, num_text, numtodsinterval, round_duration, round_rate, secs_between, ts_lit,
 )
 from opsight.functions import patterns as P
 from opsight.plans.registry import query
+from opsight.session import cut_lineage
 from opsight.sources.fixtures import AS_OF_FILES, AS_OF_RUNS, fixtures
 
 TS_FMT = "yyyyMMdd HH:mm:ss"
@@ -344,8 +345,11 @@ def run_board(runs: DataFrame, tasks: DataFrame, batches: DataFrame, ranges: Dat
     script as one table; unlisted tasks are not on the board.
     """
     key = key if isinstance(key, Column) else F.lit(str(key))
-    listed = runs.join(sections.select("task").distinct(), "task", "left_semi")
-    rb = _keyed_runs(listed, batches, key, copied=True).join(sections, "task")
+    # Runs of the date are found once, for the board and for its day row, and written to the shared folder.
+    closing = [*first_tasks, last_task]
+    named = sections.select("task").union(runs.sparkSession.range(1).select(F.explode(F.array(*[F.lit(t) for t in closing])))).distinct()
+    keyed = cut_lineage(_keyed_runs(runs.join(named, "task", "left_semi"), batches, key, copied=True))
+    rb = keyed.join(sections, "task")
     # Ranges of the board's runs only are aggregated.
     stats = range_run_stats(ranges.join(rb.select("run_id").distinct(), "run_id", "left_semi"))
     t = tasks.select("task_id", "task_business_area")
@@ -362,8 +366,7 @@ def run_board(runs: DataFrame, tasks: DataFrame, batches: DataFrame, ranges: Dat
         F.col("avg_duration").alias("avg_dur"), F.col("max_duration").alias("max_dur"),
         F.col("min_rows_persec").alias("min_rps"), F.col("avg_rows_persec").alias("avg_rps"),
         F.col("max_rows_persec").alias("max_rps"))
-    closing = runs.filter(F.col("task").isin(*first_tasks, last_task))
-    day = _day_rows(_keyed_runs(closing, batches, key), first_tasks, last_task, key, as_of)
+    day = _day_rows(keyed, first_tasks, last_task, key, as_of)
     # One global-aggregate row: a bounded broadcast.
     day = day.crossJoin(F.broadcast(_day_section(sections)))
     for c in cols_null:
@@ -393,29 +396,30 @@ def sections_from_tasks(tasks: DataFrame) -> DataFrame:
 
 
 @query("run_board", "R7", f"""
-WITH sections AS (
-  SELECT task, concat_ws('.', substr(task_business_area, 1, 1), CAST(task_id % 5 AS VARCHAR), 'A') AS section,
-         CAST(task_id % 44 + CASE WHEN task_id % 10 = 1 THEN 0.1 ELSE 0.0 END AS DOUBLE) AS section_rank
+WITH wanted AS (SELECT {_R9_KEY_SQL} AS day_key),
+place AS (
+  SELECT task, concat_ws('.', task_business_area[1], (task_id % 5)::VARCHAR, 'A') AS section,
+         (task_id % 44 + if(task_id % 10 = 1, 0.1, 0))::DOUBLE AS section_rank
   FROM fx_tasks
-  UNION ALL SELECT 'DAY DURATION', '6.1.A', 0.0),
-d AS ({_r8_sql()})
-SELECT s.section, s.section_rank, c.dw_date_key AS src_dtk,
-       coalesce(CAST(b.dw_date_key AS VARCHAR), a.diy_parameter, '_') AS my_dtk, a.run_status, a.task,
-       round({D.secs('a.start_date', 'a.end_date')}, 6) AS duration_sec,
-       {D.ts_text('a.start_date')} AS start_date, {D.ts_text('a.end_date')} AS end_date, a.rows_loaded, a.run_id,
-       a.batch_id, c.copied_batch_id, a.task_id, a.rows_error, a.diy_parameter, a.direct_exec_sql, t.task_business_area,
-       d.range_cnt, d.avg_duration AS avg_dur, d.max_duration AS max_dur, d.min_rows_persec AS min_rps,
-       d.avg_rows_persec AS avg_rps, d.max_rows_persec AS max_rps
-FROM fx_runs a JOIN sections s ON a.task = s.task
-LEFT JOIN fx_tasks t ON a.task_id = t.task_id
-LEFT JOIN fx_batches b ON a.batch_id = b.batch_id
-LEFT JOIN fx_batches c ON b.copied_batch_id = c.batch_id
-LEFT JOIN d ON a.run_id = d.run_id
-WHERE a.run_status NOT IN ('CANCELLED')
-  AND coalesce(CAST(b.dw_date_key AS VARCHAR), a.diy_parameter, '_') = {_R9_KEY_SQL}
-UNION ALL
-SELECT '6.1.A', 0.0, NULL, my_dtk, run_status, task, duration_sec, start_date, end_date, NULL, NULL, NULL, NULL,
-       NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+), spread AS ({_r8_sql()}),
+origin AS (SELECT own.batch_id, own.dw_date_key::VARCHAR AS own_key, source.dw_date_key AS src_dtk, source.copied_batch_id
+           FROM fx_batches AS own LEFT JOIN fx_batches AS source ON source.batch_id = own.copied_batch_id),
+of_day AS (
+  SELECT run.*, ifnull(own_key, ifnull(diy_parameter, '_')) AS my_dtk, src_dtk, copied_batch_id
+  FROM fx_runs AS run LEFT JOIN origin USING (batch_id)
+  WHERE run_status <> 'CANCELLED' AND ifnull(own_key, ifnull(diy_parameter, '_')) = (FROM wanted)
+), listed AS (
+  SELECT place.section, section_rank, src_dtk, my_dtk, run_status, of_day.task,
+         round({D.secs('start_date', 'end_date')}, 6) AS duration_sec, {D.ts_text('start_date')} AS start_date,
+         {D.ts_text('end_date')} AS end_date, rows_loaded, run_id, batch_id, copied_batch_id, of_day.task_id, rows_error,
+         diy_parameter, direct_exec_sql, owner.task_business_area, range_cnt, avg_duration AS avg_dur, max_duration AS max_dur,
+         min_rows_persec AS min_rps, avg_rows_persec AS avg_rps, max_rows_persec AS max_rps
+  FROM of_day INNER JOIN place USING (task)
+  LEFT JOIN (SELECT task_id, task_business_area FROM fx_tasks) AS owner USING (task_id) LEFT JOIN spread USING (run_id)
+)
+FROM listed
+UNION ALL BY NAME
+SELECT '6.1.A' AS section, 0.0::DOUBLE AS section_rank, my_dtk, run_status, task, duration_sec, start_date, end_date
 FROM ({_r9_sql(_R9_KEY_SQL)})
 """)
 def q_run_board(spark, sf):
@@ -857,3 +861,31 @@ LEFT JOIN fx_sessions AS s ON {D.run_id('s.client_info')} = r.run_id::VARCHAR
 def q_run_sessions(spark, sf):
     fx = fixtures(spark, sf)
     return run_sessions(fx.runs, fx.sessions, AS_OF_RUNS)
+
+
+# --------------------------------------------------------------------- intervals
+def run_intervals(runs: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """Run times as day-time intervals: elapsed, time since the start, and the elapsed seconds of a thousand rows.
+
+    ``elapsed`` and ``age`` are differences of clocks, ``per_thousand`` is made
+    from a number; all three are interval columns, which add and compare as such.
+    """
+    secs = F.try_divide(micros_between("start_date", "end_date").cast("decimal(38,0)") / F.lit(1000), F.nullif(F.col("rows_loaded"), F.lit(0)))
+    return runs.select("run_id", "task", interval_between("start_date", "end_date").alias("elapsed"),
+                       interval_between("start_date", ts_lit(as_of)).alias("age"), numtodsinterval(F.round(secs, 6)).alias("per_thousand"))
+
+
+_PER_THOUSAND = "CAST(round(date_diff('microsecond', start_date, end_date) * 1000 / nullif(rows_loaded, 0)) AS BIGINT)"
+
+
+@query("run_intervals", "2.18", f"""
+SELECT run_id, task, {D.interval_text("date_diff('microsecond', start_date, end_date)")} AS elapsed,
+       {D.interval_text(f"date_diff('microsecond', start_date, {D.RUNS_CLOCK})")} AS age,
+       {D.interval_text(_PER_THOUSAND)} AS per_thousand,
+       date_diff('microsecond', start_date, end_date) > 20000000 AS long
+FROM fx_runs
+""")
+def q_run_intervals(spark, sf):
+    r = run_intervals(fixtures(spark, sf).runs, AS_OF_RUNS)
+    return r.select("run_id", "task", *[interval_text(F.col(c)).alias(c) for c in ("elapsed", "age", "per_thousand")],
+                    (F.col("elapsed") > numtodsinterval(F.lit(20))).alias("long"))

@@ -1,15 +1,14 @@
 """Distributed numbering: ``ROW_NUMBER() OVER (ORDER BY ...)`` without one task.
 
 A global window sends every row to a single task.  Instead the rows are
-range-partitioned and sorted, and tagged with ``monotonically_increasing_id``
-(partition index in the high bits, position in the low bits).  The first row of
-each partition carries that partition's count to every later partition, where
-the counts are summed to the offset: at most P * P / 2 narrow rows for P
-partitions, whatever the data.  The sorted rows are read once in one plan, so
-numbers do not depend on two sorts cutting the rows alike (column pruning, AQE
-and sampled bounds make them differ).  Nothing runs until the caller's action.
-A caller whose source is dear or not repeatable may ask for a checkpoint in the
-shared folder.
+range-partitioned and sorted, tagged with ``monotonically_increasing_id``
+(partition index in the high bits, position in the low bits) and written once
+to the shared folder: that is the only shuffle of the rows.  Offsets are the
+running sum of the partitions' row counts - one narrow row a partition, as
+many as ``spark.sql.shuffle.partitions`` says - and are broadcast to the
+written rows.  Both passes read the same files, so numbers do not depend on
+two sorts cutting the rows alike (column pruning, AQE and sampled bounds make
+them differ), and a lost executor costs its running tasks.
 """
 
 from __future__ import annotations
@@ -17,24 +16,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsight.session import cut_lineage
+from opsight.sources.readers import shared_path
 
 _LOW = (1 << 33) - 1
 
 
-def global_row_number(df: DataFrame, order: list[Column], name: str = "rn", checkpoint: bool = False) -> DataFrame:
-    """Number rows 1..n in ``order`` (which must be a total order)."""
-    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def global_row_number(df: DataFrame, order: list[Column], name: str = "rn") -> DataFrame:
+    """Number rows 1..n in ``order`` (which must be a total order).  The rows are sorted and written when this is called."""
+    spark = df.sparkSession
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    path = shared_path(spark, "numbered")
     tagged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__mid", F.monotonically_increasing_id())
-    if checkpoint:
-        tagged = cut_lineage(tagged)
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    counted = (tagged.select(row.alias("__row"), F.shiftright("__mid", 33).alias("__pid"), F.col("__mid").bitwiseAND(F.lit(_LOW)).alias("__at"))
-               .withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("__pid"))))
-    # The number of partitions is given, so AQE leaves it alone and indices end at n - 1.
-    own = F.col("__to") == F.col("__pid")
-    sent = (counted.withColumn("__to", F.explode(F.when(F.col("__at") == 0, F.sequence("__pid", F.lit(n - 1).cast("long")))
-                                                 .otherwise(F.array("__pid"))))
-            .withColumn("__row", F.when(own, F.col("__row")))
-            .withColumn("__off", F.sum(F.when(own, F.lit(0)).otherwise(F.col("__n"))).over(Window.partitionBy("__to"))))
-    return sent.filter(own).select("__row.*", (F.col("__off") + F.col("__at") + 1).alias(name))
+    tagged.write.parquet(path)
+    rows = spark.read.schema(tagged.schema).parquet(path).withColumn("__pid", F.shiftright("__mid", 33))
+    counts = rows.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
+    offsets = counts.select("__pid", (F.sum("__n").over(Window.orderBy("__pid")) - F.col("__n")).alias("__off"))
+    at = F.col("__mid").bitwiseAND(F.lit(_LOW))
+    return rows.join(F.broadcast(offsets), "__pid").select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__off") + at + 1).alias(name))

@@ -358,6 +358,7 @@ SELECT CAST(1 + user_id % 2 AS BIGINT) AS inst_id, event_id AS sid, user_id AS s
             WHEN 'signup' THEN 'Table Scan' WHEN 'purchase' THEN 'Insert'
             ELSE 'Index Fast Full Scan' END || ': T_' || CAST(k AS VARCHAR) AS message,
        'T_' || CAST(k AS VARCHAR) AS target,
+       CASE WHEN event_type IN ('view', 'purchase') THEN 'Rows' ELSE 'Blocks' END AS units,
        CAST(floor(value) AS BIGINT) AS sofar,
        CAST(floor(value) AS BIGINT) + k AS totalwork,
        k AS elapsed_seconds, k % 7 AS time_remaining,
@@ -377,7 +378,7 @@ SELECT CAST(1 + l_suppkey % 2 AS BIGINT) AS inst_id, CAST(l_partkey AS VARCHAR)
 FROM lineitem""")
 
 _fx("fx_sqltext", """
-SELECT CAST(l_partkey AS VARCHAR) AS sql_id, CAST(l_linenumber - 1 AS BIGINT) AS piece,
+SELECT CAST(1 + l_suppkey % 2 AS BIGINT) AS inst_id, CAST(l_partkey AS VARCHAR) AS sql_id, CAST(l_linenumber - 1 AS BIGINT) AS piece,
        'piece ' || CAST(l_linenumber AS VARCHAR) || ' of ' || CAST(l_orderkey AS VARCHAR) AS sql_text
 FROM lineitem""")
 

@@ -183,6 +183,7 @@ class Fixtures:
             f"{op} AS opname",
             f"concat({op}, ': T_', CAST(k AS STRING)) AS message",
             "concat('T_', CAST(k AS STRING)) AS target",
+            "CASE WHEN event_type IN ('view', 'purchase') THEN 'Rows' ELSE 'Blocks' END AS units",
             "CAST(floor(value) AS BIGINT) AS sofar",
             "CAST(floor(value) AS BIGINT) + k AS totalwork",
             "k AS elapsed_seconds", "k % 7 AS time_remaining",
@@ -386,7 +387,7 @@ class Fixtures:
     @cached_property
     def sqltext(self) -> DataFrame:
         return self.raw("lineitem").selectExpr(
-            "CAST(l_partkey AS STRING) AS sql_id", "CAST(l_linenumber - 1 AS BIGINT) AS piece",
+            "CAST(1 + l_suppkey % 2 AS BIGINT) AS inst_id", "CAST(l_partkey AS STRING) AS sql_id", "CAST(l_linenumber - 1 AS BIGINT) AS piece",
             "concat('piece ', CAST(l_linenumber AS STRING), ' of ', CAST(l_orderkey AS STRING)) AS sql_text")
 
     @cached_property

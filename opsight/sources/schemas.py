@@ -99,15 +99,15 @@ DDL = {
     "objects": "object_id bigint, owner string, object_name string, object_type string",
     "ddl_locks": "session_id bigint, owner string, name string, type string, mode_held string",
     "longops": (
-        "inst_id bigint, sid bigint, serial bigint, opname string, message string, target string, sofar "
-        "bigint, totalwork bigint, elapsed_seconds bigint, time_remaining bigint, sql_id string, "
+        "inst_id bigint, sid bigint, serial bigint, opname string, message string, target string, units string, "
+        "sofar bigint, totalwork bigint, elapsed_seconds bigint, time_remaining bigint, sql_id string, "
         "start_time timestamp_ntz"
     ),
     "sql": (
         "inst_id bigint, sql_id string, sql_text string, cpu_time bigint, elapsed_time bigint, disk_reads "
         "bigint, buffer_gets bigint, executions bigint, rows_processed bigint"
     ),
-    "sqltext": "sql_id string, piece bigint, sql_text string",
+    "sqltext": "inst_id bigint, sql_id string, piece bigint, sql_text string",
     "stats": "inst_id bigint, sid bigint, statistic bigint, value double",
     "stat_names": "statistic bigint, name string",
     "listing": "name string, modification_time timestamp_ntz, length bigint",

@@ -34,3 +34,22 @@ def test_no_sort_merge_join_to_tasks(spark, name):
     # The task dimension is small here: the planner broadcasts it (a size it has checked).
     p = plan(registry()[name].build(spark, SF_SMALL))
     assert "SortMergeJoin" not in p
+
+
+def test_hour_bound_reaches_the_scan(spark):
+    p = plan(registry()["hourly_throughput"].build(spark, SF_SMALL))
+    assert "GreaterThanOrEqual(ts" in p.split("PushedFilters")[1][:600]
+
+
+def test_run_board_finds_the_runs_of_the_day_once(spark):
+    p = plan(registry()["run_board"].build(spark, SF_SMALL))
+    assert p.count("Exchange") <= 16 and p.count("events.parquet") <= 2
+
+
+def test_lag_text_keeps_rows_without_a_copied_batch_out_of_the_join(spark):
+    p = plan(registry()["stream_lag_text"].build(spark, SF_SMALL))
+    assert "LeftOuter" not in "".join(x for x in p.split("\n") if "copied_batch_id" in x)
+
+
+def test_partition_trend_prunes_at_run_time(spark):
+    assert "dynamicpruning" in plan(registry()["partition_trend"].build(spark, SF_SMALL)).lower()

@@ -146,12 +146,25 @@ def test_tasks_of_one_name_are_one_row(spark):
     assert len(rows) == 1 and (rows[0].busy, rows[0].done) == (1, 1)
 
 
-def test_numbering_starts_no_job(spark):
-    tracker = spark.sparkContext.statusTracker()
-    spark.sparkContext.setJobGroup("numbering", "none expected")
-    global_row_number(spark.range(100).toDF("k"), [F.col("k").desc()], "rn")
-    assert not tracker.getJobIdsForGroup("numbering")
-    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+def test_numbering_shuffles_rows_once(spark):
+    df = spark.range(0, 4000, numPartitions=5).select(F.col("id").alias("k"), F.repeat(F.lit("x"), 50).alias("wide"))
+    out = global_row_number(df, [F.col("k").desc()], "rn")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # The sorted rows are read back; only the partitions' counts are exchanged, and broadcast.
+    assert "BroadcastHashJoin" in plan and "rangepartitioning" not in plan
+    for line in plan.split("\n"):
+        assert "Exchange hashpartitioning" not in line or "wide" not in line
+    assert out.agg(F.sum("rn"), F.max("rn")).first() == (4000 * 4001 // 2, 4000)
+
+
+def test_numbering_of_hot_and_equal_keys(spark):
+    """A third of the rows share the first order column; fewer rows than partitions; no rows."""
+    df = spark.range(0, 3000).select(F.when(F.col("id") < 1000, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("i"))
+    got = global_row_number(df, [F.col("k"), F.col("i")], "rn")
+    want = df.withColumn("rn", F.row_number().over(Window.orderBy("k", "i")))
+    assert sorted(got.collect()) == sorted(want.collect())
+    assert [r.rn for r in global_row_number(spark.range(1), [F.col("id")]).collect()] == [1]
+    assert global_row_number(spark.range(0), [F.col("id")]).count() == 0
 
 
 def test_numbering_of_wide_rows_over_several_partitions(spark):
@@ -159,3 +172,70 @@ def test_numbering_of_wide_rows_over_several_partitions(spark):
     assert spark.conf.get("spark.sql.adaptive.enabled") == "true" and int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
     got = global_row_number(df, [F.col("k").desc()], "rn").select("rn", "k", F.length("t").alias("w")).collect()
     assert sorted((r.rn, r.k, r.w) for r in got) == [(60_000 - k, k, 256) for k in range(59_999, -1, -1)]
+
+
+def _waits(spark, links):
+    return spark.createDataFrame(links, "sid long, blocking_session long")
+
+
+def test_final_blockers_of_chains_rings_and_strangers(spark):
+    from opsight.operators.sessions import final_blockers
+    chain = [(k, k - 1) for k in range(101, 140)] + [(100, None)]                 # 100 blocks all
+    ring = [(201, 202), (202, 203), (203, 201), (204, 201), (205, 204)]            # no end; two hang on it
+    other = [(301, 999), (302, 301), (303, 303), (304, 303), (None, 100), (400, None), (306, 305), (306, 100)]
+    got = {r.sid: (r.final, r.depth) for r in final_blockers(_waits(spark, chain + ring + other)).collect()}
+    want = {k: (100, k - 100) for k in range(101, 140)} | {k: (None, None) for k in (201, 202, 203, 204, 205, 303, 304)}
+    want |= {301: (999, 1), 302: (999, 2), 306: (100, 1)}
+    assert got == want
+    assert final_blockers(_waits(spark, [(1, None)])).count() == 0
+    assert final_blockers(_waits(spark, [(1, 2), (2, 1)])).filter("final IS NULL").count() == 2
+
+
+def test_final_blockers_take_few_rounds(spark):
+    from opsight.operators import sessions
+    rounds, plain = [], sessions.cut_lineage
+    sessions.cut_lineage = lambda df: rounds.append(1) or plain(df)
+    try:
+        got = sessions.final_blockers(_waits(spark, [(k, k - 1) for k in range(1, 300)])).agg(F.min("final"), F.max("final"), F.max("depth")).first()
+    finally:
+        sessions.cut_lineage = plain
+    assert got == (0, 0, 299) and len(rounds) <= 11                                # log2(299) joins, not 299
+
+
+def test_next_tablespace(spark):
+    from opsight.operators.lookups import next_tablespace
+    cols = "owner string, table_name string, partition_name string, tablespace_name string"
+    calendar = spark.createDataFrame([("A", "T", "P_20240105", "S5"), ("A", "T", "P_20240110", "S10"), ("A", "T", "P_20240110", "S09"),
+                                      ("A", "T", "P_20240100", "BAD"), ("A", "U", "P_x", "BAD"), ("B", "T", "P_20240107", "B7")], cols)
+    asked = spark.createDataFrame([("A", "T", "P_20240101"), ("A", "T", "P_20240105"), ("A", "T", "P_20240106_S1"), ("A", "T", "P_20240111"),
+                                   ("A", "U", "P_20240101"), ("C", "T", "P_20240101"), ("A", "T", "P_never"), ("A", "T", "P_20240105")],
+                                  "owner string, table_name string, partition_name string")
+    got = sorted((r.owner, r.table_name, r.partition_name, r.next_tablespace or "") for r in next_tablespace(asked, calendar).collect())
+    assert got == sorted([("A", "T", "P_20240101", "S5"), ("A", "T", "P_20240105", "S5"), ("A", "T", "P_20240105", "S5"), ("A", "T", "P_20240106_S1", "S09"),
+                          ("A", "T", "P_20240111", "S09"), ("A", "U", "P_20240101", ""), ("C", "T", "P_20240101", ""), ("A", "T", "P_never", "")])
+
+
+def test_intervals(spark):
+    from opsight.functions.expr import interval_between, interval_text, numtodsinterval
+    t0 = dt.datetime(2024, 1, 1, 12)
+    df = spark.createDataFrame([(t0, t0 + dt.timedelta(days=3, hours=1, seconds=2, microseconds=500), 90.5), (t0, t0 - dt.timedelta(seconds=61), -1.25), (t0, None, None)],
+                               "a timestamp_ntz, b timestamp_ntz, n double")
+    out = df.select(interval_between("a", "b").alias("iv"), numtodsinterval("n", "MINUTE").alias("nv"))
+    assert [f.dataType.simpleString() for f in out.schema] == ["interval day to second"] * 2
+    assert [r.iv for r in out.collect()] == [dt.timedelta(days=3, hours=1, seconds=2, microseconds=500), dt.timedelta(seconds=-61), None]
+    assert [r.nv for r in out.collect()] == [dt.timedelta(minutes=90.5), dt.timedelta(minutes=-1.25), None]
+    text = [tuple(r) for r in out.select(interval_text(F.col("iv")), interval_text(F.col("nv"))).collect()]
+    assert text == [("+000000003 01:00:02.000500", "+000000000 01:30:30.000000"), ("-000000000 00:01:01.000000", "-000000000 00:01:15.000000"), (None, None)]
+
+
+def test_lock_rows_of_a_hot_object(spark):
+    from opsight.operators.sessions import lock_modes
+    locked = spark.createDataFrame([(1, 10, 3, "U1")], "object_id long, session_id long, locked_mode int, oracle_username string")
+    objects = spark.createDataFrame([(1, "O", "T_1", "TABLE")], "object_id long, owner string, object_name string, object_type string")
+    locks = spark.createDataFrame([(k, 1, 5, 0, 0, 6, "TX") for k in range(40)] + [(99, 1, 5, 1, 0, 6, "TX")],
+                                  "sid long, id1 long, id2 long, block int, request int, lmode int, type string")
+    sessions = spark.createDataFrame([(10, "u")], "sid long, username string")
+    counted = lock_modes(locked, objects, locks, sessions, "T%").collect()
+    rows = lock_modes(locked, objects, locks, sessions, "T%", expand=True)
+    assert sorted(r.lock_count for r in counted) == [1, 40]
+    assert rows.count() == 41 and rows.columns == [c for c in counted[0].asDict() if c != "lock_count"]
