@@ -14,7 +14,10 @@ to differ, go at once; overlap counts of the others are accumulated, pairs
 below the bound that the sizes imply are discarded, and what remains is
 compared on the whole sets.
 
-Equal sets are one row (a class).  Within a column, a class is first paired
+Equal sets are one row (a class).  Columns that the sketch calls rare meet in
+packed arrays by range of their hash, which return those that two classes hold;
+frequent ones, few in the lists, are rows from the start, so that a column of
+very many classes is never gathered.  Within a column, a class is first paired
 with the smallest class of like size only, so a group of g near copies costs
 g pairs; then only classes still in different components are paired.  No link
 between different sets is lost, and no group is expanded into all its pairs.
@@ -22,10 +25,12 @@ between different sets is lost, and no group is expanded into all its pairs.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,8 +48,13 @@ DEVIATIONS, FREQUENT_LEAST = 5, 16
 MAP_BITS = 1024
 #: Rows that one copy of a set is compared with; a set with more pairs is sent once for each so many.
 PAIRS_A_COPY = 1000
-#: Ids up to this many are broadcast (8 bytes each); more are joined by shuffle.
+#: Ids (and places to send their sets to) up to this many are broadcast (some 24 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 500_000
+#: Entries packed at a time; entries of a hash range, about; bytes of a slice; classes that a task remembers.
+PACK, RANGE_ENTRIES, SLICE, CACHE = 1 << 20, 1 << 21, 1 << 20, 1 << 17
+
+_COLUMNS = "doc_id long, key long, n long, cls long, last long, soon long, rare int, hot array<long>, bits array<long>, range int, entries binary"
+_SCHEMA = pa.schema([(c.split()[0], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}.get(c.split()[1], pa.list_(pa.int64()))) for c in _COLUMNS.split(", ")])
 
 
 def _shingles(h: np.ndarray, width: int) -> np.ndarray:
@@ -60,7 +70,7 @@ def _class_key(s: np.ndarray) -> int:
 
 def _row_sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Rows of a batch with the sorted shingle set of each."""
-    for rows, data, off in slices(batch):
+    for rows, data, off in slices(batch, limit=SLICE):
         _, _, h, first = words(data, off, lower=True)
         yield rows, [np.unique(_shingles(h[first[d]: first[d + 1]], width)) for d in range(rows.num_rows)]
 
@@ -69,11 +79,11 @@ def _sketch(width: int):
     def run(batches):
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
-            for _, data, off in slices(batch):
+            for _, data, off in slices(batch, limit=SLICE):
                 _, _, h, first = words(data, off, lower=True)
                 g = window_hashes(h, width)      # those across documents are few, and only steer work
-                counts += np.bincount((g >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
-        parts = np.minimum(counts, 65535).astype(np.uint16).reshape(RANGES, -1)
+                np.add.at(counts, (g >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
+        parts = np.minimum(counts, 65535, out=counts).astype(np.uint16).reshape(RANGES, -1)
         yield pa.RecordBatch.from_pydict({"part": pa.array(np.arange(RANGES), pa.int32()),
                                           "counts": pa.array([p.tobytes() for p in parts], pa.binary())})
     return run
@@ -91,8 +101,8 @@ def _added(batches):
                                           "counts": pa.array([np.minimum(counts, 2**31).astype(np.uint32).tobytes()], pa.binary())})
 
 
-def frequent_columns(texts: DataFrame, width: int) -> bytes:
-    """A bitmap of 2**SKETCH_BITS bits: which counters are well above the mean."""
+def frequent_columns(texts: DataFrame, width: int) -> tuple[bytes, int]:
+    """A bitmap of 2**SKETCH_BITS bits - which counters are well above the mean - and the number of shingles counted."""
     parts = (texts.select("text").mapInArrow(_sketch(width), "part int, counts binary")
              .repartition(RANGES, "part").mapInArrow(_added, "part int, counts binary").collect())
     counts = np.zeros((RANGES, (1 << SKETCH_BITS) // RANGES), np.uint32)
@@ -100,61 +110,142 @@ def frequent_columns(texts: DataFrame, width: int) -> bytes:
         counts[row.part] += np.frombuffer(row.counts, np.uint32)
     counts = counts.reshape(-1)
     mean = counts.mean()
-    return np.packbits(counts > max(FREQUENT_LEAST, mean + DEVIATIONS * np.sqrt(mean))).tobytes()
-
-
-def _rows(width: int, similarity: int, bitmap: bytes):
-    """Per document: class, set size and the shingles that can decide a link."""
+    return np.packbits(counts > max(FREQUENT_LEAST, mean + DEVIATIONS * np.sqrt(mean))).tobytes(), int(counts.sum(dtype=np.int64))
+
+
+def _planes(*arrays: np.ndarray) -> bytes:
+    """Arrays as one zstd frame, byte by byte of their numbers."""
+    head = struct.pack("<B", len(arrays)) + b"".join(struct.pack("<cI", a.dtype.char.encode(), len(a)) for a in arrays)
+    body = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
+    return zstandard.ZstdCompressor(level=1).compress(head + body)
+
+
+def _arrays(blob) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    out, at = [], 1 + 5 * raw[0]
+    for k in range(raw[0]):
+        kind, n = struct.unpack_from("<cI", raw, 1 + 5 * k)
+        t = np.dtype(kind.decode())
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * t.itemsize, at).reshape(t.itemsize, n).T).reshape(-1).view(t))
+        at += n * t.itemsize
+    return out
+
+
+def _steps(sorted_: np.ndarray) -> np.ndarray:
+    return np.diff(sorted_, prepend=np.uint64(0))
+
+
+def _packed(lists: list[tuple[int, int, int, np.ndarray]], ranges: int) -> pa.RecordBatch:
+    """Rare entries of some classes (cls, n, how many are short, shingles), sorted, a row for each hash range."""
+    size = np.array([len(p) for *_, p in lists], np.int64)
+    gram = np.concatenate([p for *_, p in lists])
+    of = np.repeat(np.arange(len(lists)), size)
+    short = np.arange(len(gram)) - np.repeat(np.cumsum(size) - size, size) < np.repeat([k for _, _, k, _ in lists], size)
+    order = np.argsort(gram)
+    gram, of, short = gram[order], of[order], short[order]
+    part = (gram >> np.uint64(64 - (ranges - 1).bit_length())).astype(np.int64) if ranges > 1 else np.zeros(len(gram), np.int64)
+    edge = np.searchsorted(part, np.arange(ranges + 1))
+    cls, n = np.array([c for c, *_ in lists], np.int64), np.array([k for _, k, *_ in lists], np.int64)
+    rows = []
+    for r in np.flatnonzero(np.diff(edge)).tolist():
+        own = slice(edge[r], edge[r + 1])
+        held, at = np.unique(of[own], return_inverse=True)         # only classes with an entry here are sent along
+        rows.append({"range": r, "entries": _planes(_steps(gram[own]), at.astype(np.uint32), short[own], cls[held], n[held])})
+    return pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
+
+
+def _rows(width: int, similarity: int, bitmap: bytes, ranges: int):
+    """Per document: class, set size and its frequent deciding shingles; and packed rows of the rare ones that can decide a link."""
     def run(batches):
-        often = np.unpackbits(np.frombuffer(bitmap, np.uint8)).astype(bool)
-        seen: set = set()                        # of this task: a class is emitted once
+        often = np.unpackbits(np.frombuffer(bitmap, np.uint8)).view(bool)
+        seen = np.zeros(CACHE, np.int64)         # classes met last: most copies are passed over here, the rest later
+        lists: list[tuple[int, int, int, np.ndarray]] = []
+        held = 0
         for batch in batches:
             for rows, sets in _row_sets(batch, width):
-                size, cls, last, soon, pre, bits = [], [], [], [], [], []
+                out: dict[str, list] = {c: [] for c in ("n", "cls", "last", "soon", "rare", "hot", "bits")}
                 for s in sets:
                     n = len(s)
-                    size.append(n), bits.append(None), soon.append(None)
-                    if not n:
-                        cls.append(None), last.append(None), pre.append(None)
+                    key = _class_key(s) if n else None
+                    new = n and seen[key % CACHE] != key
+                    out["n"].append(n), out["cls"].append(key)
+                    if not new:
+                        for c in ("last", "soon", "rare", "hot", "bits"):
+                            out[c].append(None)
                         continue
-                    key = _class_key(s)
-                    cls.append(key)
-                    if key in seen:
-                        last.append(None), pre.append(None)
-                        continue
-                    if len(seen) < 1_000_000:
-                        seen.add(key)
+                    seen[key % CACHE] = key
                     need = n - -(-similarity * n // 100) + 1
                     hot = often[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                     p = s[~hot][:need]
-                    late = 0
-                    if len(p) < need:
-                        tail = s[hot][: need - len(p)]
-                        p, late = np.concatenate([p, tail]), 1
-                    # order of the last entry: frequent flag, then the hash (63 bits of it suffice for a bound)
+                    tail = s[hot][: need - len(p)]
                     # Place of the last entry, and of the last of those that a smaller row is looked up by:
                     # frequent flag, then the hash (62 bits of it suffice for a bound).
-                    rare = need if not late else need - len(tail)
                     few = n - -(-2 * similarity * n // (100 + similarity)) + 1
-                    soon[-1] = int(p[few - 1] >> np.uint64(2)) | (int(few > rare) << 62)
-                    last.append((int(p[-1] >> np.uint64(2)) | (late << 62)))
-                    pre.append(p.view(np.int64))
+                    place = lambda k: (int(p[k] >> np.uint64(2)) if k < len(p) else int(tail[k - len(p)] >> np.uint64(2)) | (1 << 62))
+                    out["last"].append(place(need - 1)), out["soon"].append(place(few - 1))
+                    out["rare"].append(len(p)), out["hot"].append(tail.view(np.int64))
                     parity = np.bincount((s & np.uint64(MAP_BITS - 1)).astype(np.int64), minlength=MAP_BITS) & 1
-                    bits[-1] = np.packbits(parity.astype(np.uint8)).view(np.int64)
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": rows.column("doc_id"), "key": rows.column("key"), "n": pa.array(size, pa.int64()), "cls": pa.array(cls, pa.int64()),
-                    "last": pa.array(last, pa.int64()), "soon": pa.array(soon, pa.int64()), "pre": pa.array(pre, pa.list_(pa.int64())),
-                    "bits": pa.array(bits, pa.list_(pa.int64()))})
+                    out["bits"].append(np.packbits(parity.astype(np.uint8)).view(np.int64))
+                    lists.append((key, n, few, p.copy()))
+                    held += len(p)
+                none = pa.nulls(rows.num_rows, pa.int32()), pa.nulls(rows.num_rows, pa.binary())
+                kind = {f.name: f.type for f in _SCHEMA}
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), rows.column("key").cast(pa.int64()),
+                                                  *[pa.array(x, kind[c]) for c, x in out.items()], *none], schema=_SCHEMA)
+                if held >= PACK:
+                    yield _packed(lists, ranges)
+                    lists, held = [], 0
+        if held:
+            yield _packed(lists, ranges)
     return run
 
 
-def _sets(width: int):
+_ENTRIES = pa.schema([("gram", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("short", pa.bool_())])
+
+
+def _shared(batches):
+    """Entries of a range whose shingle two classes hold, each once."""
+    def out(parts):
+        gram, cls, n, short = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((cls, gram))
+        gram, cls, n, short = gram[order], cls[order], n[order], short[order]
+        new = np.append(True, (gram[1:] != gram[:-1]) | (cls[1:] != cls[:-1]))
+        gram, cls, n, short = gram[new], cls[new], n[new], short[new]
+        same = np.append(False, gram[1:] == gram[:-1])
+        kept = same | np.append(same[1:], False)
+        for a in range(0, int(kept.sum()), 1 << 18):
+            at = np.flatnonzero(kept)[a: a + (1 << 18)]
+            yield pa.RecordBatch.from_arrays([pa.array(gram[at].view(np.int64)), pa.array(cls[at]), pa.array(n[at]), pa.array(short[at])], schema=_ENTRIES)
+
+    now, parts = None, []
+    for batch in batches:
+        for r, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if r != now and parts:
+                yield from out(parts)
+                parts = []
+            now = r
+            steps, at, short, cls, n = _arrays(blob.as_buffer())
+            parts.append((np.cumsum(steps, dtype=np.uint64), cls[at], n[at], short))
+    if parts:
+        yield from out(parts)
+
+
+def _sent_sets(width: int):
+    """The set of each wanted class to every place that compares it."""
     def run(batches):
         for batch in batches:
             for rows, sets in _row_sets(batch, width):
-                yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id"),
-                                                  "cls": pa.array([_class_key(s) for s in sets], pa.int64()),
-                                                  "grams": pa.array([s.tobytes() for s in sets], pa.binary())})
+                out: dict[str, list] = {c: [] for c in ("a", "part", "b", "grams")}
+                for s, cls, to in zip(sets, rows.column("cls").to_pylist(), rows.column("to").to_pylist()):
+                    if not len(s) or _class_key(s) != cls:       # a doc_id may stand on rows of several classes
+                        continue
+                    grams = _planes(_steps(s))
+                    for place in to:
+                        for c in ("a", "part", "b"):
+                            out[c].append(place[c])
+                        out["grams"].append(grams)
+                yield pa.RecordBatch.from_arrays([*[pa.array(out[c], pa.int64()) for c in ("a", "part", "b")], pa.array(out["grams"], pa.binary())],
+                                                 names=["a", "part", "b", "grams"])
     return run
 
 
@@ -165,7 +256,7 @@ def _compared(similarity: int):
         for batch in batches:
             out: tuple[list, list] = ([], [])
             for a, part, b, grams in zip(*[batch.column(c) for c in ("a", "part", "b", "grams")]):
-                x = np.frombuffer(grams.as_buffer(), np.uint64)
+                x = np.cumsum(_arrays(grams.as_buffer())[0], dtype=np.uint64)
                 if not b.is_valid:
                     own, mine = (a, part), x
                     continue
@@ -183,11 +274,15 @@ def _needed(n: str, m: str, similarity: int) -> str:
     return f"(({similarity} * ({n} + {m}) + {99 + similarity}) div {100 + similarity})"
 
 
-def _may_link(similarity: int) -> str:
-    """Whether sizes and parity maps of rows a (smaller) and b allow a link."""
+def _like_sizes(similarity: int) -> str:
+    """Whether rows a (smaller) and b may link by their sizes."""
+    return f"(n_a < n_b OR (n_a = n_b AND a < b)) AND 100 * n_a >= {similarity} * n_b"
+
+
+def _like_maps(similarity: int) -> str:
+    """Whether the parity maps of a and b allow a link."""
     differ = " + ".join(f"bit_count(bits_a[{k}] ^ bits_b[{k}])" for k in range(MAP_BITS // 64))
-    return (f"(n_a < n_b OR (n_a = n_b AND a < b)) AND 100 * n_a >= {similarity} * n_b "
-            f"AND {differ} <= n_a + n_b - 2 * {_needed('n_a', 'n_b', similarity)}")
+    return f"{differ} <= n_a + n_b - 2 * {_needed('n_a', 'n_b', similarity)}"
 
 
 def _enough(similarity: int) -> str:
@@ -205,89 +300,95 @@ def _enough(similarity: int) -> str:
 def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int, similarity: int) -> DataFrame:
     """Of pairs (a, b): those that pass the comparison of their whole sets."""
     left = save(pairs, "pairs")
-    ids = save(left.select(F.col("a").alias("cls")).union(left.select("b")).distinct().join(reps, "cls")
-               .select("cls", F.col("rep").alias("doc_id"), "key"), "ids")
-    n, n_named = ids.agg(F.count("*"), F.count("doc_id")).first()
-    few = n <= BROADCAST_IDS
-    sent = lambda df: F.broadcast(df) if few else df
-    named, lone = ids.filter("doc_id IS NOT NULL").select("cls", "doc_id"), ids.filter("doc_id IS NULL").select("cls", "key")
-    of = texts.join(sent(named.select("doc_id")), "doc_id", "left_semi")
-    # A doc_id may stand on rows of several classes: the class is made again and must agree.
-    # Rows that repeat bring the same set twice, which only finds the same links again.
-    made = (of.mapInArrow(_sets(width), "doc_id long, cls long, grams binary")
-            .join(sent(named), ["doc_id", "cls"]).select("cls", "grams"))
-    if n > n_named:                              # classes that only rows without an id hold: one row each, by its text's hash
-        of = texts.filter("doc_id IS NULL").join(sent(lone.select("key")), "key", "left_semi").dropDuplicates(["key"])
-        made = made.unionByName(of.mapInArrow(_sets(width), "doc_id long, cls long, grams binary")
-                                .join(sent(lone.select("cls")), "cls").select("cls", "grams"))
-    sets = save(made, "sets")
     # Each pair brings the set of b to where the set of a is; a's set goes there once
-    # for every PAIRS_A_COPY pairs, and is held while they pass.
+    # for every PAIRS_A_COPY pairs, and is held while they pass.  A class is wanted in
+    # no more places than its set has columns.
     copies = left.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_A_COPY).alias("copies"))
     dealt = left.join(copies, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("copies")))
-    others = dealt.join(sets.withColumnRenamed("cls", "b"), "b").select("a", "part", "b", "grams")
-    owns = (copies.join(sets.withColumnRenamed("cls", "a"), "a")
-            .select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "grams"))
-    links = save(owns.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    owns = copies.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("part"), F.lit(None).cast("long").alias("b"))
+    places = (dealt.select(F.col("b").alias("cls"), "a", "part", "b").unionByName(owns.select(F.col("a").alias("cls"), "a", "part", "b"))
+              .groupBy("cls").agg(F.collect_list(F.struct("a", "part", "b")).alias("to")))
+    wanted = save(places.join(reps, "cls").select("cls", F.col("rep").alias("doc_id"), "key", "to"), "wanted")
+    n, n_named, n_places = wanted.agg(F.count("*"), F.count("doc_id"), F.coalesce(F.sum(F.size("to")), F.lit(0))).first()
+    few = n + n_places <= BROADCAST_IDS
+    sent = lambda df: F.broadcast(df) if few else df
+    # Rows that repeat bring the same set twice, which only finds the same links again.
+    of = texts.select("doc_id", "text").join(sent(wanted.filter("doc_id IS NOT NULL").drop("key")), "doc_id").select("text", "cls", "to")
+    if n > n_named:                              # classes that only rows without an id hold: one row each, by its text's hash
+        lone = texts.filter("doc_id IS NULL").select("key", "text").join(sent(wanted.filter("doc_id IS NULL").drop("doc_id")), "key").dropDuplicates(["key", "cls"])
+        of = of.unionByName(lone.select("text", "cls", "to"))
+    links = save(of.mapInArrow(_sent_sets(width), "a long, part long, b long, grams binary")
+                 .repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
                  .mapInArrow(_compared(similarity), "a long, b long"), "links")
-    drop(left, ids, sets)
+    drop(left, wanted)
     return links
 
 
-def jaccard_classes(docs: DataFrame, similarity: int = SIMILARITY, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """(documents, links) of ``docs`` (doc_id, text).
-
-    documents: doc_id, n_shingles, cls (equal for equal shingle sets, null
-    without words), component_id (smallest doc_id reachable by links).
-    links: pairs of classes (a, b) that were found to be similar enough to
-    connect the components.  Null text is empty; a document without words links
-    with nothing; repeated rows and repeated ids are each returned; a null
-    doc_id takes part and never names a component that has another id.
-    """
-    texts = (columns(docs, doc_id="long", text="string")
-             .withColumn("key", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))))
-    bitmap = frequent_columns(texts, width)
-    rows = save(texts.mapInArrow(_rows(width, similarity, bitmap), "doc_id long, key long, n long, cls long, "
-                                 "last long, soon long, pre array<long>, bits array<long>"), "rows")
+def _jaccard(docs: DataFrame, similarity: int, width: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(rows with doc_id, key, n, cls, component, component_id; tables of links)."""
+    texts = columns(docs, doc_id="long", text="string").withColumn("key", F.xxhash64("text"))
+    bitmap, total = frequent_columns(texts, width)
+    ranges = 16
+    while ranges * RANGE_ENTRIES < (100 - similarity) * total // 100:
+        ranges *= 2
+    rows = save(texts.mapInArrow(_rows(width, similarity, bitmap, ranges), _COLUMNS), "rows")
+    own = rows.filter("range IS NULL")
     # One row for each class: its smallest id that holds that class's text, or a hash of such a text if no row has an id.
-    reps = save(rows.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key")), "reps")
-    entries = save(rows.filter("pre IS NOT NULL").select("cls", "n", F.posexplode("pre").alias("at", "gram"))
-                   .withColumn("least", F.expr("min(cls) OVER (PARTITION BY gram)"))
-                   .withColumn("most", F.expr("max(cls) OVER (PARTITION BY gram)"))
-                   .filter("least <> most").select("gram", "cls", "n", F.expr(f"at <= n - {_needed('n', 'n', similarity)}").alias("short"))
-                   .distinct().withColumn("band", F.floor(F.log("n") / float(np.log(100 / similarity))).cast("int")), "entries")
-    facts = save(rows.filter("pre IS NOT NULL").select("cls", "last", "soon", "bits").dropDuplicates(["cls"]), "facts")
-    slim = save(rows.select("doc_id", "n", "cls"), "slim")
+    reps = save(own.filter("cls IS NOT NULL").groupBy("cls").agg(
+        F.min("doc_id").alias("rep"), F.min(F.when(F.col("doc_id").isNull(), F.col("key"))).alias("key")), "reps")
+    rare = (rows.filter("range IS NOT NULL").select("range", "entries").repartition(ranges, "range").sortWithinPartitions("range")
+            .mapInArrow(_shared, "gram long, cls long, n long, short boolean"))
+    hot = (own.filter("size(hot) > 0").select("cls", "n", "rare", F.posexplode("hot").alias("at", "gram"))
+           .select("gram", "cls", "n", F.expr(f"at + rare <= n - {_needed('n', 'n', similarity)}").alias("short")).distinct())
+    entries = save(rare.unionByName(hot).withColumn("band", F.floor(F.log("n") / float(np.log(100 / similarity))).cast("int")), "entries")
+    facts = save(own.filter("soon IS NOT NULL").select("cls", "last", "soon", "bits").dropDuplicates(["cls"]), "facts")
+    slim = save(own.select("doc_id", "key", "n", "cls"), "slim")
     drop(rows)
+    bits = lambda x: facts.select(F.col("cls").alias(x), F.col("bits").alias(f"bits_{x}"))
+    mapped = lambda pairs: pairs.join(bits("a"), "a").join(bits("b"), "b").filter(_like_maps(similarity)).select("a", "b")
     # Round 1: the smallest set of each column and size band, with the others of the band.
     middle = save(entries.filter("short").groupBy("gram", "band").agg(F.min(F.struct("n", "cls")).alias("m"))
                   .select("gram", "band", F.col("m.cls").alias("a"), F.col("m.n").alias("n_a")), "middle")
     stars = (entries.select("gram", "band", F.col("cls").alias("b"), F.col("n").alias("n_b")).join(middle, ["gram", "band"])
-             .filter("a <> b").select("a", "n_a", "b", "n_b").distinct())
-    bits = lambda x: facts.select(F.col("cls").alias(x), F.col("bits").alias(f"bits_{x}"))
-    stars = stars.join(bits("a"), "a").join(bits("b"), "b").filter(_may_link(similarity)).select("a", "b")
-    first = _verified(stars, reps, texts, width, similarity)
+             .filter(f"a <> b AND {_like_sizes(similarity)}").select("a", "n_a", "b", "n_b").distinct())
+    first = _verified(mapped(stars), reps, texts, width, similarity)
     joined = save(components(first), "joined")
     # Round 2: columns whose classes are still apart; overlap counts are accumulated over all of them.
-    part = (entries.join(joined.select(F.col("node").alias("cls"), "component"), "cls", "left")
-            .withColumn("component", F.coalesce("component", "cls"))
-            .withColumn("least", F.expr("min(component) OVER (PARTITION BY gram)"))
-            .withColumn("most", F.expr("max(component) OVER (PARTITION BY gram)"))
-            .withColumn("found", F.expr("max(short) OVER (PARTITION BY gram)")).filter("least <> most AND found"))
-    part = save(part.select("gram", "cls", "n", "short", "component").join(facts, "cls"), "part")
-    side = lambda df, x, *more: df.select("gram", F.col("cls").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "bits", *more)])
-    apart = (side(part.filter("short"), "a", "component", "soon").join(side(part, "b", "component", "last"), "gram")
-             .filter(f"component_a <> component_b AND {_may_link(similarity)}")
-             .groupBy("a", "b", "n_a", "n_b", "soon_a", "last_b").agg(F.count("*").alias("common"))
-             .filter(_enough(similarity)).select("a", "b"))
-    second = _verified(apart, reps, texts, width, similarity)
-    drop(entries, part, facts, middle)
+    placed = save(entries.select("gram", "cls", "n", "short").join(joined.select(F.col("node").alias("cls"), "component"), "cls", "left")
+                  .withColumn("component", F.coalesce("component", "cls")), "placed")
+    apart = (placed.groupBy("gram").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.max("short").alias("found"))
+             .filter("least <> most AND found").select("gram"))
+    part = save(placed.join(apart, "gram", "left_semi").join(facts.select("cls", "last", "soon"), "cls"), "part")
+    drop(entries, middle, placed)
+    side = lambda df, x, *more: df.select("gram", F.col("cls").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "component", *more)])
+    met = (side(part.filter("short"), "a", "soon").join(side(part, "b", "last"), "gram")
+           .filter(f"component_a <> component_b AND {_like_sizes(similarity)}")
+           .groupBy("a", "b", "n_a", "n_b", "soon_a", "last_b").agg(F.count("*").alias("common"))
+           .filter(_enough(similarity)).select("a", "n_a", "b", "n_b"))
+    second = _verified(mapped(met), reps, texts, width, similarity)
+    drop(part, facts)
     names = save(components(second.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))), "names")
     least = (reps.join(names.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls")))
-    least = save(least.join(least.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("cls", "component_id"), "least")
-    full = slim.filter("cls IS NOT NULL").join(least, "cls", "left").select("doc_id", "n", "cls", "component_id")
-    none = slim.filter("cls IS NULL").select("doc_id", "n", "cls", F.col("doc_id").alias("component_id"))
-    return full.unionByName(none).withColumnRenamed("n", "n_shingles"), first.unionByName(second)
+    least = save(least.join(least.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("cls", "component", "component_id"), "least")
+    drop(joined, names, reps)
+    full = slim.filter("cls IS NOT NULL").join(least, "cls", "left").select("doc_id", "key", "n", "cls", "component", "component_id")
+    none = slim.filter("cls IS NULL").select("doc_id", "key", "n", "cls", F.col("cls").alias("component"), F.col("doc_id").alias("component_id"))
+    return full.unionByName(none), [first, second]
+
+
+def jaccard_classes(docs: DataFrame, similarity: int = SIMILARITY, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+    """(documents, links) of ``docs`` (doc_id, text).
+
+    documents: doc_id, n_shingles, cls (equal for equal shingle sets, null
+    without words), component_id (smallest doc_id reachable by links).
+    links: pairs of classes (a, b) that were found to be similar enough to
+    connect the components.  Null text is empty; a document without words links
+    with nothing; repeated rows and repeated ids are each returned; a null
+    doc_id takes part and never names a component that has another id.  An
+    empty table gives empty results; a very long text is a slice of its own.
+    """
+    found, links = _jaccard(docs, similarity, width)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "cls", "component_id"), links[0].unionByName(links[1])
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,16 +398,24 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the row whose id names it.
+    """One document of each component: the row of its smallest id, and of its rows the first by the hash of their text.
 
-    Documents without words, or without an id, are no copies of anything and stay;
-    of rows that repeat the naming id one stays.
+    Documents without words, or without an id, are no copies of anything and stay.
+    Rows are told apart by id and text: unrelated texts under one id belong to
+    components of their own, and each stays; of rows that repeat one stays.
     """
-    found, _ = jaccard_classes(docs)
-    gone = save(found.filter("doc_id <> component_id").select("doc_id", "n_shingles", "cls"), "gone")
-    ids = gone.select("doc_id").distinct()
-    few = ids.count() <= BROADCAST_IDS
-    left = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti")
-    twice = save(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("times")).filter("times > 1").select("doc_id"), "twice")
-    again = docs.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(again.select(*docs.columns))
+    found, _ = _jaccard(docs, SIMILARITY, WIDTH)
+    named = found.filter("doc_id IS NOT NULL AND cls IS NOT NULL").select("component", "doc_id", "key")
+    rows = save(named.groupBy("component", "doc_id", "key").agg(F.count("*").alias("times")), "held")
+    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("f"))
+    rows = rows.join(first, "component").withColumn("stays", F.col("f") == F.struct("doc_id", "key"))
+    marks = save(rows.filter("NOT stays OR times > 1").select("doc_id", F.col("key").alias("key__"), "stays"), "marks")
+    n_gone, n = marks.agg(F.count(F.when(~F.col("stays"), 1)), F.count("*")).first()
+    few = n <= BROADCAST_IDS
+    own = docs.withColumn("key__", F.xxhash64("text"))
+    marked = own.join(F.broadcast(marks) if few else marks, ["doc_id", "key__"], "left")
+    left = marked.filter("stays IS NULL").select(*docs.columns)
+    if n == n_gone:
+        return left
+    again = own.join(marks.filter("stays").drop("stays"), ["doc_id", "key__"], "left_semi").dropDuplicates(["doc_id", "key__"])
+    return left.unionByName(again.select(*docs.columns))

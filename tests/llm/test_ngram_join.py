@@ -75,3 +75,42 @@ def test_near_copies_without_an_id(spark):
     got = jaccard_classes(spark.createDataFrame(copies, "doc_id long, text string"))[0].collect()
     assert sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in got) == [
         (-1, 25, -1), (-1, 26, -1), (-1, 54, 5), (-1, 54, 5), (-1, 56, 3), (3, 54, 3), (5, 56, 5)]
+
+
+def test_one_row_of_each_component_stays(spark):
+    """Unrelated texts that share an id stay; copies go by text, also where another row of the id is no copy."""
+    from llm.ngram_join import jaccard_stage
+    base = " ".join(f"w{k}" for k in range(40))
+    other, third, near = ("u " + base[::-1], "quite another text of eight words it is", base + " w40")
+    rows = [(1, base, "a"), (2, base, "b"), (2, other, "c"), (5, third, "d"), (5, "and one that has nothing to do with it", "e"), (3, near, "f"),
+            (1, base, "g"), (4, base.upper(), "h"), (None, base, "i"), (7, None, "j"), (7, "", "k"), (8, third, "l"), (8, third, "m"), (2, other, "n")]
+    docs = spark.createDataFrame([(i, t, s, 3) for i, t, s in rows], "doc_id long, text string, source string, cls int")
+    got = jaccard_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = sorted(((r.doc_id or 0), r.text or "") for r in got.collect())
+    assert kept == sorted([(1, base), (2, other), (5, third), (5, "and one that has nothing to do with it"), (0, base), (7, ""), (7, "")])
+    assert jaccard_stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_frequent_columns_and_many_ranges(spark, monkeypatch):
+    """Texts made of frequent shingles alone; entries dealt over many hash ranges, packed a few at a time."""
+    import llm.ngram_join as j
+    monkeypatch.setattr(j, "FREQUENT_LEAST", 3)
+    monkeypatch.setattr(j, "RANGE_ENTRIES", 8)
+    monkeypatch.setattr(j, "PACK", 50)
+    monkeypatch.setattr(j, "CACHE", 4)
+    monkeypatch.setattr(j, "PAIRS_A_COPY", 3)
+    common = [f"c{k}" for k in range(30)]
+    rows = [(k, " ".join(common[k % 3:] + common[: k % 4])) for k in range(60)]
+    rows += [(100 + k, " ".join([f"r{k}"] * (k % 3) + common + [f"s{k}_{i}" for i in range(k % 9)])) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert found(jaccard_classes(df)[0]) == brute(rows)
+    monkeypatch.setattr(j, "BROADCAST_IDS", 0)
+    assert found(jaccard_classes(df)[0]) == brute(rows)
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{k}" for k in range(300_000))
+    rows = [(1, long), (2, long + " and more"), (3, " ".join(f"w{k}" for k in range(0, 300_000, 2))), (4, "x " * 200_000)]
+    got = found(jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"))[0])
+    assert got == {1: (299_996, 1), 2: (299_998, 1), 3: (149_996, 3), 4: (1, 4)}
