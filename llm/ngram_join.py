@@ -44,14 +44,14 @@ SIMILARITY, WIDTH = 80, 5
 SKETCH_BITS, RANGES = 22, 32
 #: A column is frequent if its counter is above the mean by so many standard deviations of chance, and this count.
 DEVIATIONS, FREQUENT_LEAST = 5, 16
-#: Bits of a set's parity map.
-MAP_BITS = 1024
+#: Bits of a set's parity map, and of its folded form, which goes with every entry of the second round.
+MAP_BITS, FOLDED_BITS = 1024, 256
 #: Rows that one copy of a set is compared with; a set with more pairs is sent once for each so many.
 PAIRS_A_COPY = 1000
 #: Ids (and places to send their sets to) up to this many are broadcast (some 24 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 500_000
-#: Entries packed at a time; entries of a hash range, about; bytes of a slice; classes that a task remembers.
-PACK, RANGE_ENTRIES, SLICE, CACHE = 1 << 20, 1 << 21, 1 << 20, 1 << 17
+#: Entries packed at a time; entries of a hash range, about; those of it sorted at a time; bytes of a slice; classes that a task remembers.
+PACK, RANGE_ENTRIES, SORTED, SLICE, CACHE = 1 << 19, 1 << 20, 1 << 18, 1 << 20, 1 << 17
 
 _COLUMNS = "doc_id long, key long, n long, cls long, last long, soon long, rare int, hot array<long>, bits array<long>, range int, entries binary"
 _SCHEMA = pa.schema([(c.split()[0], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}.get(c.split()[1], pa.list_(pa.int64()))) for c in _COLUMNS.split(", ")])
@@ -204,30 +204,39 @@ _ENTRIES = pa.schema([("gram", pa.int64()), ("cls", pa.int64()), ("n", pa.int64(
 
 
 def _shared(batches):
-    """Entries of a range whose shingle two classes hold, each once."""
-    def out(parts):
-        gram, cls, n, short = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((cls, gram))
-        gram, cls, n, short = gram[order], cls[order], n[order], short[order]
-        new = np.append(True, (gram[1:] != gram[:-1]) | (cls[1:] != cls[:-1]))
-        gram, cls, n, short = gram[new], cls[new], n[new], short[new]
-        same = np.append(False, gram[1:] == gram[:-1])
-        kept = same | np.append(same[1:], False)
-        for a in range(0, int(kept.sum()), 1 << 18):
-            at = np.flatnonzero(kept)[a: a + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(gram[at].view(np.int64)), pa.array(cls[at]), pa.array(n[at]), pa.array(short[at])], schema=_ENTRIES)
-
-    now, parts = None, []
+    """Entries of a range whose shingle two classes hold, each once; a range is decided in parts of some SORTED entries."""
+    def out(held):
+        total = sum(len(x[0]) for x in held)
+        low, high = min(int(x[0][0]) for x in held), max(int(x[0][-1]) for x in held)
+        steps = -(-total // SORTED)
+        edges = [low + (high - low) * k // steps for k in range(1, steps)] + [high]
+        begin = [0] * len(held)
+        for edge in edges:
+            end = [int(np.searchsorted(x[0], np.uint64(edge), side="right")) for x in held]
+            gram = np.concatenate([x[0][i:j] for x, i, j in zip(held, begin, end)])
+            cls = np.concatenate([x[3][x[1][i:j]] for x, i, j in zip(held, begin, end)])
+            order = np.lexsort((cls, gram))
+            gram, cls = gram[order], cls[order]
+            new = np.append(True, (gram[1:] != gram[:-1]) | (cls[1:] != cls[:-1]))[: len(gram)]
+            order, gram, cls = order[new], gram[new], cls[new]
+            same = np.append(False, gram[1:] == gram[:-1])[: len(gram)]
+            kept = np.flatnonzero(same | np.append(same[1:], False)[: len(gram)])
+            n = np.concatenate([x[4][x[1][i:j]] for x, i, j in zip(held, begin, end)])[order[kept]]
+            short = np.concatenate([x[2][i:j] for x, i, j in zip(held, begin, end)])[order[kept]]
+            begin = end
+            yield pa.RecordBatch.from_arrays([pa.array(gram[kept].view(np.int64)), pa.array(cls[kept]), pa.array(n), pa.array(short)], schema=_ENTRIES)
+
+    now, held = None, []
     for batch in batches:
         for r, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-            if r != now and parts:
-                yield from out(parts)
-                parts = []
+            if r != now and held:
+                yield from out(held)
+                held = []
             now = r
             steps, at, short, cls, n = _arrays(blob.as_buffer())
-            parts.append((np.cumsum(steps, dtype=np.uint64), cls[at], n[at], short))
-    if parts:
-        yield from out(parts)
+            held.append((np.cumsum(steps, dtype=np.uint64), at, short, cls, n))
+    if held:
+        yield from out(held)
 
 
 def _sent_sets(width: int):
@@ -279,9 +288,10 @@ def _like_sizes(similarity: int) -> str:
     return f"(n_a < n_b OR (n_a = n_b AND a < b)) AND 100 * n_a >= {similarity} * n_b"
 
 
-def _like_maps(similarity: int) -> str:
-    """Whether the parity maps of a and b allow a link."""
-    differ = " + ".join(f"bit_count(bits_a[{k}] ^ bits_b[{k}])" for k in range(MAP_BITS // 64))
+def _like_maps(similarity: int, bits: int = MAP_BITS, name: str = "bits_{side}[{k}]") -> str:
+    """Whether the parity maps of a and b, of so many bits, allow a link."""
+    word = lambda side, k: name.format(side=side, k=k)
+    differ = " + ".join(f"bit_count({word('a', k)} ^ {word('b', k)})" for k in range(bits // 64))
     return f"{differ} <= n_a + n_b - 2 * {_needed('n_a', 'n_b', similarity)}"
 
 
@@ -358,11 +368,14 @@ def _jaccard(docs: DataFrame, similarity: int, width: int) -> tuple[DataFrame, l
                   .withColumn("component", F.coalesce("component", "cls")), "placed")
     apart = (placed.groupBy("gram").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.max("short").alias("found"))
              .filter("least <> most AND found").select("gram"))
-    part = save(placed.join(apart, "gram", "left_semi").join(facts.select("cls", "last", "soon"), "cls"), "part")
+    # A parity map folded onto itself is the parity map of fewer bits.
+    folds = [f"fold{k}" for k in range(FOLDED_BITS // 64)]
+    folded = [F.expr(" ^ ".join(f"bits[{j}]" for j in range(k, MAP_BITS // 64, len(folds)))).alias(c) for k, c in enumerate(folds)]
+    part = save(placed.join(apart, "gram", "left_semi").join(facts.select("cls", "last", "soon", *folded), "cls"), "part")
     drop(entries, middle, placed)
     side = lambda df, x, *more: df.select("gram", F.col("cls").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "component", *more)])
-    met = (side(part.filter("short"), "a", "soon").join(side(part, "b", "last"), "gram")
-           .filter(f"component_a <> component_b AND {_like_sizes(similarity)}")
+    met = (side(part.filter("short"), "a", "soon", *folds).join(side(part, "b", "last", *folds), "gram")
+           .filter(f"component_a <> component_b AND {_like_sizes(similarity)} AND {_like_maps(similarity, FOLDED_BITS, 'fold{k}_{side}')}")
            .groupBy("a", "b", "n_a", "n_b", "soon_a", "last_b").agg(F.count("*").alias("common"))
            .filter(_enough(similarity)).select("a", "n_a", "b", "n_b"))
     second = _verified(mapped(met), reps, texts, width, similarity)

@@ -1,22 +1,26 @@
 """Information-theoretic sanitisation of personal data.
 
 Protected entities are found by form: e-mail and IP addresses, card numbers
-that pass Luhn, phone numbers.  Which other words give an entity away is
-estimated from the whole corpus: a word t that stands near entity e discloses
+that pass Luhn, phone numbers; and, beside these base kinds, secrets: long runs
+of letters and digits whose characters carry as many bits as chance would give
+them.  Which other words give an entity away is estimated from the whole
+corpus: a word t that stands near entity e discloses
 
     P(e | t) = documents with t near e / documents with t
 
-and log2(P(e | t) / P(e)) bits about it.  Words that stand near one entity in
-enough different texts and whose disclosure exceeds the thresholds are
-generalised, or removed where they all but name the entity, wherever they
-occur.  The corpus statistics are sums over all documents; word lists are
-looked up in blocks of bounded size.
+and log2(P(e | t) / P(e)) bits about it.  Any word may: names, account names,
+numbers.  Words that stand near one entity in enough different texts and whose
+disclosure exceeds the thresholds are generalised, or removed where they all
+but name the entity, wherever they occur.  The corpus statistics are sums over
+all documents; word lists of any length are looked up in blocks of bounded size.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +31,13 @@ from llm.scratch import columns, save
 from llm.text import _BYTE_CODE, _LOWER, slices, span_hashes, words
 
 #: Kinds in the order in which spans of one start are listed.
-KINDS = ("email", "ip", "card", "phone", "term")
+KINDS = ("email", "ip", "card", "phone", "secret", "term")
 #: Words on either side of an entity; different texts in which a word must stand near it.
 NEAR, TEXTS = 8, 3
 #: A word is generalised from this posterior, removed from that, if it gives this many bits.
 GENERALISE_FROM, REMOVE_FROM, BITS = 0.5, 0.9, 4.0
+#: A secret: characters at least, least share of digits and of letters, bits of a character.
+SECRET, SECRET_SHARE, SECRET_BITS = 20, 0.15, 3.0
 #: Words looked up at a time (8 MB).
 WORDS_A_PASS = 1_000_000
 
@@ -39,7 +45,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_RUN = re.compile(r"[A-Za-z0-9]{%d,}" % SECRET)
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".,;:!?"]] = True
@@ -92,12 +98,32 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return [(s, KINDS[k], e) for s, k, e in sorted(out)]
 
 
+def secret_spans(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
+    """Long runs of letters and digits of high entropy, apart from the base spans."""
+    out = []
+    for m in _RUN.finditer(text):
+        run, n = m[0], m.end() - m.start()
+        digits = sum("0" <= c <= "9" for c in run)
+        if min(digits, n - digits) < SECRET_SHARE * n or any(a < m.end() and m.start() < b for a, _, b in base):
+            continue
+        count = Counter(run)
+        if -sum(k / n * math.log2(k / n) for k in count.values()) >= SECRET_BITS:
+            out.append((m.start(), "secret", m.end()))
+    return out
+
+
+def _entities(text: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
+    """Base spans, and base spans and secrets in order."""
+    base = base_spans(text)
+    return base, sorted(base + secret_spans(text, base), key=lambda x: (x[0], KINDS.index(x[1])))
+
+
 def joined(spans: list[tuple[int, str, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, k, e in spans)
 
 
 def _entity(kind: str, value: str) -> str:
-    return f"{kind}:{value.lower() if kind in ('email', 'ip') else _digits(value)}"
+    return f"{kind}:{_digits(value) if kind in ('card', 'phone') else value.lower()}"
 
 
 _DIGIT_OR_AT = np.zeros(256, bool)
@@ -121,40 +147,37 @@ def _core(data: np.ndarray, off: np.ndarray):
     return start, end, span_hashes(_BYTE_CODE[_LOWER[data]], start, end), first
 
 
-def _near(text: str, spans: list[tuple[int, str, int]]) -> list[tuple[str, str]]:
-    """(entity, word) for the words near each entity that are letters only."""
-    out = set()
-    for s, kind, e in spans:
-        # Whole words only: the next white space ends the view on either side.
-        left = _WORD.findall(text[max(0, s - 64 * NEAR): s])[-NEAR:]
-        right = _WORD.findall(text[e: e + 64 * NEAR])[:NEAR]
-        for w in left + right:
-            w = w.rstrip(".,;:!?").lower()
-            if len(w) >= 3 and w.isalpha():
-                out.add((_entity(kind, text[s:e]), w))
-    return sorted(out)
-
-
-def _word_hash(ws: list[str]) -> np.ndarray:
-    raw = [w.encode() for w in ws]
-    off = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    return span_hashes(_BYTE_CODE[_LOWER[data]], off[:-1], off[1:]) if len(data) else np.zeros(0, np.uint64)
-
-
 def _pairs(batches):
-    """(text key, entity, word) near entities."""
+    """(text key, entity, word, hash) for the NEAR words on either side of each entity, by place in the whole text."""
     for batch in batches:
         for rows, data, off in slices(batch):
-            raw, keys, entities, near = data.tobytes(), [], [], []
+            raw, keys, entities, near, hashes = data.tobytes(), [], [], [], []
             key = rows.column("key").to_pylist()
+            start, end, h, first = _core(data, off)
+            low = _LOWER[data].tobytes()
             for d in np.flatnonzero(_suspects(data, off)):
                 text = raw[off[d]: off[d + 1]].decode()
-                spans = base_spans(text)
-                for e, w in _near(text, spans) if spans else ():
-                    keys.append(key[d]), entities.append(e), near.append(w)
+                spans = _entities(text)[1]
+                if not spans:
+                    continue
+                own = slice(first[d], first[d + 1])
+                begins, ends = start[own] - off[d], end[own] - off[d]
+                edges = [(len(text[:s].encode()), len(text[:e].encode())) for s, _, e in spans]
+                free = np.ones(len(begins), bool)            # words that are no part of an entity
+                for x, y in edges:
+                    free[np.searchsorted(ends, x, side="right"): np.searchsorted(begins, y)] = False
+                met = set()
+                for (s, kind, e), (x, y) in zip(spans, edges):
+                    left, right = int(np.searchsorted(ends, x, side="right")), int(np.searchsorted(begins, y))
+                    around = [*range(max(0, left - NEAR), left), *range(right, min(len(begins), right + NEAR))]
+                    met |= {(_entity(kind, text[s:e]), int(first[d]) + k) for k in around if free[k]}
+                seen = set()
+                for entity, k in sorted(met):
+                    if (entity, int(h[k])) not in seen:
+                        seen.add((entity, int(h[k])))
+                        keys.append(key[d]), entities.append(entity), hashes.append(h[k]), near.append(low[start[k]: end[k]].decode())
             yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "entity": pa.array(entities, pa.string()),
-                                              "term": pa.array(near, pa.string()), "hash": pa.array(_word_hash(near).view(np.int64))})
+                                              "term": pa.array(near, pa.string()), "hash": pa.array(np.array(hashes, np.uint64).view(np.int64))})
 
 
 def _documents_with(wanted: np.ndarray):
@@ -205,30 +228,61 @@ def disclosing_words(docs: DataFrame) -> DataFrame:
             .withColumn("action", F.when(F.col("posterior") >= REMOVE_FROM, "remove").otherwise("generalise")))
 
 
+_TERMS = "array<struct<start:int,end:int,gone:boolean>>"
+
+
+def _term_places(data: np.ndarray, off: np.ndarray, wanted: np.ndarray, removed: np.ndarray) -> dict[int, list[tuple[int, int, bool]]]:
+    """By document of a slice: (start, end, whether it is removed) of its wanted words, in code points."""
+    out: dict[int, list[tuple[int, int, bool]]] = {}
+    if not len(wanted):
+        return out
+    start, end, h, first = _core(data, off)
+    at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
+    hit = np.flatnonzero(wanted[at] == h)
+    if len(hit):
+        lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        doc = np.searchsorted(first, hit, side="right") - 1
+        for k, d in zip(hit.tolist(), doc.tolist()):
+            out.setdefault(d, []).append((int(lead[start[k]] - lead[off[d]]), int(lead[end[k]] - lead[off[d]]), bool(removed[at[k]])))
+    return out
+
+
+def _placed(wanted: np.ndarray, removed: np.ndarray):
+    """Rows with a wanted word: their key and the words' places."""
+    def run(batches):
+        for batch in batches:
+            for rows, data, off in slices(batch):
+                found = _term_places(data, off, wanted, removed)
+                docs = sorted(found)
+                yield pa.RecordBatch.from_pydict({
+                    "key": rows.column("key").take(pa.array(docs, pa.int64())),
+                    "terms": pa.array([[{"start": s, "end": e, "gone": g} for s, e, g in found[d]] for d in docs],
+                                      pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("gone", pa.bool_())])))})
+    return run
+
+
 def _found(wanted: np.ndarray, removed: np.ndarray, with_text: bool):
     def run(batches):
         for batch in batches:
             for rows, data, off in slices(batch):
                 raw = data.tobytes()
                 spans: list[list] = [[] for _ in range(rows.num_rows)]
+                base: list[list] = [[] for _ in range(rows.num_rows)]
                 for d in np.flatnonzero(_suspects(data, off)):
-                    spans[d] = base_spans(raw[off[d]: off[d + 1]].decode())
-                base = [list(x) for x in spans]
+                    base[d], spans[d] = _entities(raw[off[d]: off[d + 1]].decode())
+                if "terms" in rows.schema.names:             # looked up before, block by block
+                    given = rows.column("terms").to_pylist()
+                    terms = {d: sorted((t["start"], t["end"], t["gone"]) for t in x) for d, x in enumerate(given) if x}
+                else:
+                    terms = _term_places(data, off, wanted, removed)
                 gone: dict[tuple[int, int], bool] = {}
-                if len(wanted):
-                    start, end, h, first = _core(data, off)
-                    at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-                    hit = np.flatnonzero(wanted[at] == h)
-                    if len(hit):
-                        lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                        doc = np.searchsorted(first, hit, side="right") - 1
-                        for k, d in zip(hit.tolist(), doc.tolist()):
-                            s, e = int(lead[start[k]] - lead[off[d]]), int(lead[end[k]] - lead[off[d]])
-                            if not any(a < e and s < b for a, _, b in base[d]):
-                                spans[d].append((s, "term", e))
-                                gone[d, s] = bool(removed[at[k]])
-                        for d in set(doc.tolist()):
-                            spans[d].sort(key=lambda x: (x[0], KINDS.index(x[1])))
+                for d, own in terms.items():
+                    entities = list(spans[d])
+                    for s, e, out in own:
+                        if not any(a < e and s < b for a, _, b in entities):
+                            spans[d].append((s, "term", e))
+                            gone[d, s] = out
+                    spans[d].sort(key=lambda x: (x[0], KINDS.index(x[1])))
                 out = {"doc_id": rows.column("doc_id")}
                 for kind in KINDS:
                     out[f"n_{kind}"] = pa.array([sum(k == kind for _, k, _ in x) for x in spans], pa.int64())
@@ -257,18 +311,34 @@ def sanitise(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """doc_id, counts by kind, base_sha256, spans and, if asked for, clean_text of every row.
 
     clean_text has <KIND> in place of entities and generalised words, and
-    nothing in place of removed ones.  Null and empty texts have no spans;
-    repeated rows and null ids each get their row.
+    nothing in place of removed ones.  base_sha256 is that of the base kinds'
+    spans alone.  Null and empty texts have no spans; repeated rows and null
+    ids each get their row; other columns are dropped; an empty table gives an
+    empty table.  Of spans that begin together the earlier kind comes first.
     """
     terms = save(disclosing_words(docs), "terms")
     blocks = _blocks(terms.select("hash").distinct())
-    if len(blocks) > 1:
-        raise ValueError(f"more than {WORDS_A_PASS} disclosing words: raise the thresholds or WORDS_A_PASS")
-    wanted = blocks[0] if blocks else np.zeros(0, np.uint64)
-    out = set(terms.filter("action = 'remove'").select("hash").toPandas()["hash"].to_numpy().astype(np.int64).view(np.uint64).tolist())
-    removed = np.array([h in out for h in wanted.tolist()], bool)
-    return (columns(docs, doc_id="long", text="string")
-            .mapInArrow(_found(wanted, removed, with_text), _SCHEMA + (", clean_text string" if with_text else "")))
+    gone = terms.filter("action = 'remove'").select("hash").distinct()
+    schema = _SCHEMA + (", clean_text string" if with_text else "")
+    texts = columns(docs, doc_id="long", text="string")
+
+    def removed(wanted: np.ndarray) -> np.ndarray:
+        """Which of a block's words are removed."""
+        own = docs.sparkSession.createDataFrame(pa.table({"hash": wanted.view(np.int64)})) if len(blocks) > 1 else None
+        out = (gone if own is None else gone.join(F.broadcast(own), "hash", "left_semi")).toPandas()["hash"].to_numpy().astype(np.int64)
+        return np.isin(wanted, out.view(np.uint64))
+
+    if len(blocks) <= 1:
+        wanted = blocks[0] if blocks else np.zeros(0, np.uint64)
+        return texts.mapInArrow(_found(wanted, removed(wanted), with_text), schema)
+    keyed = texts.withColumn("key", F.xxhash64("text"))
+    places = None
+    for wanted in blocks:
+        part = save(keyed.select("key", "text").mapInArrow(_placed(wanted, removed(wanted)), f"key long, terms {_TERMS}"), "places")
+        places = part if places is None else places.unionByName(part)
+    # Rows of one text have the same places: the sets of a block are one, whatever the number of copies.
+    places = save(places.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_set("terms"))).alias("terms")), "terms")
+    return keyed.join(places, "key", "left").select("doc_id", "text", "terms").mapInArrow(_found(np.zeros(0, np.uint64), np.zeros(0, bool), with_text), schema)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from llm import debruijn, decontaminate, license_scan, mixture, near_vectors, ngram_join, periodic_runs, privacy, quality, suffix_dedup, token_align, token_output, toxicity
+from llm.oracles import ORACLE_SQL  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -23,7 +24,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_periodic_runs": periodic_runs.op12_periodic_runs,
     "op13_token_alignment": token_align.op13_token_alignment,
 }
-
-ORACLE_SQL: dict[str, str] = {
-    "op11_license_scans": license_scan.oracle_sql(),
-}

@@ -8,9 +8,11 @@ occurs in toxic documents (lower confidence bound of that share) marks the
 words that have it, in toxic documents.  The field is fitted to such labelled
 sequences, a logistic curve to the documents' summed marginals.
 
-Texts are cut into sequences of SEQUENCE words.  Forward and backward passes
-run over all sequences of a slice side by side; their marginals add up to a
-document's score, and runs of toxic words give the offending offsets.
+A text is one chain, however long.  Its forward and backward passes run over
+pieces of SEQUENCE words side by side: the transfer matrix of every piece comes
+first, their products carry the state from piece to piece, and the passes
+within the pieces start from it.  The marginals add up to a document's score,
+and runs of toxic words give the offending offsets.
 """
 
 from __future__ import annotations
@@ -53,10 +55,11 @@ def _buckets(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(40)).astype(np.int64) & (BUCKETS - 1)
 
 
-def _lattice(score: np.ndarray, length: np.ndarray, move: np.ndarray, with_pairs: bool = False):
+def _lattice(score: np.ndarray, length: np.ndarray, move: np.ndarray, with_pairs: bool = False, start: np.ndarray | None = None, stop: np.ndarray | None = None):
     """Marginals of the toxic state, for sequences in rows of ``score`` sorted longest first.
 
     move: log weights of (clean, clean), (clean, toxic), (toxic, clean), (toxic, toxic).
+    start, stop: messages of the two states from before and behind each row (clean before a text, none behind it).
     """
     n, steps = score.shape
     e = np.exp(np.clip(score.T, -20, 20))
@@ -64,9 +67,12 @@ def _lattice(score: np.ndarray, length: np.ndarray, move: np.ndarray, with_pairs
     active = np.searchsorted(-length, -np.arange(steps), side="left")
     a = np.zeros((steps, 2, n))
     b = np.ones((steps, 2, n))
+    if stop is not None and n:
+        b[length - 1, :, np.arange(n)] = stop
+    before = (np.full(n, 0.5), np.zeros(n)) if start is None else (start[:, 0], start[:, 1])
     for t in range(steps):
         k = active[t]
-        p0, p1 = (a[t - 1, 0, :k], a[t - 1, 1, :k]) if t else (np.ones(k) * 0.5, np.zeros(k))
+        p0, p1 = (a[t - 1, 0, :k], a[t - 1, 1, :k]) if t else (before[0][:k], before[1][:k])
         x0 = p0 * t00 + p1 * t10
         x1 = (p0 * t01 + p1 * t11) * e[t, :k]
         z = x0 + x1
@@ -91,8 +97,21 @@ def _lattice(score: np.ndarray, length: np.ndarray, move: np.ndarray, with_pairs
     return p, pairs
 
 
+def _transfer(score: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """(n, 2, 2): weights from the state before each whole row of ``score`` to the state at its end, up to a factor."""
+    e = np.exp(np.clip(score.T, -20, 20))
+    (t00, t01), (t10, t11) = np.exp(move).reshape(2, 2)
+    m = np.broadcast_to(np.eye(2), (len(score), 2, 2)).copy()
+    for own in e:
+        x0 = m[:, :, 0] * t00 + m[:, :, 1] * t10
+        x1 = (m[:, :, 0] * t01 + m[:, :, 1] * t11) * own[:, None]
+        z = (x0 + x1).sum(1)
+        m[:, :, 0], m[:, :, 1] = x0 / z[:, None], x1 / z[:, None]
+    return m
+
+
 def marginals(score: np.ndarray, first: np.ndarray, move: np.ndarray) -> np.ndarray:
-    """Toxic marginal of every word of a slice; documents are cut every SEQUENCE words."""
+    """Toxic marginal of every word of a slice; document d is the chain of words first[d] .. first[d + 1] - 1."""
     out = np.zeros(len(score))
     count = np.diff(first)
     pieces = -(-count // SEQUENCE)
@@ -100,13 +119,32 @@ def marginals(score: np.ndarray, first: np.ndarray, move: np.ndarray) -> np.ndar
     nth = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     begin = first[doc] + nth * SEQUENCE
     length = np.minimum(SEQUENCE, first[doc + 1] - begin) if len(doc) else begin
+    start, stop = np.tile([0.5, 0.0], (len(doc), 1)), np.ones((len(doc), 2))
+    more = np.flatnonzero(np.append(nth[1:] > 0, False)) if len(doc) else doc     # pieces with another behind them: whole ones
+    if len(more):
+        # The last piece of a long text is short, or whole; its matrix is wanted too, by the message from behind.
+        inner = np.unique(np.concatenate([more, more + 1]))
+        matrix = np.zeros((len(doc), 2, 2))
+        for n in np.unique(length[inner]):
+            same = inner[length[inner] == n]
+            for k in range(0, len(same), 4096):
+                rows = same[k: k + 4096]
+                matrix[rows] = _transfer(score[begin[rows][:, None] + np.arange(n)], move)
+        for step in range(1, int(nth.max()) + 1):
+            at = np.flatnonzero(nth == step)
+            v = np.einsum("ni,nij->nj", start[at - 1], matrix[at - 1])
+            start[at] = v / v.sum(1, keepdims=True)
+        for step in range(int(nth.max()) - 1, -1, -1):
+            at = more[nth[more] == step]
+            v = np.einsum("nij,nj->ni", matrix[at + 1], stop[at + 1])
+            stop[at] = v / v.sum(1, keepdims=True)
     order = np.argsort(-length, kind="stable")
     for k in range(0, len(order), 4096):
         rows = order[k: k + 4096]
         at = begin[rows][:, None] + np.arange(length[rows[0]])
         inside = np.arange(length[rows[0]]) < length[rows][:, None]
         at = np.minimum(at, len(score) - 1)
-        out[at[inside]] = _lattice(score[at], length[rows], move)[inside]
+        out[at[inside]] = _lattice(score[at], length[rows], move, start=start[rows], stop=stop[rows])[inside]
     return out
 
 

@@ -82,6 +82,37 @@ def test_shared_documents_and_empty_table(spark):
     assert mixing_stage(spark, df.limit(0).select("doc_id", "text", "source"), "").count() == 0
 
 
+def test_targets_of_very_many_sources(spark):
+    """200,000 sources: shares by steps over a table equal those of a list; each group of sources is a task of its own."""
+    from llm.mixture import source_targets
+    r = random.Random(6)
+    sizes = {f"0s{k:06d}": r.randrange(0, 500) for k in range(200_000)}
+    table = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long")
+    got = {x.source: x.target for x in source_targets(table, (3, 1, 2), 1.5 * sum(sizes.values())).toLocalIterator()}
+    want = targets(sizes, {s: (3, 1, 2)[k % 3] for k, s in enumerate(sorted(sizes))}, 1.5 * sum(sizes.values()))
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 for s in want)
+
+
+def test_a_source_for_each_document(spark):
+    rows = [(k, "w " * (1 + k % 7), f"site{k}") for k in range(3000)] + [(9000 + k, "v " * 4, None) for k in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = _taken(*mix_sources(df)).select("doc_id", "source", F.col("size__").alias("size"), F.col("source_size__").alias("source_size"),
+                                            F.col("target__").alias("target"), (F.col("size__") * F.col("times__")).alias("taken")).collect()
+    assert len(taken) == len(rows)
+    check(rows, taken)
+
+
+def test_the_query_goes_through_the_flow(monkeypatch):
+    import pandas as pd
+    from llm import mixture
+    calls = []
+    plain = mixture.route
+    monkeypatch.setattr(mixture, "route", lambda *a: calls.append(a) or plain(*a))
+    out = mixture._planned(pd.DataFrame({"pattern__": ["0a", "0b", "0a\x010b", "0a\x010b"], "source": ["0a", "0b", "0a", "0b"],
+                                         "words": [10, 10, 30, 30], "target": [35.0, 25.0, 35.0, 25.0], "group": "0a"}))
+    assert calls and dict(zip(out["pattern__"], out["full"])) == {"0a": 1, "0b": 1, "0a\x010b": 1} and abs(out["rest"].sum() - 10) < 1e-3
+
+
 def test_sample_tables(spark):
     d = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{d}/documents.parquet")

@@ -98,6 +98,7 @@ def test_frequent_columns_and_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(j, "FREQUENT_LEAST", 3)
     monkeypatch.setattr(j, "RANGE_ENTRIES", 8)
     monkeypatch.setattr(j, "PACK", 50)
+    monkeypatch.setattr(j, "SORTED", 5)
     monkeypatch.setattr(j, "CACHE", 4)
     monkeypatch.setattr(j, "PAIRS_A_COPY", 3)
     common = [f"c{k}" for k in range(30)]

@@ -57,3 +57,27 @@ def test_sample_tables(spark):
     got = op8_toxicity(spark, d).join(labels, "doc_id").filter("held_out").collect()
     tp = sum(g.predicted and g.toxic for g in got)
     assert tp >= 0.7 * sum(g.toxic for g in got) and tp >= 0.8 * sum(g.predicted for g in got)
+
+
+def test_chains_go_on_over_pieces():
+    """A long text is one chain: pieces side by side give the marginals of a single pass over the whole."""
+    r = np.random.default_rng(4)
+    move = np.array([2.0, -2.0, -1.5, 1.5])
+    length = np.array([1, 0, 127, 128, 129, 256, 1000, 3000])
+    first = np.concatenate([[0], np.cumsum(length)])
+    s = r.standard_normal(first[-1]) * 2 - 0.5
+    got = marginals(s, first, move)
+    for d, n in enumerate(length):
+        if n:
+            assert np.allclose(got[first[d]: first[d + 1]], _lattice(s[None, first[d]: first[d + 1]], np.array([n]), move)[0])
+
+
+def test_a_toxic_run_across_the_end_of_a_piece():
+    move = np.array([3.0, -3.0, -3.0, 3.0])
+    s = np.full(400, -2.0)
+    s[120:136] = 1.0                                   # words 120 .. 135 lean to toxic, over word 128
+    s[130] = -0.5
+    p = marginals(s, np.array([0, 400]), move)
+    assert (p[121:135] > 0.5).all() and (p[:110] < 0.1).all() and (p[150:] < 0.1).all()
+    shifted = marginals(np.roll(s, 40), np.array([0, 400]), move)
+    assert np.allclose(np.roll(p, 40)[60:380], shifted[60:380], atol=1e-6)
