@@ -214,7 +214,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def digest(docs: DataFrame, window: int = WINDOW, node: int = NODE) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_sha256 of every row of ``docs``."""
+    """doc_id, n_words, n_removed and kept_sha256 of every row of ``docs``.
+
+    Null and empty texts have no words; rows that repeat, or share an id, each
+    get their row and never remove from each other; an empty table gives an
+    empty table; a very long text is a slice of its own; other columns are dropped.
+    """
     found = save(repeated_spans(docs, window, node), "found")
     return (with_facts(keyed(docs), found, "left").select("doc_id", "text", "spans", "starts")
             .mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept_sha256 string"))

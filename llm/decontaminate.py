@@ -34,6 +34,8 @@ WIDTH, LITERALS, LEAK_FROM = 5, 3, 0.6
 RUN, WHOLE, LEAST = 25, 16, 3
 #: Benchmark windows looked up at a time (8 MB); larger benchmarks take more passes.
 WINDOWS_A_PASS = 1_000_000
+#: Bytes of text held as words and windows at a time.
+SLICE = 1 << 19
 #: Ids and item windows up to this many are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -131,7 +133,7 @@ def _window_rows(key: str, widths: tuple[int, ...], wanted: np.ndarray | None =
     """
     def run(batches):
         for batch in batches:
-            for rows, data, off in slices(batch):
+            for rows, data, off in slices(batch, limit=SLICE):
                 start, end, kind, h, own, first = template(data, off)
                 text = data.tobytes()
                 count = np.diff(first)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm.graph import components
-from llm.scratch import save
+from llm.scratch import drop, save
 from opsight.plans.numbering import global_row_number
 
 #: Source weights by code point order, repeating; total size in hundredths of all words; repetitions of a document.
@@ -216,6 +216,7 @@ def mix_sources(docs: DataFrame, members: Column | None = None, weights: tuple =
     cut = (ahead.filter("before < rest").groupBy("pattern__")
            .agg(F.max(F.struct("bucket", "before")).alias("c")).select("pattern__", "c.bucket", "c.before"))
     steps = save(plans.join(cut, "pattern__", "left").select("pattern__", "full", "rest", "bucket", "before"), "steps")
+    drop(facts, patterns, plans)
     return known, {"steps": steps, "few": few,
                    "sources": sources.select(F.col("source").alias("own__"), F.col("size").alias("source_size__"), F.col("target").alias("target__"))}
 

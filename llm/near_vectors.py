@@ -275,9 +275,10 @@ def near_vectors(table: DataFrame, cosine: float = COSINE, window: int = WINDOW)
         met = (probes.join(found.filter("b IS NULL").select(F.col("a").alias("cls")), "cls", "left_semi")
                .groupBy(*key).agg(F.count("*").alias("met")))
         state = (todo.join(planted, key, "left").join(met, key, "left")
-                 .withColumn("recall", F.coalesce(F.coalesce("met", F.lit(0)) / F.col("planted"), F.lit(1.0)))
-                 .withColumn("short", F.col("recall") < RECALL)
-                 .withColumn("dear", F.expr(f"short AND (recall = 0 OR {PASS_COST} * {k} * greatest(1D, {math.log(1 - RECALL)!r}D / ln(1 - recall)) >= n)"))
+                 .withColumn("short", F.coalesce(F.coalesce("met", F.lit(0)) / F.col("planted"), F.lit(1.0)) < RECALL)
+                 # Half a probe more: where none was met yet, that many passes more are expected, and not endlessly many.
+                 .withColumn("likely", (F.coalesce("met", F.lit(0)) + 0.5) / (F.col("planted") + 1))
+                 .withColumn("dear", F.expr(f"short AND {PASS_COST} * {k} * greatest(1D, {math.log(1 - RECALL)!r}D / ln(1 - likely)) >= n"))
                  .filter(f"short OR {k} < {least}").select("label", "dim", "n", "mean", "dear"))
         state = save(state, "state")
         exact.append(state.filter("dear").select("label", "dim", "n"))

@@ -157,7 +157,9 @@ def judge(docs: DataFrame, labels: DataFrame, host: Column | None = None, path:
     host and path default to source, and lang within source; a null is a site
     of its own.  A null or empty text has the evidence of its statistics (all
     zero); without labels, or with one class only, the evidence is nothing and
-    every document is kept.  Repeated rows each get their row.
+    every document is kept.  Repeated rows each get their row, so do ties; of
+    labels that share a doc_id the mean counts.  An empty table gives an empty
+    table.  A very long text is read whole, as a slice of its own.
     """
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path

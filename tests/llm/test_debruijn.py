@@ -52,3 +52,12 @@ def test_shared_passages_branches_loops_and_odd_rows(spark):
     assert rows_of(digest(df)) == brute(rows)
     assert rows_of(digest(df, window=12, node=5)) == brute(rows, 12)
     assert digest(df.limit(0)).count() == 0
+
+
+def test_very_long_texts(spark):
+    """Texts longer than a slice, one inside the other."""
+    words = [f"w{k * 7919 % 65537}" for k in range(300_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[1000:2000]) + " end"), (3, " ".join(words[::-1])), (4, " ".join(words))]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # The reversed text shares no window with the first.
+    assert got == {1: (300_000, 0), 2: (1001, 1000), 3: (300_000, 0), 4: (300_000, 300_000)}

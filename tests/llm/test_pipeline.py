@@ -60,4 +60,32 @@ def test_stages(spark):
 
 def test_registered():
     q = E.queries()
-    assert "pipeline" in q and all(sum(name.startswith(f"op{n}_") for name in q) == 1 for n in range(1, 11))
+    assert "pipeline" in q and all(sum(name.startswith(f"op{n}_") for name in q) == 1 for n in range(1, 14))
+
+
+def test_odd_documents(spark, tmp_path):
+    """Null ids and texts, one id for different texts, rows that repeat, a text in two forms, an empty table: the run ends, and clean rows stay."""
+    import shutil
+    d = tmp_path / "sf"
+    d.mkdir()
+    for t in ("labels", "benchmark"):
+        shutil.copy(f"{SF_SMALL}/{t}.parquet", d)
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    text = next(r.text for r in docs.orderBy("doc_id").collect() if r.text and len(r.text) > 2000)
+    clean = [" ".join(f"{w}{k}" for w in text.split()[:120]) for k in range(4)]
+    odd = [(None, clean[0], "en", "src1", 1), (900001, None, None, None, None), (900002, clean[1], "en", "src1", 2), (900002, clean[2], "en", "src1", 2),
+           (900003, clean[3], "en", None, 3), (900003, clean[3], "en", None, 3), (900004, "", "en", "src2", 0)]
+    more = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    more.write.parquet(str(d / "documents.parquet"))
+    stages = dict(P.STAGES)
+    apart = P.save(stages["n-gram Jaccard join"](spark, more, str(d)), "test")
+    kept = {(r.doc_id, r.text) for r in apart.filter("doc_id >= 900000 OR doc_id IS NULL").collect()}
+    assert kept == {(i, t) for i, t, *_ in odd}
+    assert apart.filter("doc_id = 900003").count() == 1
+    out = P.run(spark, str(d))
+    assert out.filter("n_tokens < 1").count() == 0 and out.count() > 0
+    (d / "empty").mkdir()
+    for t in ("labels", "benchmark"):
+        shutil.copy(f"{SF_SMALL}/{t}.parquet", d / "empty")
+    docs.limit(0).write.parquet(str(d / "empty" / "documents.parquet"))
+    assert P.run(spark, str(d / "empty")).count() == 0

@@ -60,3 +60,34 @@ def test_sample_tables(spark):
     assert got.count() == spark.read.parquet(f"{d}/documents.parquet").count()
     wrong = got.join(labels, "doc_id").filter("kept <> (quality = 1)").count()
     assert wrong <= 0.03 * labels.count()
+
+
+def test_rates_and_scores_equal_the_formulas(spark):
+    """Moments, shrunk rates and posteriors of some sites, computed row by row."""
+    r = random.Random(8)
+    rows = [(f"h{k % 5}", f"p{k % 3}", float(r.randrange(1, 400)), 0.0) for k in range(15)]
+    rows = [(h, p, n, round(n * r.random(), 3)) for h, p, n, _ in {(h, p): (h, p, n, s) for h, p, n, s in rows}.values()]
+    got = {(x.host, x.path): (x.host_rate, x.path_rate) for x in site_rates(spark.createDataFrame(rows, "host string, path string, n double, s double")).collect()}
+
+    n_all, s_all = sum(n for *_, n, _ in rows), sum(s for *_, s in rows)
+    mean = (s_all + 1) / (n_all + 1)
+
+    def strength(groups):
+        """Moment estimate of a prior's weight from (n, s) of groups."""
+        ss = sum(n * (s / n - mean) ** 2 for n, s in groups)
+        v = max((ss - len(groups) * mean * (1 - mean)) / max(sum(n for n, _ in groups), 1.0), 1e-7)
+        return min(max(mean * (1 - mean) / v - 1, 1.0), 1e6)
+
+    hosts = {}
+    for h, _, n, s in rows:
+        a, b = hosts.get(h, (0.0, 0.0))
+        hosts[h] = (a + n, b + s)
+    k_host, k_path = strength(list(hosts.values())), strength([(n, s) for *_, n, s in rows])
+    for h, p, n, s in rows:
+        rate = (hosts[h][1] + k_host * mean) / (hosts[h][0] + k_host)
+        assert np.allclose(got[h, p], (rate, (s + k_path * rate) / (n + k_path)))
+    docs = corpus(200, 3)
+    labels = spark.createDataFrame([(r[0], r[6], 0) for r in docs if r[0] % 3], "doc_id long, quality int, toxic int")
+    for x in judge(spark.createDataFrame([r[:6] for r in docs], DOCS), labels).collect():
+        odds = x.llr__ + np.log(max(x.path_rate, 1e-6) / max(1 - x.path_rate, 1e-6))
+        assert np.isclose(x.score__, 1 / (1 + np.exp(-odds)))
