@@ -51,7 +51,7 @@ PAIRS_A_COPY = 1000
 #: Ids (and places to send their sets to) up to this many are broadcast (some 24 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 500_000
 #: Entries packed at a time; entries of a hash range, about; those of it sorted at a time; bytes of a slice; classes that a task remembers.
-PACK, RANGE_ENTRIES, SORTED, SLICE, CACHE = 1 << 19, 1 << 20, 1 << 18, 1 << 20, 1 << 17
+PACK, RANGE_ENTRIES, SORTED, SLICE, CACHE = 1 << 19, 1 << 20, 1 << 18, 1 << 19, 1 << 17
 
 _COLUMNS = "doc_id long, key long, n long, cls long, last long, soon long, rare int, hot array<long>, bits array<long>, range int, entries binary"
 _SCHEMA = pa.schema([(c.split()[0], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}.get(c.split()[1], pa.list_(pa.int64()))) for c in _COLUMNS.split(", ")])

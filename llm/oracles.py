@@ -78,9 +78,10 @@ WITH units AS (
          embedding IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
            AND len(list_filter(v, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(v, lambda c: c <> 0)) > 0 AS usable
   FROM embeddings),
+vectors AS MATERIALIZED (SELECT r, label, v, len(v) AS n FROM units WHERE usable),
 links AS (
-  SELECT a.r AS x, b.r AS y FROM units a JOIN units b ON a.label = b.label AND a.r < b.r
-  WHERE a.usable AND b.usable AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.93),
+  SELECT a.r AS x, b.r AS y FROM vectors a JOIN vectors b ON a.label = b.label AND a.n = b.n AND a.r < b.r
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
 {_REACHED},
 least AS (SELECT reached.r, min(units.vec_id) AS lowest FROM reached JOIN units ON units.r = reached.node GROUP BY reached.r),
 counted AS (SELECT x AS r, count(*) AS n FROM sides GROUP BY x)

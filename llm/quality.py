@@ -28,6 +28,8 @@ FIT_ROWS = 20_000
 KEEP_FROM = 0.5
 #: Host and path groups up to this many are broadcast (some 100 bytes each).
 BROADCAST_GROUPS = 100_000
+#: Bytes of text held as features at a time.
+SLICE = 1 << 19
 #: Weight of the ridge penalty of the classifier.
 RIDGE = 1.0
 
@@ -84,14 +86,14 @@ def fit(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray | float]:
 
 def _with_features(batches):
     for batch in batches:
-        for rows, data, off in slices(batch):
+        for rows, data, off in slices(batch, limit=SLICE):
             yield pa.RecordBatch.from_pydict({"y": rows.column("y"), "x": pa.array([r.tobytes() for r in features(data, off).astype(np.float32)], pa.binary())})
 
 
 def _with_evidence(model: dict):
     def run(batches):
         for batch in batches:
-            for rows, data, off in slices(batch):
+            for rows, data, off in slices(batch, limit=SLICE):
                 z = np.clip((features(data, off) - model["mean"]) / model["scale"], -8, 8)
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(z @ model["weight"] + model["odds"], pa.float64())],
                                                  names=[*rows.schema.names, "llr__"])

@@ -39,7 +39,7 @@ def powers(n: int) -> list[np.ndarray]:
     """base**0 .. base**n modulo 2**64, and the same of its inverse; kept per worker."""
     for base, have in _powers.items():
         if len(have) <= n:
-            grown = np.full(max(n + 1, 2 * len(have)), base, np.uint64)
+            grown = np.full(n + 1 + (n >> 3), base, np.uint64)      # an eighth more: slices are of about one size
             grown[0] = 1
             _powers[base] = np.multiply.accumulate(grown)
     return [have[: n + 1] for have in _powers.values()]

@@ -24,10 +24,12 @@ from pyspark.sql.window import Window
 
 from llm.range_coder import BLOCK, decode, encode
 from llm.scratch import columns, folder
-from llm.text import _BYTE_CODE, _LOWER, _WHITE, slices, span_hashes
+from llm.text import SLICE_BYTES, _BYTE_CODE, _LOWER, _WHITE, slices, span_hashes
 
 #: Ids of a frame, blocks coded side by side, ids of the words that a worker remembers.
 FRAME, LANES, REMEMBERED = 1 << 20, 1024, 8_000_000
+#: The same for the pipeline's stage, whose executors hold the memory of the stages before; and bytes of its slices.
+STAGE_LANES, STAGE_REMEMBERED, STAGE_SLICE = 512, 1_000_000, 1 << 18
 
 FRAMES = "shard int, frame int, first long, n_ids long, doc_ids array<long>, n_tokens array<long>, blocks array<binary>"
 
@@ -45,9 +47,11 @@ class Words:
     once and remembered.  Other tokenizers encode whole texts.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
+        self.remembered = remembered
+
         self.tokenizer = Tokenizer.from_file(path)
         probe = ["Aa b, c.", "É́x  'S don't 12kg\n\tZz."]
         self.by_word = all(self._ids(p) == [i for w in p.split() for i in self._ids(w)] and self._ids(p) == self._ids(p.lower()) for p in probe)
@@ -88,7 +92,7 @@ class Words:
             got = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch(
                 [raw[a:b].decode() for a, b in zip(off[:-1], off[1:])], add_special_tokens=False)]
             return np.concatenate([*got, np.zeros(0, np.uint32)]), np.array([len(x) for x in got], np.int64)
-        if self.filled > REMEMBERED:
+        if self.filled > self.remembered:
             self.forget()
         start, end, first = self._chunks(data, off)
         plain = _LOWER[data] if not (data == ord("<")).any() else data   # a special token is written in one case only
@@ -141,14 +145,14 @@ class Words:
         self.store.append(np.array(flat, np.uint32))
 
 
-_words: dict[str, Words] = {}                     # of this Python worker, by tokenizer file
+_words: dict[tuple, Words] = {}                   # of this Python worker, by tokenizer file
 
 
-def _frames(path: str, end_id: int | None):
+def _frames(path: str, end_id: int | None, lanes: int = LANES, remembered: int = REMEMBERED, slice_bytes: int = SLICE_BYTES):
     def run(batches):
-        if path not in _words:
-            _words[path] = Words(path)
-        words, shard = _words[path], TaskContext.get().partitionId()
+        if (path, remembered) not in _words:
+            _words[path, remembered] = Words(path, remembered)
+        words, shard = _words[path, remembered], TaskContext.get().partitionId()
         at = frame = 0
         docs: list[int | None] = []
         sizes: list[int] = []
@@ -174,7 +178,7 @@ def _frames(path: str, end_id: int | None):
             queue.clear()
 
         for batch in batches:
-            for rows, data, off in slices(batch):
+            for rows, data, off in slices(batch, limit=slice_bytes):
                 ids, n = words.encode(data, off)
                 if end_id is not None:
                     ids = np.insert(ids, np.cumsum(n), end_id)
@@ -185,7 +189,7 @@ def _frames(path: str, end_id: int | None):
                     held += size
                     if held >= FRAME:
                         closed()
-                if sum(len(q[4]) for q in queue) >= LANES:
+                if sum(len(q[4]) for q in queue) >= lanes:
                     yield from coded()
         if docs:
             closed()
@@ -193,14 +197,15 @@ def _frames(path: str, end_id: int | None):
     return run
 
 
-def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = 2) -> None:
+def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = 2, lanes: int = LANES, remembered: int = REMEMBERED,
+              slice_bytes: int = SLICE_BYTES) -> None:
     """Frames of ``docs`` (doc_id, text) in ``path``, in ascending doc_id order, nulls first.
 
     Null text is empty; every document gets ``end_id`` at its end.  Rows that
     share a doc_id are each written, next to each other, by text.
     """
     (columns(docs, doc_id="long", text="string").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-     .mapInArrow(_frames(tokenizer, end_id), FRAMES).write.parquet(path))
+     .mapInArrow(_frames(tokenizer, end_id, lanes, remembered, slice_bytes), FRAMES).write.parquet(path))
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
@@ -212,8 +217,8 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
     return frames.join(F.broadcast(before.select("shard", "before")), "shard").withColumn("start", F.col("before") + F.col("first")).drop("before")
 
 
-def _decoded(make):
-    """Run ``make(rows, ids of each row)`` over frames, LANES blocks or more at a time."""
+def _decoded(make, lanes: int = LANES):
+    """Run ``make(rows, ids of each row)`` over frames, ``lanes`` blocks or more at a time."""
     def run(batches):
         rows: list[dict] = []
         waiting = 0
@@ -229,7 +234,7 @@ def _decoded(make):
             for k in range(batch.num_rows):
                 rows.append(batch.slice(k, 1).to_pylist()[0])
                 waiting += len(rows[-1]["blocks"])
-                if waiting >= LANES:
+                if waiting >= lanes:
                     yield from out()
                     waiting = 0
         if rows:
@@ -258,17 +263,17 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return read_frames(spark, path).mapInArrow(_decoded(_whole), "doc_id long, ids array<long>")
 
 
-def digests(spark: SparkSession, path: str) -> DataFrame:
+def digests(spark: SparkSession, path: str, lanes: int = LANES) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from its decoded ids."""
-    return read_frames(spark, path).mapInArrow(_decoded(_digest), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_frames(spark, path).mapInArrow(_decoded(_digest, lanes), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def _written(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def _written(spark: SparkSession, docs: DataFrame, lanes: int = LANES, remembered: int = REMEMBERED, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     import public_tokenizers
 
     path = folder(spark, "ids")
-    write_ids(docs, public_tokenizers.path("word_bpe_49k.json"), path)
-    return digests(spark, path)
+    write_ids(docs, public_tokenizers.path("word_bpe_49k.json"), path, lanes=lanes, remembered=remembered, slice_bytes=slice_bytes)
+    return digests(spark, path, lanes)
 
 
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,4 +283,4 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The id stream of what reached this stage."""
-    return _written(spark, docs)
+    return _written(spark, docs, STAGE_LANES, STAGE_REMEMBERED, STAGE_SLICE)
