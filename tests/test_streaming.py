@@ -198,6 +198,19 @@ def test_dedup_does_not_depend_on_arrival(spark):
     assert sorted(tuple(r) for r in got.rows.collect()) == want
 
 
+def test_a_restart_does_not_meet_the_keys_that_were_closed(spark):
+    from pyspark.sql import functions as F
+    from opsight.streaming.streams import closing_rows, replay
+    df = spark.range(20000).selectExpr("concat('f', id) AS short_filename", "id AS file_key",
+                                       "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(CAST(id % 20 AS INT)) AS register_datetime")
+    first = F.col("file_key") % 20 < 10
+    run = replay(spark, "t-closed", [df.filter(first), df.filter(~first).unionByName(closing_rows(df, "register_datetime"))], stream_dedup, partitions=2)
+    assert run.rows.count() == 20000
+    # Bytes of the state's files after each trigger: rows, closed windows, rows, closed windows.
+    size = [p["stateOperators"][0]["customMetrics"].get("rocksdbSstFileSize", 0) for p in run.progress]
+    assert len(size) == 4 and size[1] < size[0] / 2 and size[3] < size[2] / 20
+
+
 def test_islands_of_empty_and_null_clocks(spark):
     from opsight.streaming.streams import stream_session_pivot
     assert stream_session_pivot(_log(spark, [])).count() == 0
