@@ -20,6 +20,7 @@ from opsight.functions import texts as T
 from opsight.functions.expr import days_ago, key_to_date, ts_lit
 from opsight.operators.sessions import failing_tasks_by_message
 from opsight.functions import patterns as P
+from opsight.plans.joins import without
 from opsight.plans.numbering import global_row_number
 from opsight.plans.registry import query
 from opsight.sources.fixtures import AS_OF_FILES, AS_OF_RUNS, fixtures
@@ -405,17 +406,18 @@ def cascade_delete(tables: dict, batch_ids: DataFrame) -> dict:
     rows of the deleted files and runs (keys are found first, as the script does).
     """
     ids = batch_ids.select("batch_id").distinct()
+    n = ids.count()
     out = {}
     files, runs = tables.get("files"), tables.get("runs")
     dead_files = files.join(ids, "batch_id", "left_semi").select("file_key").distinct() if files is not None else None
     dead_runs = runs.join(ids, "batch_id", "left_semi").select("run_id").distinct() if runs is not None else None
     for name, df in tables.items():
         if "batch_id" in df.columns:
-            out[name] = df.join(ids, "batch_id", "left_anti")
+            out[name] = without(df, "batch_id", ids, n)
         elif "file_key" in df.columns and dead_files is not None:
-            out[name] = df.join(dead_files, "file_key", "left_anti")
+            out[name] = without(df, "file_key", dead_files)
         elif "run_id" in df.columns and dead_runs is not None:     # run errors
-            out[name] = df.join(dead_runs, "run_id", "left_anti")
+            out[name] = without(df, "run_id", dead_runs)
         else:
             out[name] = df
     return out

@@ -22,6 +22,36 @@ def not_in(df: DataFrame, column: str, sub: DataFrame, sub_column: str) -> DataF
     return kept.filter((n == 0) | ((n == nn) & F.col(column).isNotNull()))
 
 
+#: Keys up to this many are broadcast as they are (some 24 bytes each); of more, a bitmap is.
+BROADCAST_KEYS = 1_000_000
+#: Bits of a piece of the bitmap (``bitmap_construct_agg``), and of all its pieces for each key.
+PIECE_BITS, BITS_A_KEY = 32768, 16
+
+
+def without(df: DataFrame, column: str, keys: DataFrame, n: int | None = None, most: int = BROADCAST_KEYS) -> DataFrame:
+    """Rows of ``df`` whose ``column`` is not among ``keys`` (that column alone, distinct, about ``n``); a NULL is among none.
+
+    Rows of ``df`` may be wide, and most stay, so they are not shuffled for the
+    test: few keys are broadcast, of many a bitmap of their hashes.  Only rows
+    whose bit is set - those to go, and about one in BITS_A_KEY of the others -
+    then meet the keys themselves.
+    """
+    n = keys.count() if n is None else n
+    if n <= most:
+        return df.join(F.broadcast(keys), column, "left_anti")
+    pieces = -(-n * BITS_A_KEY // PIECE_BITS)
+    at = F.when(F.col(column).isNotNull(), F.pmod(F.xxhash64(column), F.lit(pieces * PIECE_BITS)))
+    placed = lambda x: x.withColumn("__at", at).withColumn("__piece", F.expr(f"__at div {PIECE_BITS}"))
+    # Hashes agree only between equal types.
+    bits = (placed(keys.select(F.col(column).cast(df.schema[column].dataType))).filter("__at IS NOT NULL")
+            .groupBy("__piece").agg(F.bitmap_construct_agg(F.expr(f"__at % {PIECE_BITS}")).alias("__bits")))
+    met = placed(df).join(F.broadcast(bits), "__piece", "left")
+    byte = f"CAST(conv(hex(substring(__bits, CAST(__at % {PIECE_BITS} div 8 + 1 AS INT), 1)), 16, 10) AS INT)"
+    maybe = F.expr(f"coalesce(getbit({byte}, CAST(__at % 8 AS INT)) = 1, false)")
+    rest = met.filter(maybe).select(df.columns).join(keys, column, "left_anti")
+    return met.filter(~maybe).select(rest.columns).unionByName(rest)
+
+
 def suffix_join(left: DataFrame, left_col: str, right: DataFrame, right_col: str,
                 how: str = "inner") -> DataFrame:
     """``left.left_col`` ends with ``right.right_col``, as an equi join.

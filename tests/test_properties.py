@@ -10,6 +10,7 @@ from opsight.operators.capacity import month_partition_rename
 from opsight.operators.files import calendar_file_counts, clean_names
 from opsight.operators.sessions import _decode
 from opsight.operators.status import session_run_id
+from opsight.plans.joins import without
 from opsight.sources.fixtures import AS_OF_FILES, AS_OF_RUNS, fixtures
 from tests.conftest import SF_SMALL
 
@@ -77,6 +78,33 @@ def test_cascade_delete_leaves_no_orphans(spark):  # D13 property
     assert out["run_errors"].join(out["runs"], "run_id", "left_anti").count() == 0
 
 
+def test_cascade_delete_does_not_shuffle_the_tables(spark):  # D13 at size
+    fx = fixtures(spark, SF_SMALL)
+    ids = fx.batches.filter("load_status = 'AUDITFAILED' AND record_count = 0")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")   # as where the tables are large
+    try:
+        out = cascade_delete({"files": fx.files, "runs": fx.runs, "batches": fx.batches}, ids)
+        for df in out.values():
+            assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_rows_without_many_keys(spark):  # D13: a bitmap of the keys, then the keys
+    df = spark.range(-20000, 40000).selectExpr("CAST(id % 7 AS STRING) AS v", "if(id % 5 = 0, NULL, id div 2) AS k").unionAll(
+        spark.sql("SELECT 'low', -9223372036854775808L UNION ALL SELECT 'none', NULL"))
+    keys = spark.range(0, 20000, 3).selectExpr("id AS k").unionAll(spark.sql("SELECT -9223372036854775808L UNION ALL SELECT NULL"))
+    want = df.join(keys, "k", "left_anti")
+    for most in (0, 10**6):
+        got = without(df, "k", keys, most=most)
+        assert got.columns == want.columns and got.count() == want.count() == got.filter("k IS NULL OR k % 3 <> 0 OR k < 0").count()
+        assert got.exceptAll(want).count() == 0
+    plan = without(df, "k", keys, most=0)._jdf.queryExecution().executedPlan().toString()
+    assert "__bits" in plan
+    assert without(df.select("v", F.col("k").cast("decimal(20,0)").alias("k")), "k", keys, most=0).count() == want.count()
+
+
 def test_insert_rows_ids_continue_the_sequence(spark):  # D14 / S27
     tgt = spark.createDataFrame([(5, "a"), (9, "b")], "id long, v string")
     rows = spark.createDataFrame([(None, "z"), (None, "y"), (None, "x")], "id long, v string")
