@@ -44,8 +44,8 @@ SIMILARITY, WIDTH = 80, 5
 SKETCH_BITS, RANGES = 22, 32
 #: A column is frequent if its counter is above the mean by so many standard deviations of chance, and this count.
 DEVIATIONS, FREQUENT_LEAST = 5, 16
-#: Bits of a set's parity map, and of its folded form, which goes with every entry of the second round.
-MAP_BITS, FOLDED_BITS = 1024, 256
+#: Bits of a set's parity map.
+MAP_BITS = 1024
 #: Rows that one copy of a set is compared with; a set with more pairs is sent once for each so many.
 PAIRS_A_COPY = 1000
 #: Ids (and places to send their sets to) up to this many are broadcast (some 24 bytes each); more are joined by shuffle.
@@ -288,10 +288,9 @@ def _like_sizes(similarity: int) -> str:
     return f"(n_a < n_b OR (n_a = n_b AND a < b)) AND 100 * n_a >= {similarity} * n_b"
 
 
-def _like_maps(similarity: int, bits: int = MAP_BITS, name: str = "bits_{side}[{k}]") -> str:
-    """Whether the parity maps of a and b, of so many bits, allow a link."""
-    word = lambda side, k: name.format(side=side, k=k)
-    differ = " + ".join(f"bit_count({word('a', k)} ^ {word('b', k)})" for k in range(bits // 64))
+def _like_maps(similarity: int) -> str:
+    """Whether the parity maps of a and b allow a link."""
+    differ = " + ".join(f"bit_count(bits_a[{k}] ^ bits_b[{k}])" for k in range(MAP_BITS // 64))
     return f"{differ} <= n_a + n_b - 2 * {_needed('n_a', 'n_b', similarity)}"
 
 
@@ -334,6 +333,13 @@ def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int, s
     return links
 
 
+def _meeting(part: DataFrame, similarity: int) -> DataFrame:
+    """A row for each column and pair (a, b) of its classes that are apart and may link by sizes and maps."""
+    side = lambda df, x, *more: df.select("gram", F.col("cls").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "component", *more)])
+    return (side(part.filter("short"), "a", "soon", "bits").join(side(part, "b", "last", "bits"), "gram")
+            .filter(f"component_a <> component_b AND {_like_sizes(similarity)} AND {_like_maps(similarity)}"))
+
+
 def _jaccard(docs: DataFrame, similarity: int, width: int) -> tuple[DataFrame, list[DataFrame]]:
     """(rows with doc_id, key, n, cls, component, component_id; tables of links)."""
     texts = columns(docs, doc_id="long", text="string").withColumn("key", F.xxhash64("text"))
@@ -368,17 +374,14 @@ def _jaccard(docs: DataFrame, similarity: int, width: int) -> tuple[DataFrame, l
                   .withColumn("component", F.coalesce("component", "cls")), "placed")
     apart = (placed.groupBy("gram").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.max("short").alias("found"))
              .filter("least <> most AND found").select("gram"))
-    # A parity map folded onto itself is the parity map of fewer bits.
-    folds = [f"fold{k}" for k in range(FOLDED_BITS // 64)]
-    folded = [F.expr(" ^ ".join(f"bits[{j}]" for j in range(k, MAP_BITS // 64, len(folds)))).alias(c) for k, c in enumerate(folds)]
-    part = save(placed.join(apart, "gram", "left_semi").join(facts.select("cls", "last", "soon", *folded), "cls"), "part")
+    # The whole parity map goes with every entry: a shorter one lets most pairs of a large group of near
+    # copies pass, linked or not, and they are as many as the square of the group's size.
+    part = save(placed.join(apart, "gram", "left_semi").join(facts, "cls"), "part")
     drop(entries, middle, placed)
-    side = lambda df, x, *more: df.select("gram", F.col("cls").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "component", *more)])
-    met = (side(part.filter("short"), "a", "soon", *folds).join(side(part, "b", "last", *folds), "gram")
-           .filter(f"component_a <> component_b AND {_like_sizes(similarity)} AND {_like_maps(similarity, FOLDED_BITS, 'fold{k}_{side}')}")
+    met = (_meeting(part, similarity)
            .groupBy("a", "b", "n_a", "n_b", "soon_a", "last_b").agg(F.count("*").alias("common"))
-           .filter(_enough(similarity)).select("a", "n_a", "b", "n_b"))
-    second = _verified(mapped(met), reps, texts, width, similarity)
+           .filter(_enough(similarity)).select("a", "b"))
+    second = _verified(met, reps, texts, width, similarity)
     drop(part, facts)
     names = save(components(second.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))), "names")
     least = (reps.join(names.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls")))

@@ -115,3 +115,22 @@ def test_very_long_texts(spark):
     rows = [(1, long), (2, long + " and more"), (3, " ".join(f"w{k}" for k in range(0, 300_000, 2))), (4, "x " * 200_000)]
     got = found(jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"))[0])
     assert got == {1: (299_996, 1), 2: (299_998, 1), 3: (149_996, 3), 4: (1, 4)}
+
+
+def test_a_group_of_copies_not_near_enough_is_told_apart_by_maps(spark, monkeypatch):
+    import random
+
+    from llm import ngram_join
+    pick = random.Random(5)
+    base = [f"w{k}" for k in range(400)]
+    rows = []
+    for k in range(60):                                    # each pair is some 0.74 alike
+        own = list(base)
+        for j in pick.sample(range(400), 6):
+            own[j] = f"x{k}_{j}"
+        rows.append((k, " ".join(own)))
+    made = []
+    meeting = ngram_join._meeting
+    monkeypatch.setattr(ngram_join, "_meeting", lambda part, similarity: made.append(meeting(part, similarity).count()) or meeting(part, similarity))
+    assert found(jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"))[0]) == brute(rows)
+    assert sum(made) < 60 * 100                            # 1,770 pairs, most with some 20 columns in common
