@@ -61,8 +61,9 @@ class Words:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.start, self.size, self.store, self.filled = [], [], [], 0
+        # Of each word, in the order of their hashes: where its ids begin, and how many they are.
+        self.hashes, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.flat = np.zeros(0, np.uint32)
 
     def _chunks(self, data: np.ndarray, off: np.ndarray):
         """Word chunks; a full stop or comma that ends a word of letters is one of its own."""
@@ -92,36 +93,25 @@ class Words:
             got = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch(
                 [raw[a:b].decode() for a, b in zip(off[:-1], off[1:])], add_special_tokens=False)]
             return np.concatenate([*got, np.zeros(0, np.uint32)]), np.array([len(x) for x in got], np.int64)
-        if self.filled > self.remembered:
+        if len(self.flat) > self.remembered:
             self.forget()
         start, end, first = self._chunks(data, off)
         plain = _LOWER[data] if not (data == ord("<")).any() else data   # a special token is written in one case only
-        code, unique = pd.factorize(span_hashes(_BYTE_CODE[plain], start, end)) if len(start) else (start, start)
-        known = self.known
-        new = [k for k, h in enumerate(unique.tolist()) if h not in known]
-        if new:
+        code, unique = pd.factorize(span_hashes(_BYTE_CODE[plain], start, end)) if len(start) else (start, start.astype(np.uint64))
+        at = np.searchsorted(self.hashes, unique)
+        new = np.flatnonzero((at == len(self.hashes)) | (np.append(self.hashes, np.uint64(0))[at] != unique))
+        if len(new):
             one = np.zeros(len(unique), np.int64)
             one[code[::-1]] = np.arange(len(code))[::-1]
             raw = plain.tobytes()
-            self._learn([unique[k] for k in new], [raw[start[one[k]]: end[one[k]]].decode() for k in new])
-        at = np.array([known[h] for h in unique.tolist()], np.int64)
-        begin, size = self._arrays()
-        begin, size = begin[at][code], size[at][code]
+            self._learn(unique[new], [raw[start[one[k]]: end[one[k]]].decode() for k in new.tolist()])
+            at = np.searchsorted(self.hashes, unique)
+        begin, size = self.begin[at][code], self.size[at][code].astype(np.int64)
         sums = np.concatenate([[0], np.cumsum(size)])
         ids = self.flat[np.repeat(begin - sums[:-1], size) + np.arange(sums[-1])]
         return ids, np.diff(sums[first])
 
-    def _arrays(self):
-        if len(self.begin_array) != len(self.start):
-            self.begin_array, self.size_array = np.array(self.start, np.int64), np.array(self.size, np.int64)
-            self.flat = np.concatenate(self.store)
-            self.store = [self.flat]
-        return self.begin_array, self.size_array
-
-    begin_array = size_array = np.zeros(0, np.int64)
-    flat = np.zeros(0, np.uint32)
-
-    def _learn(self, hashes: list, words: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
         letters = [k for k, w in enumerate(words) if w.isalpha()]
         ids: list = [None] * len(words)
         for a in range(0, len(letters), 500):     # one text of words of letters: one piece each
@@ -136,13 +126,13 @@ class Words:
         rest = [k for k in range(len(words)) if not ids[k]]
         for k, x in zip(rest, self.tokenizer.encode_batch_fast([words[k] for k in rest], add_special_tokens=False)):
             ids[k] = x.ids
-        flat = []
-        for h, own in zip(hashes, ids):
-            self.known[int(h)] = len(self.start)
-            self.start.append(self.filled), self.size.append(len(own))
-            self.filled += len(own)
-            flat.extend(own)
-        self.store.append(np.array(flat, np.uint32))
+        size = np.array([len(x) for x in ids], np.int32)
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.hashes, hashes[order])
+        begin = len(self.flat) + np.cumsum(size, dtype=np.int64) - size
+        self.hashes, self.begin, self.size = (np.insert(old, at, own[order]) for old, own in
+                                              ((self.hashes, hashes), (self.begin, begin), (self.size, size)))
+        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))])
 
 
 _words: dict[tuple, Words] = {}                   # of this Python worker, by tokenizer file

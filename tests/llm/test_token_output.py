@@ -61,3 +61,23 @@ def test_empty_table(spark):
     path = folder(spark, "ids")
     write_ids(spark.createDataFrame([], "doc_id long, text string"), WORD, path)
     assert read_ids(spark, path).count() == 0
+
+
+def test_remembered_words_are_small():
+    import tracemalloc
+
+    from llm.token_output import Words
+    words = Words(public_tokenizers.path("word_bpe_49k.json"))
+    plain = [f"{(k * 2654435761) % 1000003:x}" for k in range(100_000)]
+    data = np.frombuffer(" ".join(plain).encode(), np.uint8)
+    parts = np.array_split(np.array(plain), 20)             # learned bit by bit, as slices come
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0]
+    for part in parts:
+        raw = np.frombuffer(" ".join(part.tolist()).encode(), np.uint8)
+        words.encode(raw, np.array([0, len(raw)]))
+    held = tracemalloc.get_traced_memory()[0] - before
+    tracemalloc.stop()
+    assert held < 60 * 100_000                              # bytes: place, hash, length and a few ids of each
+    ids, n = words.encode(data, np.array([0, len(data)]))
+    assert n.tolist() == [len(ids)] and ids[:2000].tolist() == words.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids[:2000]
