@@ -25,6 +25,7 @@ import numpy as np
 #: Ids of a block; ids after which the order-0 frequencies are summed anew.
 BLOCK, RENEW = 4096, 256
 _SLOTS = 4096                       # order-2 contexts of a block
+_BUCKETS = 512                      # parts of the order-0 total by which a symbol is looked up
 _ONE = 4096                         # a probability of 1 in the mixing step
 _GAIN, _LEAST = 4000, 48
 _RATE = 5
@@ -61,8 +62,9 @@ class _Lanes:
     def __init__(self, lanes: int, symbols: np.ndarray, search: bool = False):
         self.search = search
         self.k = int(symbols.max())
-        self.two = np.zeros(lanes * _SLOTS, np.int32)
-        self.one = np.zeros(lanes * (self.k + 1), np.int32)
+        # An entry is a symbol, which is below BLOCK, and two bits of confidence.
+        self.two = np.zeros(lanes * _SLOTS, np.int16)
+        self.one = np.zeros(lanes * (self.k + 1), np.int16)
         self.trust2 = np.full(lanes * 32, _ONE // 2, np.int32)
         self.trust1 = np.full(lanes * 32, _ONE // 4, np.int32)
         lane = np.arange(lanes)
@@ -72,8 +74,8 @@ class _Lanes:
         self.at_count = lane * self.k
         self.sums = np.zeros((lanes, self.k + 1), np.int32)
         self.sums_flat = self.sums.reshape(-1)
-        self.p1 = np.zeros(lanes, np.int32)           # contexts are symbols from 1; 0 is the start
-        self.p2 = np.zeros(lanes, np.int32)
+        self.p1 = np.zeros(lanes, np.int64)           # contexts are symbols from 1; 0 is the start
+        self.p2 = np.zeros(lanes, np.int64)
         self.low = np.zeros(lanes, np.uint64)
         self.range = np.full(lanes, (1 << 64) - 1, np.uint64)
         self.total = np.ones(lanes, np.uint64)
@@ -82,20 +84,34 @@ class _Lanes:
         """Frequencies of order 0 as they are now, for the first ``a`` lanes."""
         np.cumsum(self.count[:a], axis=1, out=self.sums[:a, 1:])
         self.total[:a] = self.sums[:a, -1]
-        # The sums of all lanes as one ascending sequence, for decoding by binary search.
-        self.keys = (self.sums[:a] + (np.arange(a, dtype=np.int64) << 24)[:, None]).reshape(-1) if self.search else None
+        if self.search:
+            # Of each lane, how many symbols begin before each of _BUCKETS equal parts of its total.
+            self.shift = np.maximum(np.ceil(np.log2(self.total[:a].astype(np.float64))).astype(np.int64) - _BUCKETS.bit_length() + 1, 0)
+            part = (self.sums[:a, :-1] >> self.shift[:, None]) + (np.arange(a) * (_BUCKETS + 2) + 1)[:, None]
+            self.parts = np.cumsum(np.bincount(part.reshape(-1), minlength=a * (_BUCKETS + 2)).reshape(a, -1), axis=1).reshape(-1)
+
+    def find(self, e: np.ndarray, want: np.ndarray) -> np.ndarray:
+        """Place in the sums of the last symbol of lanes ``e`` that begins at ``want`` or before."""
+        at = e * (_BUCKETS + 2) + (want >> self.shift.take(e))
+        base = self.at0.take(e)
+        low, high = np.maximum(self.parts.take(at) - 1, 0) + base, self.parts.take(at + 1) - 1 + base
+        for _ in range(int((high - low).max()).bit_length()):
+            middle = (low + high + 1) >> 1
+            fits = self.sums_flat.take(middle) <= want
+            low, high = np.where(fits, middle, low), np.where(fits, high, middle - 1)
+        return low
 
     def predict(self, a: int) -> None:
         p1, p2 = self.p1[:a], self.p2[:a]
         self.i2 = self.at2[:a] + ((p2 * 2654435 + p1 * 40503) >> 3 & (_SLOTS - 1))
         self.i1 = self.at1[:a] + p1
-        self.e2, self.e1 = self.two[self.i2], self.one[self.i1]
+        self.e2, self.e1 = self.two.take(self.i2), self.one.take(self.i1)
         self.c2, self.c1 = self.e2 & 3, self.e1 & 3
         self.q2, self.q1 = self.e2 >> 2, self.e1 >> 2
         self.sure2 = self.c2 > 0
         self.sure1 = (self.c1 > 0) & ~(self.sure2 & (self.q2 == self.q1))
         self.it = self.at_trust[:a] + (self.c2 * 8 + self.c1 * 2 + self.sure1)
-        self.w2, self.w1 = self.trust2[self.it], self.trust1[self.it]
+        self.w2, self.w1 = self.trust2.take(self.it), self.trust1.take(self.it)
         self.f2 = self.w2 * self.sure2
         self.f1 = (((_ONE - self.f2) * self.w1) >> 12) * self.sure1
 
@@ -124,7 +140,7 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     lengths = np.array([len(b) for b in blocks])
     order = _order(lengths)
     steps = int(lengths.max())
-    symbol = np.zeros((len(blocks), max(steps, 1)), np.int32)
+    symbol = np.zeros((len(blocks), max(steps, 1)), np.int16)
     alphabets = []
     rank = np.zeros(1 << 16, np.int32)
     mark = np.zeros(1 << 16, bool)
@@ -206,7 +222,7 @@ def decode(blocks: list[bytes]) -> list[np.ndarray]:
     m = _Lanes(len(blocks), np.array([max(1, len(x)) for x in alphabets]), search=True)
     code = (stream[at] << np.uint64(32)) | stream[at + 1]
     at = at + 2
-    symbol = np.zeros((max(steps, 1), len(blocks)), np.int32)
+    symbol = np.zeros((max(steps, 1), len(blocks)), np.int16)
     active = np.searchsorted(-lengths[order], -np.arange(steps), side="left")
     end = len(stream) - 1
     for t in range(steps):
@@ -231,9 +247,8 @@ def decode(blocks: list[bytes]) -> list[np.ndarray]:
             r0 = rng[e] // total
             want = np.minimum((off[e] - edge[e]) // r0, total - np.uint64(1)).astype(np.int64)
             # Symbols of no width end a lane with equal sums; the wanted one is before them.
-            base = m.at0[e]
-            found = np.searchsorted(m.keys, want + (e << 24), side="right") - 1
-            s[e] = found - base
+            found = m.find(e, want)
+            s[e] = found - m.at0[e]
             start = m.sums_flat[found]
             low[e] += r0 * start.astype(np.uint64)
             rng[e] = r0 * (m.sums_flat[found + 1] - start).astype(np.uint64)

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -132,7 +133,7 @@ class Words:
         begin = len(self.flat) + np.cumsum(size, dtype=np.int64) - size
         self.hashes, self.begin, self.size = (np.insert(old, at, own[order]) for old, own in
                                               ((self.hashes, hashes), (self.begin, begin), (self.size, size)))
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))])
 
 
 _words: dict[tuple, Words] = {}                   # of this Python worker, by tokenizer file

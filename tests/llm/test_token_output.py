@@ -81,3 +81,18 @@ def test_remembered_words_are_small():
     assert held < 60 * 100_000                              # bytes: place, hash, length and a few ids of each
     ids, n = words.encode(data, np.array([0, len(data)]))
     assert n.tolist() == [len(ids)] and ids[:2000].tolist() == words.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids[:2000]
+
+
+def test_symbols_are_found_by_part_of_the_total():
+    from llm.range_coder import _Lanes
+    r = np.random.default_rng(7)
+    symbols = np.array([1, 2, 700, 33, 1, 4096])
+    lanes = _Lanes(6, symbols, search=True)
+    assert lanes.two.itemsize == lanes.one.itemsize == 2
+    for _ in range(4):
+        lanes.renew(6)
+        for lane, k in enumerate(symbols.tolist()):
+            want = np.append(r.integers(0, int(lanes.total[lane]), 500), [0, int(lanes.total[lane]) - 1])
+            found = lanes.find(np.full(502, lane), want) - lanes.at0[lane]
+            assert (found == np.searchsorted(lanes.sums[lane, : k + 1], want, side="right") - 1).all()
+            np.add.at(lanes.count[lane], (r.zipf(1.2, 300) % k), 32)
