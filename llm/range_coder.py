@@ -87,8 +87,12 @@ class _Lanes:
         if self.search:
             # Of each lane, how many symbols begin before each of _BUCKETS equal parts of its total.
             self.shift = np.maximum(np.ceil(np.log2(self.total[:a].astype(np.float64))).astype(np.int64) - _BUCKETS.bit_length() + 1, 0)
-            part = (self.sums[:a, :-1] >> self.shift[:, None]) + (np.arange(a) * (_BUCKETS + 2) + 1)[:, None]
-            self.parts = np.cumsum(np.bincount(part.reshape(-1), minlength=a * (_BUCKETS + 2)).reshape(a, -1), axis=1).reshape(-1)
+            self.parts = np.empty((a, _BUCKETS + 2), np.int32)
+            for b in range(0, a, 64):                 # few lanes at a time, for little memory
+                c = min(b + 64, a)
+                part = (self.sums[b:c, :-1] >> self.shift[b:c, None]) + (np.arange(c - b) * (_BUCKETS + 2) + 1)[:, None]
+                self.parts[b:c] = np.cumsum(np.bincount(part.reshape(-1), minlength=(c - b) * (_BUCKETS + 2)).reshape(c - b, -1), axis=1)
+            self.parts = self.parts.reshape(-1)
 
     def find(self, e: np.ndarray, want: np.ndarray) -> np.ndarray:
         """Place in the sums of the last symbol of lanes ``e`` that begins at ``want`` or before."""
